@@ -1,8 +1,11 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from hourgrid.llm import licenses, mixing, sharding
+from hourgrid.llm import bpe, langid, licenses, media, mixing, sharding
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
+    "op2_media": media.op2_media,
+    "op3_bpe": bpe.op3_bpe,
     "op4_sharding": sharding.op4_sharding,
     "op8_mixing": mixing.op8_mixing,
     "op10_license_scan": licenses.op10_license_scan,
