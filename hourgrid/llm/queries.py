@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from hourgrid.llm import bpe, langid, licenses, media, mixing, sharding, toxicity, vectors
+from hourgrid.llm import bpe, langid, licenses, media, minhash, mixing, sharding, toxicity, vectors
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_sharding": sharding.op4_sharding,
     "op8_mixing": mixing.op8_mixing,
+    "op5_minhash_neardup": minhash.op5_minhash_neardup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_embedding_neardup": vectors.op9_embedding_neardup,
     "op10_license_scan": licenses.op10_license_scan,
