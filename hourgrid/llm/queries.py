@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from hourgrid.llm import bpe, langid, licenses, media, minhash, mixing, sharding, toxicity, vectors
+from hourgrid.llm import bpe, langid, licenses, media, minhash, mixing, sharding, suffixes, toxicity, vectors
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op8_mixing": mixing.op8_mixing,
     "op5_minhash_neardup": minhash.op5_minhash_neardup,
+    "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_embedding_neardup": vectors.op9_embedding_neardup,
     "op10_license_scan": licenses.op10_license_scan,
