@@ -258,3 +258,8 @@ def encode(docs: DataFrame, name: str = VOCABULARY, keep_ids: bool = True) -> Da
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the ids of every document's text, with their digests and that of the decoded bytes."""
+    return encode(docs, keep_ids=True)

@@ -164,3 +164,8 @@ times AS (SELECT *, epochs + CASE WHEN rest > 0 AND used <= rest THEN 1 ELSE 0 E
 SELECT doc_id, domain, lang_key AS lang, source_key AS source, n_tokens, budget, unnest(range(times))::INTEGER AS epoch
 FROM times WHERE times > 0
 """
+
+
+def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the mixture of what is left, nine tenths of the tokens, each document once at most."""
+    return mix(docs, fraction=0.9, max_epochs=1).select(*docs.columns)
