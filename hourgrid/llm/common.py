@@ -30,6 +30,12 @@ def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def guarded(docs: DataFrame, own: list[str]) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but `own` under names that clash with nothing, and what selects the old columns back."""
+    names = {c: c if c in own else f"__column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of doc_id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

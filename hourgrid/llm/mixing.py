@@ -101,7 +101,8 @@ def plan_mix(docs: DataFrame, weights: dict, fraction: float, max_epochs: int, s
 
 
 def mix(docs: DataFrame, weights: dict | None = None, fraction: float = 0.8, max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """The mixture: docs' rows with epoch (from 0) and sample key, each as often as its leaf's budget asks for.
+    """The mixture: docs' rows as struct `row`, with leaf, n_tokens, budget and epoch (from 0), each as often as its
+    leaf's budget asks for.
 
     The budget is `fraction` of all tokens. It is dealt down the tree domain - language - source by integer
     weights; a node that cannot use its share within `max_epochs` passes the rest to its siblings, and only a
@@ -110,7 +111,8 @@ def mix(docs: DataFrame, weights: dict | None = None, fraction: float = 0.8, max
     Rows with equal ids have equal keys and are taken together or not at all. Rows without a word are not taken.
     Null source, lang or id count as ''. An empty table gives an empty mixture."""
     plan = plan_mix(docs, weights or WEIGHTS, fraction, max_epochs, seed)
-    rows = with_leaf(docs).withColumn("n_tokens", token_count(F.col("text"))).where("n_tokens > 0")
+    rows = docs.select("doc_id", "lang", "source", token_count(F.col("text")).alias("n_tokens"), F.struct("*").alias("row"))
+    rows = with_leaf(rows).where("n_tokens > 0")
     rows = rows.join(plan.drop("tokens").where("budget > 0"), [*LEVELS])
     key = sample_key(seed, F.col("epochs"), F.col("doc_id"))
     times = F.col("epochs") + F.when((F.col("cut") != "") & (key <= F.col("cut")), F.lit(1)).otherwise(F.lit(0))
@@ -120,7 +122,7 @@ def mix(docs: DataFrame, weights: dict | None = None, fraction: float = 0.8, max
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     mixed = mix(docs)
-    return mixed.select("doc_id", "domain", F.col("lang_key").alias("lang"), F.col("source_key").alias("source"), "n_tokens", "budget", "epoch")
+    return mixed.select("row.doc_id", "domain", F.col("lang_key").alias("lang"), F.col("source_key").alias("source"), "n_tokens", "budget", "epoch")
 
 
 def _share_sql(name: str, parents: list[str], level: str, above: str) -> str:
@@ -168,4 +170,4 @@ FROM times WHERE times > 0
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mixture of what is left, nine tenths of the tokens, each document once at most."""
-    return mix(docs, fraction=0.9, max_epochs=1).select(*docs.columns)
+    return mix(docs, fraction=0.9, max_epochs=1).select("row.*")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import bytes_of, mixed, spans, staged, table
+from hourgrid.llm.common import bytes_of, guarded, mixed, spans, staged, table
 
 LENGTH, K = 100, 32
 REACH = LENGTH - K + 1
@@ -400,8 +400,9 @@ def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shorten(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes taken out of `text`; of a character that is covered in part nothing is taken."""
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return _with_runs(docs.withColumn("text", F.coalesce("text", F.lit("")))).select(*docs.columns, "runs").mapInArrow(_shortened, fields)
+    rows, back = guarded(docs.withColumn("text", F.coalesce("text", F.lit(""))), ["doc_id", "text"])
+    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    return _with_runs(rows).select(*rows.columns, "runs").mapInArrow(_shortened, fields).select(*back)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

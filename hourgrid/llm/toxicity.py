@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import bytes_of, crc_of_id, mixed, spans, table
+from hourgrid.llm.common import bytes_of, crc_of_id, guarded, mixed, spans, table
 
 #: Labelled documents that the field is fitted on, at most: by label.
 SAMPLE = {1: 900, 0: 1800}
@@ -236,5 +236,5 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose score is 0.5 or more go; all others stay as they are."""
-    columns = docs.columns
-    return score(docs, fitted(spark, sf_dir, docs), columns).where("score < 0.5").select(*columns)
+    rows, back = guarded(docs, ["doc_id", "text"])
+    return score(rows, fitted(spark, sf_dir, docs), rows.columns).where("score < 0.5").select(*back)
