@@ -1,5 +1,8 @@
 """Reading feeds and reports, writing datasets and reports."""
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +51,9 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
     times = {c: F.try_to_timestamp(F.col(c)).cast("timestamp_ntz") for c in REPORT_TIMES if c in df.columns}
     return df.withColumns(times) if times else df
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new place below spark.checkpoint.dir; only where that is unset, a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-hourgrid-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
