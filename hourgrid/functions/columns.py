@@ -24,12 +24,16 @@ def finite(column: Column) -> Column:
     return F.when(F.abs(column) != float("inf"), column)
 
 
-def filled(value: Column, row: Column, limit: int, order: WindowSpec) -> Column:
+def filled(value: Column, row: Column, limit: int, keys: tuple[str, ...] = ()) -> Column:
     """A gap's value by interpolation over rows, `limit` rows from each side; further in, the last interpolated
-    value goes on. Before the first and after the last value the nearest one stands. row: row number in order."""
+    value goes on. Before the first and after the last value the nearest one stands. row: row number in time order.
+
+    Both neighbours are running values, the next one in falling order: a frame up to the series' end would be
+    gone through anew for every row."""
+    order, falling = by_time(keys), Window.partitionBy(*keys).orderBy(F.desc("ts"))
     known = F.when(value.isNotNull(), F.struct(row.alias("row"), value.alias("value")))
     before = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last(known, ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, 0))
     back, on = row - before["row"], after["row"] - row
     steps = F.when((back <= limit) | (on <= limit), back).otherwise(F.lit(limit))
     inner = before["value"] + (after["value"] - before["value"]) * steps / (back + on)

@@ -45,9 +45,8 @@ def align(feeds: list[Feed], keys: tuple[str, ...] = ()) -> DataFrame:
 
 def fill_gaps(df: DataFrame, limits: dict[str, int], keys: tuple[str, ...] = ()) -> DataFrame:
     """<measure>_clean by interpolation with a limit."""
-    order = by_time(keys)
-    rows = df.withColumn("_row", F.row_number().over(order))
-    return rows.withColumns({f"{c}_clean": filled(F.col(c), F.col("_row"), n, order) for c, n in limits.items()}).drop("_row")
+    rows = df.withColumn("_row", F.row_number().over(by_time(keys)))
+    return rows.withColumns({f"{c}_clean": filled(F.col(c), F.col("_row"), n, keys) for c, n in limits.items()}).drop("_row")
 
 
 def clean(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
