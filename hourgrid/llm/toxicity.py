@@ -113,6 +113,14 @@ def marginals(scores: np.ndarray, texts: np.ndarray, transitions: np.ndarray) ->
     return out, pairs
 
 
+def emissions(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Each word's score for label 1, feature by feature, so that no table of all weights is made."""
+    total = np.full(features.shape[1], -2.0)
+    for bucket in features:
+        total += weights[bucket]
+    return total
+
+
 def _evidence(p: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
     """[text] -> 1, log of the expected number of toxic words, log-odds of the most toxic word."""
     most = np.zeros(n)
@@ -143,14 +151,18 @@ def fit_texts(texts: list[str], labels: np.ndarray) -> Field:
     starts, ends, text = words_of(buffer, offsets)
     features = features_of(buffer, starts, ends)
     buckets = 1 << BUCKET_BITS
-    of_text = np.unique(text[None, :] * np.int64(buckets) + features)
-    toxic = np.bincount(of_text % buckets, labels[of_text // buckets], buckets)
-    every = np.bincount(of_text % buckets, minlength=buckets)
+    toxic, every, marked = np.zeros(buckets), np.zeros(buckets), np.zeros(len(text), bool)
+    for bucket in features:
+        of_text = np.unique(text * np.int64(buckets) + bucket)
+        toxic += np.bincount(of_text % buckets, labels[of_text // buckets], buckets)
+        every += np.bincount(of_text % buckets, minlength=buckets)
     expected = every * labels.mean()
     strength = (toxic - expected) / np.sqrt(np.maximum(expected, 1e-9))
     able = (toxic >= SEED_DOCS) & (every - toxic <= SEED_CLEAN * every)
     marks = able & (strength >= max(SEED_DEVIATIONS, SEED_STRENGTH * strength[able].max(initial=0)))
-    y = (marks[features].any(axis=0) & (labels[text] == 1)).astype(float)
+    for bucket in features:
+        marked |= marks[bucket]
+    y = (marked & (labels[text] == 1)).astype(float)
     usable = (labels == 0) | (np.bincount(text, y, n) > 0)
     use = usable[text]
     f, y, t = features[:, use], y[use], text[use]
@@ -160,14 +172,14 @@ def fit_texts(texts: list[str], labels: np.ndarray) -> Field:
     weights, transitions = np.zeros(buckets), np.zeros((2, 2))
     squares, square_t = np.full(buckets, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(STEPS):
-        p, pairs = marginals(weights[f].sum(axis=0) - 2, t, transitions)
+        p, pairs = marginals(emissions(weights, f), t, transitions)
         gradient = sum(np.bincount(k, y - p, buckets) for k in f) - PENALTY * len(y) * np.sign(weights) * 0.01 - PENALTY * weights
         squares += gradient**2
         weights += RATE * gradient / np.sqrt(squares)
         step = seen - pairs
         square_t += step**2
         transitions += RATE * step / np.sqrt(square_t)
-    p, _ = marginals(weights[features].sum(axis=0) - 2, text, transitions)
+    p, _ = marginals(emissions(weights, features), text, transitions)
     return Field(weights.astype(np.float32), transitions, _logistic(_evidence(p, text, n), labels.astype(float)))
 
 
@@ -191,7 +203,7 @@ def _scored(batches: Iterator[pa.RecordBatch], shared, carry: list[str]) -> Iter
             data, at = buffer[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             if field.constant is None:
                 starts, ends, text = words_of(data, at)
-                p, _ = marginals(field.weights[features_of(data, starts, ends)].sum(axis=0, dtype=float) - 2, text, field.transitions)
+                p, _ = marginals(emissions(field.weights, features_of(data, starts, ends)), text, field.transitions)
                 score = 1 / (1 + np.exp(-np.clip(_evidence(p, text, j - i) @ field.document, -30, 30)))
                 bad = np.flatnonzero(p >= 0.5)
             else:
