@@ -30,21 +30,6 @@ def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class Growing:
-    """A table in the shared folder that rows are added to; its plan stays one scan, however often that is."""
-
-    def __init__(self, spark: SparkSession, schema: str):
-        self.spark, self.schema, self.path = spark, schema, shared_folder(spark)
-        self.empty = True
-
-    def add(self, df: DataFrame) -> None:
-        df.write.mode("append").parquet(self.path)
-        self.empty = False
-
-    def all(self) -> DataFrame:
-        return self.spark.createDataFrame([], self.schema) if self.empty else self.spark.read.schema(self.schema).parquet(self.path)
-
-
 def guarded(docs: DataFrame, own: list[str]) -> tuple[DataFrame, list[Column]]:
     """docs with all columns but `own` under names that clash with nothing, and what selects the old columns back."""
     names = {c: c if c in own else f"__column_{i}" for i, c in enumerate(docs.columns)}

@@ -7,18 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import Growing, bytes_of, mixed, spans, staged, table
+from hourgrid.llm.common import bytes_of, mixed, spans, staged, table
 from hourgrid.llm.graph import components
 
 #: Bins of the one permutation, and bins in a band. Two sets of similarity s share a band with probability
 #: 1 - (1 - s^ROWS)^(BINS / ROWS): 0.999997 at 0.8, 0.03 at 0.3.
 BINS, ROWS = 252, 6
-#: Equal bins (by eight bits) below which a pair is no candidate: six standard deviations below a similarity of 0.8.
-LEAST_EQUAL = 164
 #: Up to so many ids of candidates (40 bytes each, 160 MB) are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
-#: Members of a bucket that are compared at once.
-BLOCK = 1024
+#: Members of a bucket that are compared at once, and shingles that they may have together.
+BLOCK, ELEMENTS = 1024, 1 << 20
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
 CHUNK = 2 << 20
 
@@ -97,8 +95,16 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_hashes(grid: np.ndarray) -> np.ndarray:
+    """A hash of every band of each signature."""
+    grid = grid.reshape(len(grid), BINS // ROWS, ROWS)
+    bands = mixed(np.tile(np.arange(BINS // ROWS, dtype=np.uint64), (len(grid), 1)))
+    for r in range(ROWS):
+        bands = mixed(bands * _PAIR + grid[:, :, r])
+    return bands
+
+
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    band_of = np.arange(BINS // ROWS, dtype=np.uint64)
     for batch in batches:
         buffer, offsets = bytes_of(batch.column("text"))
         for i, j in spans(offsets, CHUNK):
@@ -110,10 +116,7 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             if len(full):
                 flat, at = np.concatenate([sets[k] for k in full]), np.concatenate([[0], np.cumsum(counts[full])])[:-1]
                 digest[full, 0], digest[full, 1] = np.add.reduceat(mixed(flat + _PAIR), at), np.add.reduceat(mixed(flat * _LENGTH), at)
-                grid = np.stack([signature(sets[k]) for k in full]).reshape(len(full), BINS // ROWS, ROWS)
-                bands = mixed(np.tile(band_of, (len(full), 1)))
-                for r in range(ROWS):
-                    bands = mixed(bands * _PAIR + grid[:, :, r])
+                bands = band_hashes(np.stack([signature(sets[k]) for k in full]))
             lists = np.zeros(len(sets) + 1, np.int32)
             lists[1:] = np.cumsum(np.where(counts > 0, BINS // ROWS, 0))
             columns = [batch.column("doc_id").slice(i, j - i), pa.array(counts), *(pa.array(digest[:, k].view(np.int64)) for k in (0, 1))]
@@ -126,9 +129,9 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         buffer, offsets = bytes_of(batch.column("text"))
         for i, j in spans(offsets, CHUNK):
             sets = shingle_sets(buffer[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
-            sketches = [signature(s).astype(np.uint8).tobytes() if len(s) else b"" for s in sets]
-            columns = [batch.column("doc_id").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "shingles", "sketch"])
+            bands = band_hashes(np.stack([signature(s) if len(s) else np.zeros(BINS, np.uint64) for s in sets]))
+            columns = [batch.column("doc_id").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([b.tobytes() for b in bands], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "shingles", "bands"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -162,47 +165,65 @@ def _stars(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_rows(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component: bucket, id, n, component, asks (it is not in the
-    bucket's largest component), and in how many blocks the bucket's members and its asking members are cut."""
+    """Members of buckets that hold more than one component: bucket, id, component, asks (it is not in the bucket's
+    largest component), and in how many blocks the bucket's members and its asking members are cut."""
     found = components(links)
     rows = shared.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("component_id", "id").alias("component"))
-    counts = rows.groupBy("bucket", "component").agg(F.count("*").alias("m"))
-    facts = counts.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    cut = lambda m: F.ceil(m / BLOCK).cast("int")
-    facts = facts.select("bucket", F.col("main.component").alias("main"), cut(F.col("m")).alias("blocks"), cut(F.col("m") - F.col("main.m")).alias("ask_blocks"))
-    return rows.join(facts, "bucket").withColumn("asks", F.expr("component <> main")).drop("main")
-
-
-def _closest(group: pa.Table, percent: int, k: int) -> pa.Table:
-    """For each asking row of a group, and each other component in it, the k members of most equal bins."""
-    asks = group.column("asks").to_numpy()
-    ids, n, component = (group.column(c).to_numpy() for c in ("id", "n", "component"))
-    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-    of, n_of, component_of, sketch_of = ids[~asks], n[~asks], component[~asks], sketch[~asks]
+    counts = rows.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    facts = counts.groupBy("bucket").agg(F.max(F.struct("m", "component", "s")).alias("main"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("parts")).where("parts > 1")
+    cut = lambda m, s: F.ceil(F.greatest(m / BLOCK, s / ELEMENTS)).cast("int")
+    facts = facts.select("bucket", F.col("main.component").alias("main"), cut(F.col("m"), F.col("s")).alias("blocks"), cut(F.col("m") - F.col("main.m"), F.col("s") - F.col("main.s")).alias("ask_blocks"))
+    return rows.join(facts, "bucket").withColumn("asking", F.expr("component <> main")).drop("main", "n")
+
+
+def _joining(group: pa.Table, percent: int) -> pa.Table:
+    """Links, on full sets, of a group's asking rows with its members of other components: every pair that is not yet
+    joined is looked at, and one link is given for each component that a row joins. A pair that shares several
+    buckets is looked at in the first one, and from one side if both ask."""
+    asks, asking, ids, component = (group.column(c).to_numpy() for c in ("asks", "asking", "id", "component"))
+    component = component.copy()
+    bands = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.int64).reshape(-1, BINS // ROWS)
+    here = (bands == group.column("bucket")[0].as_py()).any(axis=0)
+    before = bands[:, : here.argmax()]
+    data, at = bytes_of(group.column("shingles"))
+    begin, size = at[:-1] // 8, np.diff(at) // 8
+    flat = np.unique(np.frombuffer(data.tobytes(), np.uint64), return_inverse=True)[1]
+    mark = np.zeros(len(flat), np.uint8)
+    members = np.flatnonzero(~asks)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for x in np.flatnonzero(asks):
-        able = np.flatnonzero((component_of != component[x]) & (100 * np.minimum(n_of, n[x]) >= percent * np.maximum(n_of, n[x])))
-        equal = (sketch_of[able] == sketch[x]).sum(axis=1)
-        able, equal = able[equal >= LEAST_EQUAL], equal[equal >= LEAST_EQUAL]
-        able = able[np.lexsort((of[able], -equal, component_of[able]))]
-        new = np.flatnonzero(np.diff(component_of[able], prepend=-1))
-        rank = np.arange(len(able)) - np.repeat(new, np.diff(np.append(new, len(able))))
-        near = of[able[rank < k]]
-        a.append(np.minimum(near, ids[x])), b.append(np.maximum(near, ids[x]))
+        able = members[(component[members] != component[x]) & (100 * np.minimum(size[members], size[x]) >= percent * np.maximum(size[members], size[x]))]
+        able = able[~asking[able] | (ids[able] < ids[x])]
+        able = able[~(before[able] == before[x]).any(axis=1)]
+        if not len(able):
+            continue
+        mine = flat[begin[x] : begin[x] + size[x]]
+        mark[mine] = 1
+        starts = np.cumsum(size[able]) - size[able]
+        place = np.arange(size[able].sum()) + np.repeat(begin[able] - starts, size[able])
+        both = np.add.reduceat(mark[flat[place]], starts, dtype=np.int64)
+        mark[mine] = 0
+        linked = able[100 * both >= percent * (size[x] + size[able] - both)]
+        if len(linked):
+            joined, first = np.unique(component[linked], return_index=True)
+            near = ids[linked[first]]
+            a.append(np.minimum(near, ids[x])), b.append(np.maximum(near, ids[x]))
+            component[np.isin(component, joined)] = component[x]
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
-def _between(open_rows: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """(a, b): pairs of different components that share a bucket, the k closest ones of each asking row.
+def _between(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join all components whose members share a bucket and are similar enough.
 
-    A bucket is cut into blocks, and blocks of asking rows meet blocks of members, so no group exceeds two blocks."""
+    A bucket is cut into blocks, and blocks of asking rows meet blocks of members, so no group exceeds two blocks.
+    What leaves a group is at most a row for each component that it joins, not the pairs."""
     own = lambda blocks: f"CAST(pmod(xxhash64(id), {blocks}) AS INT)"
     as_member = f"transform(sequence(0, ask_blocks - 1), j -> struct({own('blocks')} AS i, j AS j, false AS asks))"
     as_asking = f"transform(sequence(0, blocks - 1), i -> struct(i AS i, {own('ask_blocks')} AS j, true AS asks))"
-    dealt = F.expr(f"concat({as_member}, IF(asks, {as_asking}, array()))").alias("dealt")
-    rows = open_rows.join(sets.select("id", "sketch"), "id").select("bucket", "id", "n", "component", "sketch", F.explode(dealt).alias("d"))
-    rows = rows.select("bucket", "d.i", "d.j", "d.asks", "id", "n", "component", "sketch")
-    return rows.groupBy("bucket", "i", "j").applyInArrow(lambda g: _closest(g, percent, k), "a bigint, b bigint").distinct()
+    dealt = F.expr(f"concat({as_member}, IF(asking, {as_asking}, array()))").alias("dealt")
+    rows = open_rows.join(sets, "id").select("bucket", "id", "component", "asking", "shingles", "bands", F.explode(dealt).alias("d"))
+    rows = rows.select("bucket", "d.i", "d.j", "d.asks", "asking", "id", "component", "shingles", "bands")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(lambda g: _joining(g, percent), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
@@ -210,9 +231,9 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
     Texts with equal sets are one node, the least id among them. Nodes that share a band meet in a bucket, where
     each is a candidate for the bucket's centre (a star, not all pairs); candidates are confirmed on full sets.
-    In buckets whose members are then of several components, those outside the largest one are compared with
-    all members of other components by the share of equal bins, in blocks, and the closest ones of each component
-    are confirmed: four, then four times as many, as long as that finds links. Components of confirmed links follow.
+    In buckets whose members are then of several components, those outside the largest one are compared on full
+    sets with all members of other components, in blocks: every two nodes that share a band and are similar enough
+    end up in one component.
 
     Null texts and texts without a word have an empty set and are linked with nothing. Rows with a null id get a
     null component and kept false; repeated rows of one id and text each give a row. An empty table gives an
@@ -229,18 +250,9 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     ids = staged(shared.select("id").distinct())
     few = ids.count() <= BROADCAST_IDS
     wanted = texts.join(F.broadcast(ids) if few else ids, texts["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = staged(wanted.mapInArrow(lambda b: _sets(b, size), "id bigint, shingles binary, sketch binary"))
-    links, asked = Growing(spark, "a bigint, b bigint"), Growing(spark, "a bigint, b bigint")
-    pairs, k = staged(_stars(shared, percent)), 4
-    while not pairs.isEmpty():
-        new = staged(_confirm(pairs, sets, percent))
-        if new.isEmpty() and not asked.empty:
-            break
-        links.add(new)
-        asked.add(pairs)
-        pairs = staged(_between(_open_rows(shared, links.all()), sets, percent, k).join(asked.all(), ["a", "b"], "left_anti"))
-        k *= 4
-    links = links.all()
+    sets = staged(wanted.mapInArrow(lambda b: _sets(b, size), "id bigint, shingles binary, bands binary"))
+    stars = staged(_confirm(_stars(shared, percent), sets, percent))
+    links = stars.unionByName(staged(_between(_open_rows(shared, stars), sets, percent)))
     found = nodes.join(components(links), "node", "left").select(*same, F.coalesce("component_id", "node").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return signed.select("doc_id", *same).join(found, same, "left").select(

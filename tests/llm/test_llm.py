@@ -159,6 +159,42 @@ def test_unlike_members_of_a_bucket_meet(spark):
     assert got.component_id[40] == got.component_id[17]
 
 
+def test_a_link_behind_many_near_misses_is_found(spark):
+    """Beside each asking text a family: 400 members at 176/222 (no link), one at 177/221 (a link)."""
+    r = random.Random(3)
+    rows = []
+    for f in range(3):
+        q = [f"q{f}x{k}" for k in range(200)]
+        rows.append(q)
+        for m in range(401):
+            lost, at = 6 if m == 200 else 7, r.choice([*range(1, 85), *range(125, 190)])
+            words = q[:108] + [f"b{f}x{k}" for k in range(14)] + q[122:]
+            rows.append(words[:at] + [f"l{f}x{m}x{k}" for k in range(lost)] + words[at + lost :])
+    texts = [" ".join(w) for w in rows]
+    sets = _sets(texts)
+    for f in range(3):
+        linked = [100 * len(sets[402 * f] & s) >= 80 * len(sets[402 * f] | s) for s in sets[402 * f + 1 : 402 * f + 402]]
+        assert linked == [m == 200 for m in range(401)]
+    got = of(minhash.near_duplicates(frame(spark, texts)))
+    assert got.component_id.tolist() == [i // 402 * 402 for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_blocks_join_all_components(spark, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "_stars", lambda shared, percent: shared.sparkSession.createDataFrame([], "a bigint, b bigint"))
+    base = prose(60, 90).split()
+    rows = [" ".join(base[: 90 - k % 30] + [f"y{k}"]) for k in range(40)]
+    sets = _sets(rows)
+    component = list(range(len(rows)))
+    for _ in range(5):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    component[i] = component[j] = min(component[i], component[j])
+    assert of(minhash.near_duplicates(frame(spark, rows))).component_id.tolist() == component
+
+
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_repeats_equal_brute_force(spark, texts, hot, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", hot)
