@@ -359,20 +359,37 @@ def _id(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("bigint"), F.lit(-(2**63)))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with `_id`, a number of each distinct (doc_id, text), in the order of doc_id, null first.
+
+    It is doc_id itself where no id stands for two texts. Else the distinct pairs of id and digest are sorted and
+    numbered, and texts are shuffled once more to get their numbers."""
+    keys = docs.select(_id(F.col("doc_id")).alias("_id"), F.struct(F.col("doc_id").isNotNull().alias("known"), F.md5("text").alias("digest")).alias("_text"))
+    shared = keys.groupBy("_id").agg(F.min("_text").alias("low"), F.max("_text").alias("high")).where("low <> high")
+    if shared.isEmpty():
+        return docs.withColumn("_id", _id(F.col("doc_id")))
+    order = ["_id", "_text.known", "_text.digest"]
+    keys = staged(keys.distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id()))
+    keys = keys.select(F.col("_id").alias("_key"), F.col("_text.known").alias("_known"), F.col("_text.digest").alias("_digest"), F.col("number").alias("_id"))
+    same = (_id(F.col("doc_id")) == F.col("_key")) & (F.col("doc_id").isNotNull() == F.col("_known")) & (F.md5("text") == F.col("_digest"))
+    return staged(docs.join(keys, same).select(*docs.columns, "_id"))
+
+
 def _with_runs(docs: DataFrame) -> DataFrame:
     """docs (text not null) with `runs`, the repeated windows of each text (null: none).
 
-    Rows of one id and text are one document and get the same runs; null ids are one id, before all others."""
-    texts = docs.select(_id(F.col("doc_id")).alias("id"), "text")
-    runs = repeated_windows(texts).distinct().groupBy("id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    return docs.withColumn("_id", _id(F.col("doc_id"))).join(runs.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
+    Rows of one id and text are one document and get the same runs. Different texts of one id, or without an id, are
+    different documents; null ids come before all others."""
+    docs = _numbered(docs)
+    runs = repeated_windows(docs.select(F.col("_id").alias("id"), "text")).distinct().groupBy("id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    return docs.join(runs.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text).
 
     Each byte that a string of LENGTH bytes covers which also starts earlier (at a smaller id, or earlier in the
-    same text) is removed, by the texts as they are. Null texts count as empty; texts shorter than LENGTH stay."""
+    same text; texts of one id, or without an id, are ordered by digest) is removed, by the texts as they are. Null texts count as empty; texts shorter than LENGTH stay."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return _with_runs(texts).mapInArrow(_kept, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 

@@ -212,6 +212,26 @@ def test_repeats_equal_brute_force(spark, texts, hot, monkeypatch):
         assert (got.n_bytes[i], got.n_removed[i], got.n_spans[i], got.kept_sha256[i]) == (len(data), gone.sum(), spans, hashlib.sha256(kept).hexdigest()), i
 
 
+def test_texts_that_share_an_id_are_different_documents(spark):
+    passage, long = prose(300, 40), prose(301, 60)
+    rows = [(None, long + " " + passage + " " + long), (None, "short " + prose(302, 30)), (5, prose(303, 50) + passage), (5, "brief"), (6, prose(304, 20) + long), (6, prose(304, 20) + long)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id bigint, text string, n_chars bigint")
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    seen, want = set(), {}
+    for i, t in order:
+        data = t.encode()
+        gone = np.zeros(len(data) + 1, bool)
+        for s in range(len(data) - 99):
+            gone[s : s + 100] |= data[s : s + 100] in seen
+            seen.add(data[s : s + 100])
+        lead = [len(t[:k].encode()) for k in range(len(t) + 1)]
+        want[i, t] = int(gone.sum()), "".join(c for k, c in enumerate(t) if not gone[lead[k] : lead[k + 1]].all())
+    cut = suffixes.remove_repeats(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in cut) == sorted((i or 0, len(t.encode()), want[i, t][0]) for i, t in rows)
+    left = suffixes.stage_repeats(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted((i or 0, want[i, t][1]) for i, t in rows)
+
+
 def test_suffix_array_and_common_prefixes():
     words = [b"banana banana banana", b"anan", b"", b"a" * 60]
     buffer = np.frombuffer(b"".join(words), np.uint8)
