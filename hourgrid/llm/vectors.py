@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from hourgrid.llm.common import staged, table
 from hourgrid.llm.graph import components
 
-#: Parts of a product code; independent codes; filters a vector exceeds in each of them, on average.
+#: Parts of a product code; least number of independent codes; filters a vector exceeds in each, on average.
 PARTS, CODES, LIST = 2, 8, 4
+#: Share of links at exactly the least cosine that is to be found; codes are added until it is. Pairs that measure it.
+RECALL, PAIRS = 0.9999, 500
 #: Vectors for which one filter is meant, so that the code grows with the number of vectors.
 PER_FILTER = 512
 #: Vectors of one block: a filter with more of them is split into pairs of blocks.
@@ -20,24 +22,40 @@ BLOCK = 1024
 SEED = 20
 
 
+def fitting(dims: int, words: int) -> int:
+    """Words of a part: in few dimensions more of them would only leave gaps between the filters."""
+    return min(words, 2 ** (dims // 2))
+
+
 @lru_cache(4)
-def code(dims: int, words: int) -> tuple[list[np.ndarray], list[list[np.ndarray]], float]:
+def code(dims: int, words: int, least: float) -> tuple[list[np.ndarray], list[list[np.ndarray]], float]:
     """Rotations, codebooks of every part, and the threshold at which a random unit vector exceeds LIST filters
-    of a code on average. A filter is one word of each part, scaled to unit length."""
+    of a code on average. A filter is one word of each part, scaled to unit length.
+
+    Filters get narrower with words, so a code shows fewer of the links: how many it shows is measured on random
+    pairs at cosine `least`, and codes are added until the product of what they miss is within RECALL."""
+    words = fitting(dims, words)
     random = np.random.default_rng([SEED, dims, words])
-    rotations = [np.linalg.qr(random.normal(size=(dims, dims)))[0] for _ in range(CODES)]
     parts = np.array_split(np.arange(dims), min(PARTS, dims))
-    books = []
-    for _ in range(CODES):
+    probe = unit_of(random.normal(size=(2000, dims)))
+    near, off = probe[:PAIRS], random.normal(size=(PAIRS, dims))
+    off -= (off * near).sum(axis=1, keepdims=True) * near
+    near = np.concatenate([near, least * near + np.sqrt(max(0.0, 1 - least**2)) * unit_of(off)]) if dims > 1 else np.concatenate([near, near])
+    rotations, books, threshold, missed = [], [], 0.0, 1.0
+    while len(books) < CODES or missed > 1 - RECALL:
+        rotations.append(np.linalg.qr(random.normal(size=(dims, dims)))[0])
         book = [random.normal(size=(words, len(p))) for p in parts]
         books.append([b / np.linalg.norm(b, axis=1, keepdims=True) / np.sqrt(len(parts)) for b in book])
-    probe = random.normal(size=(2000, dims))
-    probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-    sums = _halves(probe @ rotations[0], books[0])
-    filters = sums[0].shape[1] * sums[1].shape[1]
-    pool = np.concatenate([(a[:, None] + b[None, :]).ravel() for a, b in zip(sums[0][:300], sums[1][:300])])
-    keep = min(1.0, LIST / filters)
-    return rotations, books, float(np.quantile(pool, 1 - keep))
+        if len(books) == 1:
+            sums = _halves(probe @ rotations[0], books[0])
+            filters = sums[0].shape[1] * sums[1].shape[1]
+            pool = np.concatenate([(a[:, None] + b[None, :]).ravel() for a, b in zip(sums[0][:300], sums[1][:300])])
+            threshold = float(np.quantile(pool, 1 - min(1.0, LIST / filters)))
+        lists = _exceeded(near @ rotations[-1], books[-1], threshold)
+        if len(books) > 64 and missed == 1:
+            raise ValueError(f"no filter shows links at a cosine of {least}")
+        missed *= 1 - np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(lists[:PAIRS], lists[PAIRS:])])
+    return rotations, books, threshold
 
 
 def _halves(x: np.ndarray, book: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,24 +74,30 @@ def _halves(x: np.ndarray, book: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
-def decode(unit: np.ndarray, words: int) -> list[np.ndarray]:
-    """For each unit vector the numbers of all filters it exceeds, ascending.
+def _exceeded(turned: np.ndarray, book: list[np.ndarray], threshold: float) -> list[np.ndarray]:
+    """For each rotated unit vector the numbers of the filters of one code it exceeds.
 
     The sums of the second half are sorted; for each sum of the first half the exceeding ones are a prefix."""
-    rotations, books, threshold = code(unit.shape[1], words)
-    found: list[list[np.ndarray]] = [[] for _ in unit]
-    for k, (turn, book) in enumerate(zip(rotations, books)):
-        first, second = _halves(unit @ turn, book)
-        order = np.argsort(-second, axis=1, kind="stable")
-        falling = -np.take_along_axis(second, order, 1)
-        size = first.shape[1] * second.shape[1]
-        for i in range(len(unit)):
-            fit = np.searchsorted(falling[i], first[i] - threshold, "right")
-            rows = np.flatnonzero(fit)
-            n = fit[rows]
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found[i].append(k * size + np.repeat(rows, n) * second.shape[1] + order[i, place])
-    return [np.sort(np.concatenate(f)) for f in found]
+    first, second = _halves(turned, book)
+    order = np.argsort(-second, axis=1, kind="stable")
+    falling = -np.take_along_axis(second, order, 1)
+    found = []
+    for i in range(len(turned)):
+        fit = np.searchsorted(falling[i], first[i] - threshold, "right")
+        rows = np.flatnonzero(fit)
+        n = fit[rows]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        found.append(np.repeat(rows, n) * second.shape[1] + order[i, place])
+    return found
+
+
+def decode(unit: np.ndarray, words: int, least: float = 0.9) -> list[np.ndarray]:
+    """For each unit vector the numbers of all filters it exceeds, ascending."""
+    dims = unit.shape[1]
+    rotations, books, threshold = code(dims, words, least)
+    size = fitting(dims, words) ** min(PARTS, dims)
+    found = [[k * size + f for f in _exceeded(unit @ turn, book, threshold)] for k, (turn, book) in enumerate(zip(rotations, books))]
+    return [np.sort(np.concatenate(f)) for f in zip(*found)]
 
 
 def unit_of(x: np.ndarray) -> np.ndarray:
@@ -82,7 +106,7 @@ def unit_of(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filtered(batches: Iterator[pa.RecordBatch], words: int, kind: str) -> Iterator[pa.RecordBatch]:
+def _filtered(batches: Iterator[pa.RecordBatch], words: int, least: float, kind: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             rows = batch.slice(at, 512)
@@ -92,7 +116,7 @@ def _filtered(batches: Iterator[pa.RecordBatch], words: int, kind: str) -> Itera
             for dims in np.unique(sizes):
                 mine = np.flatnonzero(sizes == dims)
                 unit = unit_of(np.stack([vectors[i] for i in mine]))
-                kept += [(i, vectors[i].astype(kind).tobytes(), f.tolist()) for i, f in zip(mine, decode(unit, words))]
+                kept += [(i, vectors[i].astype(kind).tobytes(), f.tolist()) for i, f in zip(mine, decode(unit, words, least))]
             pick = pa.array([k[0] for k in kept])
             yield pa.RecordBatch.from_arrays(
                 [rows.column("rep").take(pick), rows.column("copies").take(pick), rows.column("dims").take(pick),
@@ -176,8 +200,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own
     component; vectors of different lengths never link. An empty table gives an empty result. Rows with equal
-    vec_id and equal vectors count as copies of each other. The filters find a link of cosine 0.9 with a
-    probability of about 0.9999 (measured in the tests), nearer ones more surely."""
+    vec_id and equal vectors count as copies of each other. Codes are added with the number of vectors, so that a
+    link at exactly `least` is found with a probability of about RECALL, nearer ones more surely; the tests measure
+    it at up to 200 words a part (5 million vectors)."""
     spark = vectors.sparkSession
     value = F.col("embedding").cast("array<double>")
     sound = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(value, lambda x: x != 0)
@@ -187,14 +212,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     n = reps.count()
     kind = "f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "f8"
     words = max(2, int(np.ceil((n * LIST / PER_FILTER) ** (1 / PARTS))))
-    lists = staged(reps.repartition(max(8, n // 2000)).mapInArrow(lambda b: _filtered(b, words, kind), "rep bigint, copies bigint, dims int, vector binary, filters array<int>"))
+    lists = staged(reps.repartition(max(8, n // 2000)).mapInArrow(lambda b: _filtered(b, words, least, kind), "rep bigint, copies bigint, dims int, vector binary, filters array<int>"))
     narrow = lists.select("dims", F.explode("filters").alias("filter"))
     crowds = narrow.groupBy("dims", "filter").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.expr(f"cast((n - 1) div {BLOCK} + 1 as int)")).drop("n")
     met = lists.withColumn("filter", F.explode("filters")).join(crowds, ["dims", "filter"])
     met = met.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("filter", "dims", F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second"), "rep", "copies", "side", "vector", "filters")
     key = ["filter", "dims", "first", "second"]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * LIST * CODES // 20_000)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * LIST * CODES // 10_000)
     found = staged(met.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(lambda b: _verified(b, least, kind), "rep bigint, links bigint, label bigint"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("rep").alias("a"), F.col("label").alias("b")))

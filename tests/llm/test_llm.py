@@ -352,6 +352,18 @@ def test_filters_find_links_at_the_threshold():
         assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)]) >= 0.995
 
 
+@pytest.mark.parametrize("dims, words", [(64, 4), (64, 20), (64, 100), (64, 200), (8, 100), (3, 50)])
+def test_codes_grow_with_the_number_of_vectors(dims, words):
+    r = np.random.default_rng(10)
+    x = vectors.unit_of(r.normal(size=(1500, dims)))
+    y = r.normal(size=(1500, dims))
+    y = vectors.unit_of(y - (y * x).sum(1, keepdims=True) * x)
+    a, b = vectors.decode(x, words), vectors.decode(0.9 * x + np.sqrt(1 - 0.81) * y, words)
+    recall = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)])
+    print(dims, words, "codes", len(vectors.code(dims, words, 0.9)[0]), "lists", np.mean([len(p) for p in a]), "recall", recall)
+    assert recall >= 0.999
+
+
 def test_licenses(spark):
     mit = licenses._MIT.replace("<year> <copyright holders>", "2020 Jane Doe")
     rows = [mit, mit.upper().replace("\n\n", "\n"), "Text.\nreleased under the MIT Licence\nMore.", "Licensed under CC BY-NC 4.0.", "", None, "licensed", "Licensed under CC BY-NC 4.0. And more"]
