@@ -77,22 +77,27 @@ def _probes() -> np.ndarray:
 _PROBES = _probes()
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """Least hash of each bin (the bin is the hash's first bits); an empty bin takes that of the first filled one
-    on its own random sequence of bins (optimal densification), so every bin agrees with probability s."""
-    bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    filled = np.concatenate([[True], bins[1:] != bins[:-1]])  # hashes ascend, so the first in a bin is its least
-    out = np.zeros(BINS, np.uint64)
-    has = np.zeros(BINS, bool)
-    out[bins[filled]], has[bins[filled]] = hashes[filled], True
+def signatures(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """[set, bin] -> least hash of the bin (the bin is the hash's first bits). flat: the ascending hashes of all
+    sets, one set after the other; at: where each begins. An empty bin takes that of the first filled one on its
+    own random sequence of bins (optimal densification), so every bin agrees with probability s. The empty bins of
+    all sets probe together, and those that have found a filled one drop out."""
+    size = np.diff(np.append(at, len(flat)))
+    cell = np.repeat(np.arange(len(at)) * BINS, size) + ((flat >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    least = np.concatenate([[True], cell[1:] != cell[:-1]])  # hashes ascend, so the first in a bin is its least
+    out, has = np.zeros(len(at) * BINS, np.uint64), np.zeros(len(at) * BINS, bool)
+    out[cell[least]], has[cell[least]] = flat[least], True
     empty = np.flatnonzero(~has)
-    if len(empty):
-        hits = has[_PROBES[:, empty]]
-        hit = hits.argmax(axis=0)
-        source = _PROBES[hit, empty]
-        source[~hits.any(axis=0)] = bins[0]
-        out[empty] = out[source]
-    return out
+    bins = empty % BINS
+    for probe in _PROBES:
+        if not len(empty):
+            break
+        source = empty - bins + probe[bins]
+        hit = has[source]
+        out[empty[hit]] = out[source[hit]]
+        empty, bins = empty[~hit], bins[~hit]
+    out[empty] = out[cell[at[empty // BINS]]]
+    return out.reshape(-1, BINS)
 
 
 def band_hashes(grid: np.ndarray) -> np.ndarray:
@@ -116,7 +121,7 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             if len(full):
                 flat, at = np.concatenate([sets[k] for k in full]), np.concatenate([[0], np.cumsum(counts[full])])[:-1]
                 digest[full, 0], digest[full, 1] = np.add.reduceat(mixed(flat + _PAIR), at), np.add.reduceat(mixed(flat * _LENGTH), at)
-                bands = band_hashes(np.stack([signature(sets[k]) for k in full]))
+                bands = band_hashes(signatures(flat, at))
             lists = np.zeros(len(sets) + 1, np.int32)
             lists[1:] = np.cumsum(np.where(counts > 0, BINS // ROWS, 0))
             columns = [batch.column("doc_id").slice(i, j - i), pa.array(counts), *(pa.array(digest[:, k].view(np.int64)) for k in (0, 1))]
@@ -125,12 +130,18 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(id, shingles, bands) of each text that has a word."""
     for batch in batches:
         buffer, offsets = bytes_of(batch.column("text"))
         for i, j in spans(offsets, CHUNK):
             sets = shingle_sets(buffer[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
-            bands = band_hashes(np.stack([signature(s) if len(s) else np.zeros(BINS, np.uint64) for s in sets]))
-            columns = [batch.column("doc_id").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([b.tobytes() for b in bands], pa.binary())]
+            full = np.flatnonzero([len(s) for s in sets])
+            sets = [sets[k] for k in full]
+            if not sets:
+                continue
+            starts = np.cumsum([0, *map(len, sets[:-1])])
+            bands = band_hashes(signatures(np.concatenate(sets), starts))
+            columns = [batch.column("doc_id").take(pa.array(full + i)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([b.tobytes() for b in bands], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "shingles", "bands"])
 
 
@@ -237,7 +248,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
     Null texts and texts without a word have an empty set and are linked with nothing. Rows with a null id get a
     null component and kept false; repeated rows of one id and text each give a row. An empty table gives an
-    empty result. Extra columns are not looked at. doc_id must not stand for two different texts."""
+    empty result. Extra columns are not looked at. Different texts of one id count as one document, whose links are
+    confirmed on the greatest of them; n_shingles is each row's own."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = staged(texts.mapInArrow(lambda b: _signed(b, size), "doc_id bigint, n_shingles bigint, digest1 bigint, digest2 bigint, bands array<bigint>"))
@@ -249,7 +261,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     shared = staged(members.join(several.select("bucket"), "bucket", "left_semi").distinct())
     ids = staged(shared.select("id").distinct())
     few = ids.count() <= BROADCAST_IDS
-    wanted = texts.join(F.broadcast(ids) if few else ids, texts["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
+    wanted = texts.join(F.broadcast(ids) if few else ids, texts["doc_id"] == ids["id"], "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     sets = staged(wanted.mapInArrow(lambda b: _sets(b, size), "id bigint, shingles binary, bands binary"))
     stars = staged(_confirm(_stars(shared, percent), sets, percent))
     links = stars.unionByName(staged(_between(_open_rows(shared, stars), sets, percent)))
