@@ -9,11 +9,13 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from hourgrid.llm import bpe, langid, licenses, media, minhash, mixing, sharding, suffixes, toxicity, vectors
+from hourgrid.llm.common import bytes_of
 
 FIELDS = "doc_id bigint, text string, lang string, source string, n_chars bigint, budget int, runs int, score double"
 SYLLABLES = ["the", "ra", "lo", "in", "ter", "mi", "sen", "qua", "é", "ou", "zu"]
@@ -270,7 +272,7 @@ def test_toxic_words_are_found(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, score double")
     truth = spark.createDataFrame([*labels, (None, None, 1), (5, None, None)], "doc_id bigint, quality int, toxic int")
     field = toxicity.fit(docs, truth.where(~toxicity.held_out(F.col("doc_id"))))
-    got = of(toxicity.score(docs.drop("score"), field, ["doc_id"]))
+    got = of(docs.select("doc_id", toxicity.scored(F.col("text"), field).alias("found")).select("doc_id", "found.*"))
     held = [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(400)]
     right = [(got.score[i] >= 0.5) == bool(labels[i][2]) for i in range(400) if held[i]]
     assert np.mean(right) > 0.97 and (got.score[400:] < 0.5).all()
@@ -278,10 +280,12 @@ def test_toxic_words_are_found(spark):
     data = rows[row][1].encode()
     assert any(data[a:b].decode().startswith(tuple(bad)) for a, b in zip(got.span_starts[row], got.span_ends[row]))
     nothing = toxicity.fit(docs, truth.limit(0))
-    assert set(of(toxicity.score(docs.drop("score"), nothing, ["doc_id"])).score) == {0.0}
+    assert {r.found.score for r in docs.select(toxicity.scored(F.col("text"), nothing).alias("found")).collect()} == {0.0}
 
 
-def test_marginals_equal_enumeration():
+@pytest.mark.parametrize("chain", [2048, 2, 1])
+def test_marginals_equal_enumeration(chain, monkeypatch):
+    monkeypatch.setattr(toxicity, "CHAIN", chain)
     r = np.random.default_rng(2)
     scores, transitions, texts = r.normal(size=7), r.normal(size=(2, 2)), np.array([0, 0, 0, 0, 1, 1, 2])
     p, pairs = toxicity.marginals(scores, texts, transitions)
@@ -301,6 +305,35 @@ def test_marginals_equal_enumeration():
     np.testing.assert_allclose(pairs, total, atol=1e-9)
 
 
+def test_blocks_of_a_chain_pass_messages(monkeypatch):
+    r = np.random.default_rng(3)
+    texts = np.repeat([0, 1, 3], [7000, 5, 2048])
+    scores, transitions = r.normal(size=len(texts)), r.normal(size=(2, 2)) * 3
+    in_blocks = toxicity.marginals(scores, texts, transitions)
+    monkeypatch.setattr(toxicity, "CHAIN", 10_000)
+    for a, b in zip(in_blocks, toxicity.marginals(scores, texts, transitions)):
+        np.testing.assert_allclose(a, b, rtol=1e-9)
+
+
+def test_marks_need_different_neighbours():
+    """A passage that is copied in toxic texts marks nothing; a word in many contexts does, in a rare language, too."""
+    r = random.Random(5)
+    rows, labels = [], []
+    for i in range(600):
+        words = prose(5000 + i, 30).split()
+        if i % 3 == 0:
+            words[r.randrange(29)] = "vashtun" if i > 60 else "gremlok"
+        if i in range(0, 60, 3):
+            words += ["zzcopied", "zzpassage", "zzalike"]
+        rows.append(" ".join(words))
+        labels.append(float(i % 3 == 0))
+    buffer, offsets = bytes_of(pa.array(rows, pa.large_string()))
+    starts, ends, text = toxicity.words_of(buffer, offsets)
+    _, one, word = np.unique(toxicity.word_keys(buffer, starts, ends), return_index=True, return_inverse=True)
+    marked = toxicity._marks(toxicity.feature_values(buffer, starts[one], ends[one]), word, text, np.array(labels))
+    assert {bytes(buffer[a:b]).decode() for a, b in zip(starts[one][marked], ends[one][marked])} == {"vashtun", "gremlok"}
+
+
 def test_budgets_pass_shortages_to_siblings(spark):
     leaves = [("a", "x", "1", 100), ("a", "x", "2", 1000), ("a", "y", "3", 50), ("b", "x", "4", 10_000)]
     rows = spark.createDataFrame(leaves, "domain string, lang_key string, source_key string, tokens bigint")
