@@ -6,25 +6,26 @@ Only segments whose anchor occurs elsewhere can hold a repeated window. Segments
 settled by their digests; those that share an anchor but differ go, text and all, into shards by anchor. A shard's
 suffix array is made by Larsson-Sadakane refinement, Kasai's common prefixes of LENGTH and more give the classes of
 equal windows, and all but the first of a class are repeats. An anchor with very many different segments is split
-over several shards; their sorted distinct windows are merged by binary search afterwards."""
+over several shards; the sorted distinct windows of these are dealt to ranges and searched for each other there."""
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from hourgrid.llm.common import bytes_of, guarded, mixed, spans, staged, table
 
 LENGTH, K = 100, 32
 REACH = LENGTH - K + 1
-#: Different segments of one anchor beyond which the anchor is split over shards.
-HOT = 1000
-#: Bytes of text that are scanned at once, and of segments in one suffix array; more only for one text or anchor.
-CHUNK, SHARD = 1 << 20, 1 << 20
+#: Segments of one anchor beyond which the anchor is split over shards, as estimated from every SAMPLE-th one.
+HOT, SAMPLE = 1000, 64
+#: Bytes of text that are scanned at once, whose equal segments are found before the shuffle, and of segments in one
+#: suffix array; more only for one text or anchor.
+CHUNK, SCAN, SHARD = 1 << 20, 8 << 20, 1 << 20
 
 _RANDOM = np.random.default_rng(6)
 _BYTE = _RANDOM.integers(0, 2**64, 256, np.uint64)
@@ -32,18 +33,18 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_STEP), -1, 2**64))
 
 
-@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, p, np.uint64)])) for p in (_STEP, _BACK))
 
 
-def segments(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of all texts: anchor hash, segment digest, text number, first window and number of windows."""
+def segments(buffer: np.ndarray, offsets: np.ndarray, powers: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """Of all texts: anchor hash, segment digest, text number, first window and number of windows. powers: _powers of
+    the buffer's length or more."""
     n = len(buffer)
     none = np.zeros(0, np.int64)
     if n < LENGTH or (np.diff(offsets) < LENGTH).all():
         return none.view(np.uint64), none.view(np.uint64), none, none, none
-    ahead, back = _powers(1 << int(n + 1).bit_length())
+    ahead, back = powers or _powers(n)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buffer] * ahead[:n])])
     grams = mixed((sums[K:] - sums[:-K]) * back[: n - K + 1])
     bits = np.uint64(int(n).bit_length())
@@ -77,37 +78,43 @@ _PLACE = 8  # bits of the number of windows in `place`: first window * 256 + num
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, digest, id, place, crowd): a row for each distinct (anchor, digest) of a batch, its first
-    occurrence; crowd 0 marks the other occurrences, which are repeats already. Else crowd is the number of
-    digests that the anchor has in the batch."""
+    """(anchor, digest, id, place, repeat): a row for each occurrence of a segment; repeat: an equal segment stands
+    earlier among the SCAN bytes of text that are looked at together. A repeated row is no other occurrence."""
+    powers = _powers(CHUNK)
     for batch in batches:
         ids = batch.column("id").to_numpy()
         buffer, offsets = bytes_of(batch.column("text"))
-        parts = [[] for _ in range(4)]
-        for i, j in spans(offsets, CHUNK):
-            anchor, digest, text, start, count = segments(buffer[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            for p, x in zip(parts, (anchor, digest, ids[i:j][text], start << _PLACE | count)):
-                p.append(x)
-        anchor, digest, doc, place = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
-        if not len(anchor):
-            continue
-        order = np.lexsort((place, doc, digest, anchor))
-        anchor, digest, doc, place = anchor[order], digest[order], doc[order], place[order]
-        head = np.ones(len(anchor), bool)
-        head[1:] = (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])
-        group = np.cumsum(np.concatenate([[True], anchor[1:] != anchor[:-1]])) - 1
-        crowd = np.where(head, np.bincount(group, head)[group], 0).astype(np.int32)
-        first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-        fresh = head | (doc != doc[first]) | (place != place[first])  # a repeated row is no other occurrence
-        columns = [pa.array(x[fresh].view(np.int64)) for x in (anchor, digest, doc, place)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(crowd[fresh])], ["anchor", "digest", "id", "place", "crowd"])
+        for first, last in spans(offsets, SCAN):
+            parts = [[] for _ in range(4)]
+            for i, j in spans(offsets[first : last + 1] - offsets[first], CHUNK):
+                i, j = i + first, j + first
+                data = buffer[offsets[i] : offsets[j]]
+                anchor, digest, text, start, count = segments(data, offsets[i : j + 1] - offsets[i], powers if len(data) <= CHUNK else None)
+                for p, x in zip(parts, (anchor, digest, ids[i:j][text], start << _PLACE | count)):
+                    p.append(x)
+            anchor, digest, doc, place = map(np.concatenate, parts)
+            if not len(anchor):
+                continue
+            if (np.diff(doc) < 0).any():
+                order = np.lexsort((place, doc))
+                anchor, digest, doc, place = anchor[order], digest[order], doc[order], place[order]
+            order = np.argsort(mixed(anchor ^ digest), kind="stable")
+            anchor, digest, doc, place = anchor[order], digest[order], doc[order], place[order]
+            head = np.ones(len(anchor), bool)
+            head[1:] = (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])
+            fresh = head.copy()
+            fresh[1:] |= (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+            columns = [pa.array(x[fresh].view(np.int64)) for x in (anchor, digest, doc, place)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(~head[fresh])], ["anchor", "digest", "id", "place", "repeat"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Rows sorted by keys, as tables that never divide a group; what is held back is the last group alone."""
+    """Rows sorted by keys, as tables that never divide a group, for every batch one (of no row, where the batch ends
+    no group); what is held back is the last group alone."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
+            yield pa.Table.from_batches([batch])
             continue
         change = np.zeros(batch.num_rows, bool)
         for k in keys:
@@ -115,51 +122,88 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
             change[1:] |= x[1:] != x[:-1]
             change[0] |= bool(held) and held[-1].column(k)[-1].as_py() != x[0]
         cut = np.flatnonzero(change)
-        if len(cut):
-            if ready := [*held, batch.slice(0, cut[-1])]:
-                if (out := pa.Table.from_batches(ready)).num_rows:
-                    yield out
-            held = []
-        held.append(batch.slice(cut[-1] if len(cut) else 0))
+        done = batch.slice(0, cut[-1] if len(cut) else 0)
+        yield pa.Table.from_batches([*held, done] if len(cut) else [done])
+        held = [*([] if len(cut) else held), batch.slice(len(done))]
     if held:
         yield pa.Table.from_batches(held)
 
 
+_SETTLED = ["anchor", "id", "place", "different", "hot"]
+
+
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor, split, digest, id, place -> repeats of whole segments (different 0), and the first
-    occurrence of every digest of an anchor that has several (different 1)."""
-    for rows in _groups(batches, ("anchor", "split")):
-        anchor, split, digest, doc, place, hot = (rows.column(c).to_numpy() for c in ("anchor", "split", "digest", "id", "place", "hot"))
-        new_anchor = np.ones(len(anchor), bool)
-        new_anchor[1:] = (anchor[1:] != anchor[:-1]) | (split[1:] != split[:-1])
-        head = new_anchor.copy()
-        head[1:] |= digest[1:] != digest[:-1]
-        group = np.cumsum(new_anchor) - 1
-        several = (np.bincount(group, head)[group] > 1) | hot
-        first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-        keep = np.where(head, several, (doc != doc[first]) | (place != place[first]))
-        columns = [pa.array(x[keep]) for x in (anchor, doc, place, head.astype(np.int32), hot)]
-        yield pa.RecordBatch.from_arrays(columns, ["anchor", "id", "place", "different", "hot"])
+    occurrence of every digest of an anchor that has several (different 1). Held back are only the first occurrences
+    of the last anchor."""
+    before: list | None = None  # the last row so far, and the id and place of its digest's first occurrence
+
+    def heads() -> Iterator[pa.RecordBatch]:
+        nonlocal before
+        for batch in batches:
+            if not batch.num_rows:
+                yield batch
+                continue
+            anchor, split, digest, doc, place = columns = [batch.column(c).to_numpy() for c in ("anchor", "split", "digest", "id", "place")]
+            change = [np.concatenate([[before is None or before[k] != x[0]], x[1:] != x[:-1]]) for k, x in enumerate(columns)]
+            head = change[0] | change[1] | change[2]
+            first = np.maximum.accumulate(np.where(head, np.arange(len(head)), -1))
+            of = [np.where(first < 0, before[5 + k] if before else 0, x[first]) for k, x in enumerate((doc, place))]
+            again = ~head & ((doc != of[0]) | (place != of[1])) & (change[3] | change[4])
+            before = [*(x[-1] for x in columns), of[0][-1], of[1][-1]]
+            out = [*(pa.array(x[again]) for x in (anchor, doc, place)), pa.array(np.zeros(again.sum(), np.int32)), pa.array(np.zeros(again.sum(), bool))]
+            repeats.append(pa.RecordBatch.from_arrays(out, _SETTLED))
+            yield batch.filter(pa.array(head))
+
+    repeats: list[pa.RecordBatch] = []
+    for rows in _groups(heads(), ("anchor", "split")):
+        yield from repeats
+        repeats.clear()
+        if not rows.num_rows:
+            continue
+        anchor, split, doc, place, hot = (rows.column(c).to_numpy() for c in ("anchor", "split", "id", "place", "hot"))
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (split[1:] != split[:-1])
+        group = np.cumsum(new) - 1
+        keep = (np.bincount(group)[group] > 1) | hot
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in (anchor, doc, place)), pa.array(np.ones(keep.sum(), np.int32)), pa.array(hot[keep])], _SETTLED)
+    yield from repeats
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the segments wanted of them -> a row with its bytes for each segment."""
     for batch in batches:
-        anchors, places, docs, hots, cut = [], [], [], [], []
-        for doc, text, wanted in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
-            data = text.as_py().encode()
-            for w in wanted:
-                start, count = w["place"] >> _PLACE, w["place"] & 255
-                docs.append(doc), anchors.append(w["anchor"]), places.append(w["place"]), hots.append(w["hot"])
-                cut.append(data[start : start + count + LENGTH - 1])
-        names = ["anchor", "id", "place", "hot", "segment"]
-        yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(hots, pa.bool_()), pa.array(cut, pa.binary())], names)
+        buffer, offsets = bytes_of(batch.column("text"))
+        docs, lists = batch.column("id"), batch.column("wanted")
+        bounds, wanted = lists.offsets.to_numpy(), lists.values
+        anchor, place, hot = (wanted.field(c) for c in ("anchor", "place", "hot"))
+        at = place.to_numpy()
+        text = np.repeat(np.arange(len(docs)), np.diff(bounds))
+        start = offsets[text] + (at[bounds[0] : bounds[-1]] >> _PLACE)
+        end = start + (at[bounds[0] : bounds[-1]] & 255) + LENGTH - 1
+        for i, j in spans(offsets, CHUNK):
+            a, b = bounds[i], bounds[j]
+            data, base = buffer[offsets[i] : offsets[j]].tobytes(), offsets[i]
+            mine = slice(a - bounds[0], b - bounds[0])
+            cut = [data[x:y] for x, y in zip((start[mine] - base).tolist(), (end[mine] - base).tolist())]
+            columns = [anchor.slice(a, b - a), docs.take(pa.array(text[mine])), place.slice(a, b - a), hot.slice(a, b - a), pa.array(cut, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "id", "place", "hot", "segment"])
+
+
+def _stable_order(key: np.ndarray, most: int) -> np.ndarray:
+    """argsort of keys below `most` that keeps the order of equal ones: faster as a sort of numbers that end in the
+    place, where these fit into 63 bits."""
+    n = len(key)
+    if most * n < 2**63:
+        return np.sort(key * n + np.arange(n)) % n
+    return np.argsort(key, kind="stable")
 
 
 def suffix_array(buffer: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The suffixes' order, by Larsson-Sadakane: suffixes are ranked by their first 7 bytes, then groups of equal
     rank alone are refined by the rank of the suffix as many bytes on as are sorted, which doubles. left: bytes
-    up to the end of each suffix's own string, beyond which it is not compared."""
+    up to the end of each suffix's own string, beyond which it is not compared. Equal ones keep the order of their
+    places, which common_prefixes relies on."""
     n = len(buffer)
     wide = np.concatenate([buffer, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
@@ -177,7 +221,7 @@ def suffix_array(buffer: np.ndarray, left: np.ndarray) -> np.ndarray:
         active = order[place]
         beyond = left[active] <= h
         after = np.where(beyond, -1, rank[np.minimum(active + h, n - 1)])
-        again = np.lexsort((after, rank[active]))
+        again = _stable_order(rank[active] * (n + 1) + after + 1, n * (n + 1))
         active, after, old = active[again], after[again], rank[active][again]
         order[place] = active
         head = np.ones(len(place), bool)
@@ -247,42 +291,49 @@ def _runs(owner: np.ndarray, first_byte: np.ndarray) -> list[np.ndarray]:
     return [owner[begin], first_byte[begin], np.diff(np.append(begin, len(owner)))]
 
 
-_NAMES = ["id", "start", "windows", "key1", "key2"]
+_NAMES = ["id", "start", "windows", "window"]
 
 
 def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by anchor and split -> repeated windows (key1 null), and of split anchors each distinct
-    window with its digest, for the merge."""
+    """Segments sorted by anchor, split, id and place -> repeated windows (window null), and of split anchors each
+    distinct window with its bytes, for the merge."""
     held, size = [], 0
 
-    def done(tables: list[pa.Table]) -> pa.RecordBatch:
+    def done(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         owner, first_byte, head, hot, at, buffer = _repeats_of(pa.concat_tables(tables).combine_chunks())
         repeats = _runs(owner[~head], first_byte[~head])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, repeats), pa.nulls(len(repeats[0]), pa.binary())], _NAMES)
         open_ = np.flatnonzero(head & hot)
-        keys = np.zeros((len(open_), 2), np.int64)
-        data = buffer.tobytes()
-        for i, a in enumerate(at[open_].tolist()):
-            keys[i] = np.frombuffer(hashlib.blake2b(data[a : a + LENGTH], digest_size=16).digest(), np.int64)
-        none = np.zeros(len(repeats[0]), bool)
-        mask = np.concatenate([~none, np.zeros(len(open_), bool)])
-        columns = [np.concatenate([a, b]) for a, b in zip(repeats, (owner[open_], first_byte[open_], np.ones(len(open_), np.int64)))]
-        columns += [np.concatenate([none.astype(np.int64), keys[:, k]]) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=mask if k > 2 else None) for k, c in enumerate(columns)], _NAMES)
+        for part in np.array_split(open_, len(open_) // 10_000 + 1):
+            windows = np.ascontiguousarray(buffer[at[part][:, None] + np.arange(LENGTH)])
+            bytes_ = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(part), [None, pa.py_buffer(windows)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(owner[part]), pa.array(first_byte[part]), pa.array(np.ones(len(part), np.int64)), bytes_], _NAMES)
 
     for group in _groups(batches, ("anchor", "split")):
-        for rows in _parts(group):
+        for rows in _parts(_without_repeated(group)):
             held.append(rows)
             size += rows.column("segment").nbytes
             if size >= SHARD:
-                yield done(held)
+                yield from done(held)
                 held, size = [], 0
     if held:
-        yield done(held)
+        yield from done(held)
+
+
+def _without_repeated(rows: pa.Table) -> pa.Table:
+    """Sorted segments without those of repeated rows."""
+    if not rows.num_rows:
+        return rows
+    keys = [rows.column(c).to_numpy() for c in ("anchor", "split", "id", "place")]
+    return rows.filter(pa.array(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])))
 
 
 def _parts(table_: pa.Table) -> Iterator[pa.Table]:
     """A table cut between groups into parts of about SHARD bytes."""
-    size = np.cumsum([len(x.as_py()) for x in table_.column("segment")])
+    if not table_.num_rows:
+        return
+    table_ = table_.combine_chunks()
+    size = bytes_of(table_.column("segment"))[1][1:]
     anchor, split = table_.column("anchor").to_numpy(), table_.column("split").to_numpy()
     begins = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (split[1:] != split[:-1])]))
     at = 0
@@ -297,26 +348,32 @@ def _parts(table_: pa.Table) -> Iterator[pa.Table]:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct windows of several shards, sorted by digest, id and start: each is looked up by binary search;
-    where the search ends before it, an earlier window is equal to it and it is a repeat."""
-    for rows in _groups(batches, ("key1",)):
-        key1, key2, doc, start = (rows.column(c).to_numpy() for c in ("key1", "key2", "id", "start"))
-        group = np.searchsorted(key1, key1, "left")
-        head = np.ones(len(key1), bool)
-        head[1:] = (group[1:] != group[:-1]) | (key2[1:] != key2[:-1])
-        owner, first_byte, windows = _runs(doc[~head], start[~head])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (owner, first_byte, windows)], _NAMES[:3])
+    """A range of the distinct windows of several shards, sorted by window, id and start: each is sought among the
+    others by binary search. Where the search ends before it, an earlier window is equal to it and it is a repeat."""
+    last = None
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        windows = np.frombuffer(bytes_of(rows.column("window"))[0].tobytes(), f"S{LENGTH}")
+        found = np.searchsorted(windows, windows, "left")
+        repeat = found < np.arange(len(windows))
+        if last is not None:
+            repeat |= windows == last
+        last = windows[-1]
+        owner, first_byte, count = _runs(rows.column("id").to_numpy()[repeat], rows.column("start").to_numpy()[repeat])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (owner, first_byte, count)], _NAMES[:3])
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """(id, start, windows): all windows of `texts` (id, text) that also start earlier, in runs, each once or
     more."""
-    rows = staged(texts.mapInArrow(_scanned, "anchor bigint, digest bigint, id bigint, place bigint, crowd int"))
+    rows = staged(texts.mapInArrow(_scanned, "anchor bigint, digest bigint, id bigint, place bigint, repeat boolean"))
     as_run = [F.col("id"), F.shiftright("place", _PLACE).alias("start"), F.col("place").bitwiseAND(F.lit(255)).alias("windows")]
-    repeats = rows.where("crowd = 0").select(*as_run)
-    hot = rows.where("crowd > 1").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.expr(f"cast(n div {HOT} + 1 as int)").alias("splits"))
-    hot = staged(hot)
-    dealt = rows.where("crowd > 0").select("anchor", "digest", "id", "place").join(hot, "anchor", "left")
+    repeats = rows.where("repeat").select(*as_run)
+    firsts = rows.where("NOT repeat").drop("repeat")
+    sample = firsts.where(F.pmod(F.xxhash64("id", "place"), F.lit(SAMPLE)) == 0).groupBy("anchor").agg((F.count("*") * SAMPLE).alias("n"))
+    hot = staged(sample.where(F.col("n") > HOT).select("anchor", F.expr(f"cast(n div {HOT} + 1 as int)").alias("splits")))
+    dealt = firsts.join(hot, "anchor", "left")
     split = F.coalesce(F.pmod(F.xxhash64("digest"), F.col("splits")).cast("int"), F.lit(0))
     dealt = dealt.select("anchor", split.alias("split"), "digest", "id", "place", F.col("splits").isNotNull().alias("hot"))
     dealt = dealt.repartition("anchor", "split").sortWithinPartitions("anchor", "split", "digest", "id", "place")
@@ -325,34 +382,48 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     wanted = settled.where("different = 1").groupBy("id").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("wanted"))
     cut = texts.join(wanted, "id").mapInArrow(_cut_out, "anchor bigint, id bigint, place bigint, hot boolean, segment binary")
     cut = cut.join(hot, "anchor", "left").withColumn("split", F.coalesce(F.pmod(F.xxhash64("id", "place"), F.col("splits")).cast("int"), F.lit(0))).drop("splits")
-    cut = cut.dropDuplicates(["anchor", "id", "place"]).repartition("anchor", "split").sortWithinPartitions("anchor", "split")
-    shards = staged(cut.mapInArrow(_sharded, "id bigint, start bigint, windows bigint, key1 bigint, key2 bigint"))
-    repeats = repeats.unionByName(shards.where("key1 IS NULL").select("id", "start", "windows"))
-    open_ = shards.where("key1 IS NOT NULL").repartition("key1").sortWithinPartitions("key1", "key2", "id", "start")
+    cut = cut.repartition("anchor", "split").sortWithinPartitions("anchor", "split", "id", "place")
+    shards = staged(cut.mapInArrow(_sharded, "id bigint, start bigint, windows bigint, window binary"))
+    repeats = repeats.unionByName(shards.where("window IS NULL").select("id", "start", "windows"))
+    open_ = shards.where("window IS NOT NULL").repartitionByRange("window").sortWithinPartitions("window", "id", "start")
     return repeats.unionByName(open_.mapInArrow(_merged, "id bigint, start bigint, windows bigint"))
 
 
-def covered(n: int, runs: list[dict]) -> np.ndarray:
-    """Ascending [start, end) of the bytes of a text of n bytes that its repeated windows cover."""
-    at = np.array([(r["start"], r["start"] + r["windows"] + LENGTH - 1) for r in runs]).reshape(-1, 2)
-    at = at[np.argsort(at[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(at[:, 1])
-    new = np.ones(len(at), bool)
-    new[1:] = at[1:, 0] > reach[:-1]
+def covered(start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Ascending [start, end) of the bytes of a text that its repeated windows cover."""
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate((start + windows)[order] + LENGTH - 1)
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > reach[:-1]
     begin = np.flatnonzero(new)
-    return np.stack([at[begin, 0], reach[np.append(begin[1:], len(at)) - 1]], axis=1) if len(at) else at
+    return np.stack([start[begin], reach[np.append(begin[1:], len(start)) - 1]], axis=1) if len(start) else np.zeros((0, 2), np.int64)
+
+
+def _gone(runs: pa.ListArray) -> Iterator[np.ndarray]:
+    """For each text (null: none) what its runs cover."""
+    runs = runs.combine_chunks() if isinstance(runs, pa.ChunkedArray) else runs
+    start, windows = (runs.values.field(c).to_numpy() for c in ("start", "windows"))
+    bounds = runs.offsets.to_numpy()
+    for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+        yield covered(start[a:b], windows[a:b])
+
+
+_KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for doc, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("runs").to_pylist()):
-            data = text.as_py().encode()
-            gone = covered(len(data), runs or [])
+        buffer, offsets = bytes_of(batch.column("text"))
+        sizes, removed, spans_, digests = [], [], [], []
+        for a, b, gone in zip(offsets.tolist(), offsets[1:].tolist(), _gone(batch.column("runs"))):
+            data = buffer[a:b]
             edges = [0, *gone.ravel().tolist(), len(data)]
-            kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            rows.append({"doc_id": doc, "n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(gone), "kept_sha256": hashlib.sha256(kept).hexdigest()})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+            digest, n = hashlib.sha256(), 0
+            for x, y in zip(edges[::2], edges[1::2]):
+                digest.update(data[x:y])
+                n += y - x
+            sizes.append(len(data)), removed.append(len(data) - n), spans_.append(len(gone)), digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (sizes, removed, spans_)), pa.array(digests, pa.string())], schema=_KEPT)
 
 
 def _id(doc_id: Column) -> Column:
@@ -381,7 +452,7 @@ def _with_runs(docs: DataFrame) -> DataFrame:
     Rows of one id and text are one document and get the same runs. Different texts of one id, or without an id, are
     different documents; null ids come before all others."""
     docs = _numbered(docs)
-    runs = repeated_windows(docs.select(F.col("_id").alias("id"), "text")).distinct().groupBy("id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    runs = repeated_windows(docs.select(F.col("_id").alias("id"), "text")).groupBy("id").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
     return docs.join(runs.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
 
 
@@ -394,35 +465,37 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return _with_runs(texts).mapInArrow(_kept, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, runs in zip(batch.column("text"), batch.column("runs").to_pylist()):
-            if not runs:
-                texts.append(text.as_py())
-                continue
-            data = np.frombuffer(text.as_py().encode(), np.uint8)
-            gone = np.zeros(len(data) + 1, np.int32)
-            for a, b in covered(len(data), runs).tolist():
-                gone[a], gone[b] = 1, -1
-            gone = np.cumsum(gone[:-1]) > 0
-            lead = np.flatnonzero((data & 0xC0) != 0x80)
-            whole = np.logical_and.reduceat(gone, lead)
-            stay = ~np.repeat(whole, np.diff(np.append(lead, len(data))))
-            texts.append(data[stay].tobytes().decode())
-        at = batch.schema.get_field_index("text")
-        out = batch.set_column(at, "text", pa.array(texts, pa.string()))
-        yield out.select([n for n in out.schema.names if n != "runs"])
+def _shortened(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, runs in columns:
+        buffer, offsets = bytes_of(texts)
+        for i, j in spans(offsets, CHUNK):
+            out = []
+            for a, b, gone in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), _gone(runs.slice(i, j - i))):
+                data = buffer[a:b]
+                if len(gone):
+                    lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+                    # whole characters within what is covered
+                    edges = np.stack([lead[np.searchsorted(lead, gone[:, 0], "left")], lead[np.searchsorted(lead, gone[:, 1], "right") - 1]], axis=1)
+                    edges = [0, *edges[edges[:, 0] < edges[:, 1]].ravel().tolist(), len(data)]
+                    data = np.concatenate([data[x:y] for x, y in zip(edges[::2], edges[1::2])])
+                out.append(data.tobytes())
+            yield pa.array(out, pa.binary()).cast(pa.string())
+
+
+@F.arrow_udf(StringType())
+def without(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The texts without what their runs cover; of a character that is covered in part nothing is taken."""
+    return _shortened(columns)
 
 
 def shorten(docs: DataFrame) -> DataFrame:
-    """docs with the repeated bytes taken out of `text`; of a character that is covered in part nothing is taken."""
+    """docs with the repeated bytes taken out of `text` (null: ''), other columns as they are."""
     rows, back = guarded(docs.withColumn("text", F.coalesce("text", F.lit(""))), ["doc_id", "text"])
-    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return _with_runs(rows).select(*rows.columns, "runs").mapInArrow(_shortened, fields).select(*back)
+    return _with_runs(rows).withColumn("text", without("text", "runs")).select(*back)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes without those of passages that stand earlier; null texts are empty."""
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 

@@ -197,9 +197,10 @@ def test_blocks_join_all_components(spark, block, monkeypatch):
     assert of(minhash.near_duplicates(frame(spark, rows))).component_id.tolist() == component
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
+@pytest.mark.parametrize("hot", [1000, 2, 1])
 def test_repeats_equal_brute_force(spark, texts, hot, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "SAMPLE", 64 if hot == 1000 else 1)
     got = of(suffixes.remove_repeats(frame(spark, texts)))
     seen = set()
     for i, t in enumerate(texts):
@@ -234,6 +235,15 @@ def test_texts_that_share_an_id_are_different_documents(spark):
     assert sorted((r.doc_id or 0, r.text) for r in left) == sorted((i or 0, want[i, t][1]) for i, t in rows)
 
 
+def test_windows_are_sought_in_order_of_bytes():
+    """As Spark sorts them: bytes are unsigned, and bytes 0 at the end count."""
+    rows = sorted(bytes(r) + b"\0" * k for k, r in [(0, [255] * 100), (0, [1] * 100), (1, [255] * 99), (2, [255] * 98), (100, []), (0, [128] * 100)])
+    rows = [r for r in rows for _ in range(2)]
+    at = list(range(len(rows)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(at[a:b]), pa.array([0] * (b - a)), pa.array(rows[a:b], pa.binary())], ["id", "start", "window"]) for a, b in ((0, 3), (3, 12))]
+    assert sorted(x for b in suffixes._merged(iter(batches)) for x in b.column("id").to_pylist()) == at[1::2]
+
+
 def test_suffix_array_and_common_prefixes():
     words = [b"banana banana banana", b"anan", b"", b"a" * 60]
     buffer = np.frombuffer(b"".join(words), np.uint8)
