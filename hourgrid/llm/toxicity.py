@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hourgrid.llm.common import bytes_of, crc_of_id, mixed, spans, table
 
 #: Labelled documents that the field is fitted on, at most: by label; and the bytes of the longest one that is taken.
-SAMPLE, SAMPLE_TEXT = {1: 1500, 0: 3000}, 16_384
+SAMPLE, SAMPLE_TEXT = {1: 1000, 0: 2000}, 16_384
 #: Buckets of hashed features; lengths of the prefixes that are features, in bytes.
 BUCKET_BITS, PREFIXES = 20, (3, 4, 5, 6, 7, 8)
 #: A feature marks toxic words if it is in so many toxic documents, stands out by so many standard deviations and
