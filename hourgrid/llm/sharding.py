@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from hourgrid.llm.common import staged, table
 
-#: Buckets of one histogram pass; the driver gets at most so many rows for each node.
-BUCKETS = 4096
-#: So few rows of a node around its cut are sorted by the driver instead of by a further pass.
-FEW = 2048
+#: Ranges of one histogram pass, of all nodes together, and the least for a node; they are what the driver gets.
+BUCKETS, LEAST_BUCKETS = 32_768, 64
+#: So few units around the nodes' cuts, all together, are sorted by the driver instead of by a further pass.
+FEW = 16_384
+#: A group of equal texts of more than this share of a shard is dealt in pieces, each of about this share.
+HEAVY, PIECE = 0.125, 0.01
 #: Rows for which one group of slots is meant.
 SLOT_GROUP = 20_000
 
 DIMENSIONS = ("source_code", "lang_code", "id_code", "size")
-_TIES = ("text_crc32", "id_high", "id_low")
-_TIE_RANGES = {"text_crc32": (0, 2**32 - 1), "id_high": (-(2**31), 2**31 - 1), "id_low": (0, 2**32 - 1)}
+_TIES = ("text_crc32", "hash_high", "hash_low", "piece")
+_TIE_RANGES = {"text_crc32": (0, 2**32 - 1), "hash_high": (-(2**31), 2**31 - 1), "hash_low": (0, 2**32 - 1), "piece": (0, 2**31 - 1)}
 
 
 def metadata(docs: DataFrame) -> DataFrame:
@@ -30,14 +32,24 @@ def metadata(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("text_hash"),
         code("source").alias("source_code"),
         code("lang").alias("lang_code"),
         F.shiftright(known, 2).alias("id_code"),
-        F.shiftright(known, 32).alias("id_high"),
-        known.bitwiseAND(F.lit(2**32 - 1)).alias("id_low"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
+def units_of(narrow: DataFrame, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal texts as what is dealt: (narrow with the piece each row is of, one row for each unit with its
+    weight and the least of its rows' dimensions). heavy: (text_crc32, text_hash, pieces) of those that are cut."""
+    text = ["text_crc32", "text_hash"]
+    piece = F.coalesce(F.pmod(F.xxhash64("row"), F.col("pieces")), F.lit(0)).cast("int")
+    pieces = narrow.join(F.broadcast(heavy), text, "left").withColumn("piece", piece).drop("pieces")
+    units = pieces.groupBy(*text, "piece").agg(F.sum("size").alias("weight"), *[F.min(d).alias(d) for d in DIMENSIONS])
+    return pieces, units.withColumn("hash_high", F.shiftright("text_hash", 32)).withColumn("hash_low", F.col("text_hash").bitwiseAND(F.lit(2**32 - 1)))
+
+
 @dataclass
 class Node:
     """A node of the tree: shards first..first+leaves-1, and the search for its cut."""
@@ -49,6 +61,7 @@ class Node:
     low: int
     high: int
     below: int = 0
+    keep: bool = False
     found: list[int] = field(default_factory=list)
 
     @property
@@ -63,6 +76,11 @@ class Node:
         """Whether so much weight is more than the left child's share."""
         return weight * self.leaves > self.total * (self.leaves // 2)
 
+    def end(self, key: tuple[int, ...], weight: int) -> None:
+        """The cut is at key; the unit there goes to the side that is then nearer to its share."""
+        self.found = list(key)
+        self.keep = (2 * self.below + weight) * self.leaves < 2 * self.total * (self.leaves // 2)
+
     def settle(self, value: int) -> None:
         self.found.append(value)
         if self.open:
@@ -78,17 +96,20 @@ def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def _around(placed: DataFrame, nodes: list[Node]) -> DataFrame:
-    """The rows in which the nodes' cuts are still sought, with `value`, the key that is narrowed now."""
+_STATE = [f"v{i}" for i in range(1 + len(_TIES))]
+
+
+def _around(placed: DataFrame, nodes: list[Node], buckets: int) -> DataFrame:
+    """The units in which the nodes' cuts are still sought, with `value`, the key that is narrowed now."""
     state = _small(
         placed.sparkSession,
-        [(n.first, n.dimension, len(n.found), *(n.found + [0] * 3)[:3], n.low, n.high, (n.high - n.low) // BUCKETS + 1) for n in nodes],
-        "node int, dimension string, depth int, v0 bigint, v1 bigint, v2 bigint, low bigint, high bigint, width bigint",
+        [(n.first, n.dimension, len(n.found), *(n.found + [0] * len(_STATE))[: len(_STATE)], n.low, n.high, (n.high - n.low) // buckets + 1) for n in nodes],
+        f"node int, dimension string, depth int, {', '.join(f'{v} bigint' for v in _STATE)}, low bigint, high bigint, width bigint",
     )
     keys = [_key(F.col("dimension")), *[F.col(t) for t in _TIES]]
     inside = F.lit(True)
-    for i in range(3):
-        inside = inside & ((F.col("depth") <= i) | (keys[i] == F.col(f"v{i}")))
+    for i, v in enumerate(_STATE):
+        inside = inside & ((F.col("depth") <= i) | (keys[i] == F.col(v)))
     rows = placed.join(state, "node").where(inside).withColumn("k0", keys[0])
     rows = rows.withColumn("value", F.coalesce(*[F.when(F.col("depth") == i, k) for i, k in enumerate(keys)]))
     return rows.where(F.col("value").between(F.col("low"), F.col("high")))
@@ -97,47 +118,48 @@ def _around(placed: DataFrame, nodes: list[Node]) -> DataFrame:
 def _cuts(placed: DataFrame, nodes: list[Node]) -> None:
     """Finds each node's cut: the least (dimension, ties) whose cumulative weight is beyond the left share.
 
-    Every pass sums weights in at most BUCKETS ranges a node and goes on inside the range that holds the cut;
-    the last FEW rows of a node at most are put in order here."""
+    Every pass sums weights in ranges and goes on inside the range that holds the cut; the last few units of a node
+    are put in order here. What the driver gets is bounded for all nodes together."""
     while active := [n for n in nodes if n.open]:
+        buckets = max(LEAST_BUCKETS, BUCKETS // len(active))
         rows = (
-            _around(placed, active).groupBy("node", F.expr("(value - low) div width").alias("bucket"))
-            .agg(F.sum("size").alias("weight"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("n"))
+            _around(placed, active, buckets).groupBy("node", F.expr("(value - low) div width").alias("bucket"))
+            .agg(F.sum("weight").alias("weight"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("n"))
             .collect()
         )
+        of_node: dict[int, list] = {}
+        for r in rows:
+            of_node.setdefault(r.node, []).append(r)
         few = []
         for n in active:
-            for r in sorted((r for r in rows if r.node == n.first), key=lambda r: r.bucket):
+            for r in sorted(of_node.get(n.first, []), key=lambda r: r.bucket):
                 if n.crosses(n.below + r.weight):
                     n.low, n.high = r.least, r.most
-                    if r.n <= FEW:
+                    if r.n <= max(1, FEW // len(active)):
                         few.append(n)
                     elif r.least == r.most:
                         n.settle(r.least)
                     break
                 n.below += r.weight
         if few:
-            rows = _around(placed, few).select("node", "size", "k0", *_TIES).collect()
+            by_node: dict[int, list] = {}
+            for r in _around(placed, few, buckets).select("node", "weight", "k0", *_TIES).collect():
+                by_node.setdefault(r.node, []).append(((r.k0, *[r[t] for t in _TIES]), r.weight))
             for n in few:
-                weights: dict[tuple, int] = {}
-                for r in rows:
-                    if r.node == n.first:
-                        key = (r.k0, *[r[t] for t in _TIES])
-                        weights[key] = weights.get(key, 0) + r.size
-                for key in sorted(weights):
-                    n.below += weights[key]
-                    if n.crosses(n.below):
-                        n.found = list(key)
+                for key, weight in sorted(by_node[n.first]):
+                    if n.crosses(n.below + weight):
+                        n.end(key, weight)
                         break
+                    n.below += weight
 
 
-def _tree(narrow: DataFrame, shards: int) -> DataFrame:
-    """narrow with its leaf as `node`, the number of the shard."""
-    spark = narrow.sparkSession
+def _tree(units: DataFrame, shards: int) -> DataFrame:
+    """units with their leaf as `node`, the number of the shard."""
+    spark = units.sparkSession
     spread = [f(d).alias(f"{k}_{d}") for d in DIMENSIONS for k, f in (("min", F.min), ("max", F.max))]
-    placed, open_leaves, whole = narrow.withColumn("node", F.lit(0)), {0: shards}, None
+    placed, open_leaves, whole = units.withColumn("node", F.lit(0)), {0: shards}, None
     while any(k > 1 for k in open_leaves.values()):
-        rows = {r.node: r for r in placed.groupBy("node").agg(F.sum("size").alias("total"), *spread).collect()}
+        rows = {r.node: r for r in placed.groupBy("node").agg(F.sum("weight").alias("total"), *spread).collect()}
         if not rows:
             return placed
         whole = whole or {d: max(1, rows[0][f"max_{d}"] - rows[0][f"min_{d}"]) for d in DIMENSIONS}
@@ -151,16 +173,16 @@ def _tree(narrow: DataFrame, shards: int) -> DataFrame:
         _cuts(placed, nodes)
         cut = _small(
             spark,
-            [(n.first, n.dimension, n.leaves // 2, *n.found) for n in nodes] or [(-1, "size", 0, 0, 0, 0, 0)],
-            "node int, dimension string, step int, v0 bigint, v1 bigint, v2 bigint, v3 bigint",
+            [(n.first, n.dimension, n.leaves // 2, n.keep, *n.found) for n in nodes] or [(-1, "size", 0, False, *[0] * len(_STATE))],
+            f"node int, dimension string, step int, keep boolean, {', '.join(f'{v} bigint' for v in _STATE)}",
         )
-        keys = [_key(F.col("dimension")), *[F.col(t) for t in _TIES]]
         left, same = F.lit(False), F.lit(True)
-        for i, k in enumerate(keys):
-            left = left | (same & (k < F.col(f"v{i}")))
-            same = same & (k == F.col(f"v{i}"))
+        for key, v in zip([_key(F.col("dimension")), *[F.col(t) for t in _TIES]], _STATE):
+            left = left | (same & (key < F.col(v)))
+            same = same & (key == F.col(v))
+        left = left | (same & F.col("keep"))
         placed = placed.join(cut, "node", "left").select(
-            *narrow.columns, F.when(F.col("step").isNull() | left, F.col("node")).otherwise(F.col("node") + F.col("step")).alias("node")
+            *units.columns, F.when(F.col("step").isNull() | left, F.col("node")).otherwise(F.col("node") + F.col("step")).alias("node")
         )
         placed = staged(placed)
         open_leaves = {k: v for first, n in open_leaves.items() for k, v in ({first: n // 2, first + n // 2: n - n // 2} if n > 1 else {first: n}).items()}
@@ -170,18 +192,24 @@ def _tree(narrow: DataFrame, shards: int) -> DataFrame:
 def kd_shards(docs: DataFrame, shards: int = 8, target_bytes: int | None = None) -> DataFrame:
     """Deals whole documents into shards by a k-d tree over source, language, id and size.
 
-    Each node is split at the weighted median of its widest dimension (its range against the range over all
-    rows; weights are sizes), ties by digest of the text and id, until there are `shards` leaves, or as many as
-    total / target_bytes asks for. Equal texts follow each other in the order of a split, so at most the groups
-    at a cut are divided. Shards differ by a few documents' sizes at most. Slots number each shard's rows from 0.
+    Groups of equal texts stay together; their dimensions are the least of their rows. Only a group of more than
+    HEAVY of a shard's bytes is cut into pieces. Each node is split at the weighted median of its widest dimension
+    (its range against the range over all rows; weights are bytes), ties by digest of the text, until there are
+    `shards` leaves, or as many as total / target_bytes asks for. The unit at a cut goes to the side that is nearer
+    to its share, so shards differ by about a group at a cut. Slots number each shard's rows from 0.
 
-    No row is lost: null texts have size 1, rows that are equal in all columns stay on one side of each cut.
-    An empty table gives an empty result. Other columns are not looked at."""
+    No row is lost: null texts have size 1 and are one group with empty ones. An empty table gives an empty
+    result. Other columns are not looked at."""
     narrow = staged(metadata(docs))
     facts = narrow.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     if target_bytes:
         shards = max(1, -(-(facts.bytes or 0) // target_bytes))
-    placed = _tree(narrow, shards).select("doc_id", "size", "text_crc32", F.col("node").alias("shard"))
+    limit = HEAVY * (facts.bytes or 0) / shards
+    text = ["text_crc32", "text_hash"]
+    heavy = narrow.groupBy(*text).agg(F.sum("size").alias("held")).where(F.col("held") > limit)  # shards / HEAVY rows at most
+    pieces, units = units_of(narrow, staged(heavy.select(*text, F.ceil(F.col("held") * (HEAVY / PIECE) / limit).cast("int").alias("pieces"))))
+    leaves = _tree(staged(units), shards).select(*text, "piece", F.col("node").alias("shard"))
+    placed = pieces.join(leaves, [*text, "piece"]).select("doc_id", "size", "text_crc32", "shard")
     groups = max(1, facts.n // (SLOT_GROUP * shards) + 1)
     part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(groups)).cast("int")
     placed = placed.withColumn("part", part)
@@ -197,4 +225,5 @@ def kd_shards(docs: DataFrame, shards: int = 8, target_bytes: int | None = None)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards of near equal bytes, groups of equal texts together."""
     return kd_shards(table(spark, sf_dir, "documents"), shards=8)

@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from hourgrid.llm import bpe, langid, licenses, media, minhash, mixing, sharding, suffixes, toxicity, vectors
@@ -108,25 +109,67 @@ def test_bpe_equals_tiktoken(spark, texts):
         assert got.ids_sha256[i] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
 
 
-def test_shards_hold_equal_bytes(spark, texts):
-    docs = frame(spark, texts * 5)
-    got = of(sharding.kd_shards(docs, shards=8))
-    assert len(got) == len(texts) * 5
-    assert got["size"].tolist() == [len((t or "").encode()) + 1 for t in texts * 5]
-    assert got.text_crc32.tolist() == [zlib.crc32((t or "").encode()) for t in texts * 5]
-    sums = got.groupby("shard")["size"].sum()
-    assert len(sums) == 8 and sums.max() - sums.min() <= 3 * got["size"].max()
+def _leaves(texts, rows, shards):
+    """Shards by plain Python: (text) -> shard. rows: (doc_id, text, lang, source)."""
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    crc = lambda x: zlib.crc32((x or "").encode())
+    units = {}
+    for i, t, lang, source in rows:
+        data = (t or "").encode()
+        known = -(2**63) if i is None else i
+        dims = (crc(source), crc(lang), known >> 2, len(data) + 1)
+        unit = units.setdefault(data, [0, dims, (zlib.crc32(data), signed(xxhash.xxh64(data, seed=42).intdigest()))])
+        unit[0] += len(data) + 1
+        unit[1] = tuple(map(min, unit[1], dims))
+    span = lambda us, d: max(u[1][d] for u in us) - min(u[1][d] for u in us)
+    whole = [max(1, span(units.values(), d)) for d in range(4)]
+    out = {}
+
+    def split(part, first, leaves):
+        if leaves == 1 or not part:
+            out.update(dict.fromkeys(part, first))
+            return
+        us = [units[k] for k in part]
+        d = max(range(4), key=lambda d: (span(us, d) / whole[d], -d))
+        order = sorted(part, key=lambda k: (units[k][1][d], units[k][2]))
+        sums = np.cumsum([units[k][0] for k in order])
+        share = sums[-1] * (leaves // 2) / leaves
+        cut = int(np.searchsorted(sums, share, "right"))
+        if sums[cut] - share < share - (sums[cut - 1] if cut else 0):
+            cut += 1
+        split(order[:cut], first, leaves // 2), split(order[cut:], first + leaves // 2, leaves - leaves // 2)
+
+    split(list(units), 0, shards)
+    return [out[(t or "").encode()] for t in texts]
+
+
+@pytest.mark.parametrize("few, target", [(16_384, None), (8, None), (16_384, 900)])
+def test_shards_equal_brute_force(spark, few, target, monkeypatch):
+    monkeypatch.setattr(sharding, "FEW", few)
+    texts = [prose(k % 150, 3 + k % 17) if k % 31 else None for k in range(400)]
+    rows = [(i if i % 50 else None, t, ["en", "fr", None][i % 3], f"src{i % 4}" if i % 7 else None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, lang string, source string, shard int")
+    got = sharding.kd_shards(docs, shards=8, target_bytes=target).toPandas()
+    sizes = [len((t or "").encode()) + 1 for t in texts]
+    shards = -(-sum(sizes) // target) if target else 8
+    want = _leaves(texts, rows, shards)
+    key = lambda i, t: (i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert sorted(zip(got.doc_id.fillna(-1).astype(int), got["size"], got.text_crc32, got.shard)) == sorted((*key(i, t), w) for (i, t, _, _), w in zip(rows, want))
     for _, slots in got.groupby("shard").slot:
         assert sorted(slots) == list(range(len(slots)))
-    assert sharding.kd_shards(docs.limit(0)).count() == 0
 
 
-def test_cut_is_the_weighted_median(spark):
-    docs = spark.createDataFrame([(i, "x" * (i * 7 % 50), "en", "s") for i in range(3000)], "doc_id bigint, text string, lang string, source string")
-    got = of(sharding.kd_shards(docs, shards=2))
-    order = got.assign(d=got.doc_id // 4).sort_values(["d", "text_crc32", "doc_id"])
-    left = order["size"].cumsum() * 2 <= order["size"].sum()
-    assert (order.shard == np.where(left, 0, 1)).all()
+def test_a_heavy_group_is_dealt_in_pieces(spark):
+    """A third of the rows is one text, and a third of those even one row; bytes stay near equal, other groups whole."""
+    texts = [prose(1, 30)] * 300 + [prose(2 + k // 2, 30) for k in range(600)]
+    rows = [(max(0, i - 100), t, "en", "s") for i, t in enumerate(texts)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), shards=8).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(got) == 900 and len(sums) == 8 and sums.max() < 1.1 * sums.min()
+    groups = got.groupby("text_crc32").shard.nunique()
+    assert groups.drop(zlib.crc32(texts[0].encode())).max() == 1 and groups.max() > 2
+    empty = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string")
+    assert sharding.kd_shards(empty).count() == 0
 
 
 def _sets(texts):
