@@ -1,36 +1,39 @@
 """Licence scans by canonical digests (DataFrame functions only)."""
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import table
-
-# Public licence texts and notices.
-_MIT = """MIT License
+from hourgrid.llm.common import staged, table
 
-Copyright (c) <year> <copyright holders>
+#: Up to so many digests of the registry (some 100 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_DIGESTS = 1_000_000
 
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+# First lines that a copy may lack, and notices that stand for a licence.
+TITLES = ("MIT License", "ISC License", "BSD 2-Clause License", "BSD 3-Clause License", "zlib License")
+NOTICES = {
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0."],
+    "CC0-1.0": ["Licensed under CC0 1.0."],
+}
 
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-_ISC = """ISC License
 
-Copyright (c) <year> <owner>
+def _registry() -> dict[str, list[str]]:
+    """The licences' whole texts (license_texts/*.txt, with and without the title line), notices, and SPDX tags."""
+    known = {k: list(v) for k, v in NOTICES.items()}
+    for file in files("hourgrid.llm").joinpath("license_texts").iterdir():
+        if file.name.endswith(".txt"):
+            text = file.read_text()
+            title, _, rest = text.partition("\n")
+            known.setdefault(file.name.removesuffix(".txt"), []).extend([text, rest] if title in TITLES else [text])
+    return {k: [*v, f"SPDX-License-Identifier: {k}"] for k, v in sorted(known.items())}
 
-Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-LICENSES = {
-    "MIT": [_MIT, _MIT.removeprefix("MIT License\n\n"), "Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
-    "ISC": [_ISC, _ISC.removeprefix("ISC License\n\n"), "SPDX-License-Identifier: ISC"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "CC0-1.0": ["Licensed under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
-}
+LICENSES = _registry()
 # Spellings that count as equal, in lower case.
 SPELLINGS = (("licence", "license"), ("non-commercial", "noncommercial"), ("sub-license", "sublicense"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("https:", "http:"), ("&", " and "))
 
@@ -52,39 +55,44 @@ def digest_of_whole(canon: Column) -> Column:
     return F.when(flat != "", F.sha2(flat, 256))
 
 
-def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """(digest, license_id), one row for each distinct digest: as many as the registry has texts."""
-    rows = [(k, t) for k, texts in (known or LICENSES).items() for t in texts]
-    return (
-        spark.createDataFrame(rows, "license_id string, text string")
-        .select(digest_of_whole(canonical(F.col("text"))).alias("digest"), "license_id")
-        .where("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    )
+def known_digests(spark: SparkSession, known: dict[str, list[str]] | DataFrame | None = None) -> DataFrame:
+    """(digest, license_id), one row for each distinct digest of a registry: texts by licence, or a table
+    (license_id, text). A text that two licences share counts as the first by name."""
+    if not isinstance(known, DataFrame):
+        known = spark.createDataFrame([(k, t) for k, texts in (known or LICENSES).items() for t in texts], "license_id string, text string")
+    digests = known.select(digest_of_whole(canonical(F.col("text"))).alias("digest"), "license_id").where("digest IS NOT NULL")
+    return digests.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licenses(docs: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, known: dict[str, list[str]] | DataFrame | None = None) -> DataFrame:
     """Each document with the digest of its canonical text, the licence whose whole text it is, and the licences
-    whose whole notice is one of its lines.
-
-    Digests of whole texts are hash-joined to the registry, which is broadcast (its size is that of the
-    parameter `known`); a line is a whole text of its own, looked up in the same registry. Rows are kept as they
-    are, repeated or not; null and empty texts have a null digest and no licence."""
-    known_rows = known_digests(docs.sparkSession, known)
-    lookup = [x for r in known_rows.collect() for x in (F.lit(r.digest), F.lit(r.license_id))]
-    lines = docs.select("doc_id", canonical(F.col("text")).alias("canon")).select(
-        "doc_id", digest_of_whole(F.col("canon")).alias("digest"),
-        F.filter(F.transform(F.split("canon", "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"),
-    )
-    found = F.transform("lines", lambda x: F.element_at(F.create_map(*lookup), F.sha2(x, 256)))
+    whose whole text is one of its lines.
+
+    Digests of whole documents and of their lines are hash-joined to those of the registry, which are broadcast
+    up to BROADCAST_DIGESTS. What a document's lines are found to be belongs to its canonical text and is joined
+    back by its digest. Rows are kept as they are, repeated or not; null texts and texts without a word have a null
+    digest and no licence. An empty table gives an empty result; other columns are not looked at."""
+    known_rows = staged(known_digests(docs.sparkSession, known))
+    if known_rows.count() <= BROADCAST_DIGESTS:
+        known_rows = F.broadcast(known_rows)
+    lines = F.filter(F.transform(F.split("canon", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = staged(
+        docs.select("doc_id", canonical(F.col("text")).alias("canon"))
+        .select("doc_id", digest_of_whole(F.col("canon")).alias("digest"), F.array_distinct(F.transform(lines, lambda x: F.sha2(x, 256))).alias("lines"))
+        # a key of its own for a text without a digest, so that these do not meet in one task
+        .withColumn("key", F.coalesce("digest", F.concat(F.lit("none "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    )
+    found = rows.select("key", F.explode("lines").alias("digest")).join(known_rows, "digest")
+    notices = found.groupBy("key").agg(F.array_sort(F.collect_set("license_id")).alias("notices"))  # as many as the registry has
     return (
-        lines.withColumn("notices", F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))))
-        .join(F.broadcast(known_rows), "digest", "left")
-        .select("doc_id", "digest", F.col("license_id").alias("whole_license"), F.array_join("notices", ",").alias("notices"),
-                F.size("notices").alias("n_notices"), (F.col("license_id").isNotNull() | (F.size("notices") > 0)).alias("licensed"))
+        rows.drop("lines").join(known_rows, "digest", "left").join(notices, "key", "left")
+        .select("doc_id", "digest", F.col("license_id").alias("whole_license"), F.coalesce(F.array_join("notices", ","), F.lit("")).alias("notices"),
+                F.coalesce(F.size("notices"), F.lit(0)).alias("n_notices"), (F.col("license_id").isNotNull() | F.col("notices").isNotNull()).alias("licensed"))
     )
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents; null texts have none."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 

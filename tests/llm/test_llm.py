@@ -450,13 +450,26 @@ def test_codes_grow_with_the_number_of_vectors(dims, words):
     assert recall >= 0.999
 
 
-def test_licenses(spark):
-    mit = licenses._MIT.replace("<year> <copyright holders>", "2020 Jane Doe")
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_licenses(spark, few, monkeypatch):
+    monkeypatch.setattr(licenses, "BROADCAST_DIGESTS", few)
+    text = lambda k: next(t for t in licenses.LICENSES[k] if len(t) > 500)
+    mit = text("MIT").replace("<year> <copyright holders>", "2020 Jane Doe")
     rows = [mit, mit.upper().replace("\n\n", "\n"), "Text.\nreleased under the MIT Licence\nMore.", "Licensed under CC BY-NC 4.0.", "", None, "licensed", "Licensed under CC BY-NC 4.0. And more"]
-    got = of(licenses.scan_licenses(frame(spark, rows)))
-    assert got.whole_license.fillna("").tolist() == ["MIT", "MIT", "", "CC-BY-NC-4.0", "", "", "", ""]
+    whole = [k for k, v in licenses.LICENSES.items() if max(map(len, v)) > 500]
+    rows += ["Copyright 1999 Somebody\n" + " ".join(text(k).split("\n")).replace("license", "Licence") if "opyright" not in k else "" for k in whole]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(rows)], "doc_id bigint, text string, digest string, notices string")
+    got = of(licenses.scan_licenses(docs))
+    assert got.whole_license.fillna("").tolist()[:8] == ["MIT", "MIT", "", "CC-BY-NC-4.0", "", "", "", ""]
     assert got.notices.tolist()[2:4] == ["MIT", "CC-BY-NC-4.0"] and not got.licensed[7]
-    assert got.digest.isna().tolist() == [False, False, False, False, True, True, False, False]
+    assert got.digest.isna().tolist()[:8] == [False, False, False, False, True, True, False, False]
+    wrapped = [k for k in whole if not re.search(r"(?m)^\s*(copyright|\(c\))", text(k).lower())]  # others lose lines in another place when rewrapped
+    assert len(whole) >= 14 and len(wrapped) >= 3
+    assert [got.whole_license[8 + whole.index(k)] for k in wrapped] == wrapped
+    again = spark.createDataFrame([(i, text(k).swapcase()) for i, k in enumerate(whole)] + [(99, None), (99, None)], "doc_id bigint, text string")
+    got = of(licenses.scan_licenses(again))
+    assert got.whole_license.fillna("").tolist() == [*whole, "", ""]
+    assert licenses.scan_licenses(again.limit(0)).count() == 0
 
 
 def test_repeated_rows_and_null_ids(spark):
