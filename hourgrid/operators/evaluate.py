@@ -1,9 +1,12 @@
 """Scores of forecasts: errors, ROC, rankings, and views over them."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.functions.columns import model_label, model_rank
+from hourgrid.sources.tables import staged
 
 RESERVED = {"origin_ts", "target_ts", "split", "horizon", "y_true", "fold", "cv_train_end", "context", "season", "season_year", "year", "series"}
 
@@ -53,26 +56,52 @@ def price_threshold(hours: DataFrame, q: float = 0.9, keys: tuple[str, ...] = ()
 
 
 def labelled(long: DataFrame, threshold: DataFrame) -> DataFrame:
-    """long with `high`: whether the observed price is at the threshold (one row) or above."""
-    return long.join(F.broadcast(threshold)).withColumn("high", (F.col("y_true") >= F.col("threshold")).cast("int"))
+    """long with `high`: whether the observed price is at the threshold (a table of one row) or above."""
+    return long.withColumn("threshold", F.lit(threshold.first()["threshold"]).cast("double")).withColumn("high", (F.col("y_true") >= F.col("threshold")).cast("int"))
+
+
+def _ranged(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """rows in ranges of `order`, with the range's number: the n-th range stands before the next one as a whole, so
+    work along the order is done range by range, and a group of any size is many tasks'."""
+    return staged(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+
+
+def _beside(rows: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with facts of the same `on`; null is equal to null."""
+    facts = facts.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in facts.columns])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return rows.join(facts, same).drop(*[f"_on_{c}" for c in on])
 
 
 def roc_steps(scored: DataFrame, by: list[str]) -> DataFrame:
-    """For each group and distinct score, falling: cumulative positives (tp) and negatives (fp), and their totals.
+    """For each group and distinct score, falling: cumulative positives (tp) and negatives (fp), their totals, and
+    the positives and negatives of the next score (null at the last).
 
-    Rows are first summed by score, so a window sees distinct scores only."""
+    Rows are first summed by score. Sums run within ranges of scores; what stands before a range comes from the
+    ranges' totals, of which there are as many as partitions and groups."""
     sums = scored.groupBy(*by, "pred").agg(F.sum("high").alias("pos"), F.sum(1 - F.col("high")).alias("neg"))
-    falling, whole = Window.partitionBy(*by).orderBy(F.desc("pred")), Window.partitionBy(*by)
-    return sums.withColumns(
-        {"tp": F.sum("pos").over(falling), "fp": F.sum("neg").over(falling), "positives": F.sum("pos").over(whole), "negatives": F.sum("neg").over(whole)}
-    )
+    ranges = _ranged(sums, *by, F.desc("pred"))
+    totals = ranges.groupBy(*by, "range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max_by(F.struct("pos", "neg"), "pred").alias("first"))
+    order, whole = Window.partitionBy(*by).orderBy("range"), Window.partitionBy(*by)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    facts = totals.select(
+        *by, "range", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("fp0"),
+        F.sum("p").over(whole).alias("positives"), F.sum("n").over(whole).alias("negatives"), F.lead("first").over(order).alias("following"),
+    )
+    falling = Window.partitionBy(*by, "range").orderBy(F.desc("pred"))
+    steps = _beside(ranges, facts, [*by, "range"]).withColumns(
+        {
+            "tp": F.col("tp0") + F.sum("pos").over(falling), "fp": F.col("fp0") + F.sum("neg").over(falling),
+            "next_pos": F.coalesce(F.lead("pos").over(falling), F.col("following.pos")), "next_neg": F.coalesce(F.lead("neg").over(falling), F.col("following.neg")),
+        }
+    )
+    return steps.drop("tp0", "fp0", "following")
 
 
 def roc_auc(scored: DataFrame, by: list[str], keep_one_class: bool = False) -> DataFrame:
     """n, positives, negatives, area under the curve by trapezoids. Groups of one class are left out, or kept with
     a null area."""
-    before = Window.partitionBy(*by).orderBy(F.desc("pred"))
-    steps = roc_steps(scored, by).withColumn("area", F.col("neg") * (F.col("tp") + F.lag("tp", 1, 0).over(before)) / 2.0)
+    steps = roc_steps(scored, by).withColumn("area", F.col("neg") * (2 * F.col("tp") - F.col("pos")) / 2.0)
     out = steps.groupBy(*by).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"), F.max("positives").alias("positives"), F.max("negatives").alias("negatives"), F.sum("area").alias("area"))
     both = (F.col("positives") > 0) & (F.col("negatives") > 0)
     out = out.withColumn("auc", F.when(both, F.col("area") / (F.col("positives") * F.col("negatives")))).drop("area")
@@ -81,15 +110,46 @@ def roc_auc(scored: DataFrame, by: list[str], keep_one_class: bool = False) -> D
 
 def roc_curve(scored: DataFrame, by: list[str]) -> DataFrame:
     """point, fpr, tpr, threshold: the curve's corners, led by (0, 0) with an infinite threshold. An inner point
-    where neither count bends is left out."""
-    order = Window.partitionBy(*by).orderBy(F.desc("pred"))
-    bend = lambda c: F.lead(c).over(order) - 2 * F.col(c) + F.lag(c).over(order)
+    where neither count bends is left out. Points are numbered range by range, as steps are summed."""
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
     steps = roc_steps(scored, by).where("positives > 0 AND negatives > 0")
-    corners = steps.withColumns({"b1": bend("fp"), "b2": bend("tp")}).where("b1 IS NULL OR b1 <> 0 OR b2 <> 0")
-    points = corners.select(*by, (F.col("fp") / F.col("negatives")).alias("fpr"), (F.col("tp") / F.col("positives")).alias("tpr"), F.col("pred").alias("threshold"))
-    first = steps.select(*by).distinct().select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold"))
-    number = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("threshold"))) - 1
-    return points.unionByName(first).withColumn("point", number)
+    corners = steps.where(first | F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
+    counts = corners.groupBy(*by, "range").agg(F.count("*").alias("points"))
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.select(*by, "range", F.coalesce(F.sum("points").over(before), F.lit(0)).alias("earlier"))
+    number = F.row_number().over(Window.partitionBy(*by, "range").orderBy(F.desc("pred")))
+    points = _beside(corners, places, [*by, "range"]).select(
+        *by, (F.col("fp") / F.col("negatives")).alias("fpr"), (F.col("tp") / F.col("positives")).alias("tpr"), F.col("pred").alias("threshold"), (F.col("earlier") + number).alias("point")
+    )
+    origin = counts.select(*by).distinct().select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint").alias("point"))
+    return points.unionByName(origin)
+
+
+def quantiles(rows: DataFrame, column: str, qs: list[float]) -> list[float | None]:
+    """Exact quantiles by interpolation; null values do not count, and without values all are None.
+
+    Values are dealt to ranges; the ranges' counts say in which one and at which place a wanted rank stands, and only
+    those few values are fetched."""
+    ranges = _ranged(rows.select(F.col(column).alias("value")).where("value IS NOT NULL"), "value")
+    counts = {r["range"]: r["n"] for r in ranges.groupBy("range").agg(F.count("*").alias("n")).collect()}  # one row a partition
+    total = sum(counts.values())
+    if not total:
+        return [None for _ in qs]
+    wanted = {k for q in qs for k in (int(q * (total - 1)), min(int(q * (total - 1)) + 1, total - 1))}
+    places, start = {}, 0
+    for number in sorted(counts):
+        places |= {(number, k - start + 1): k for k in wanted if start <= k < start + counts[number]}
+        start += counts[number]
+    inside = ranges.where(F.col("range").isin(*{n for n, _ in places})).withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("value")))
+    found = inside.where(reduce(Column.__or__, [(F.col("range") == n) & (F.col("place") == k) for n, k in places])).collect()
+    at = {places[r["range"], r["place"]]: r["value"] for r in found}
+    out = []
+    for q in qs:
+        rank = q * (total - 1)
+        low = int(rank)
+        high = min(low + 1, total - 1)
+        out.append(at[low] if low == rank else at[low] * (low + 1 - rank) + at[high] * (rank - low))
+    return out
 
 
 def best_by(metrics: DataFrame, by: list[str]) -> DataFrame:
@@ -146,14 +206,14 @@ def replay_summary(errors: DataFrame) -> DataFrame:
 
 def stress_lens(errors: DataFrame) -> DataFrame:
     """Heat, blizzard and normal hours (UTC months, quantiles of the rows given): means and missed high prices."""
-    marks = errors.agg(*[F.percentile("actual", q / 100).alias(f"q{q}") for q in (40, 60, 90)])
+    marks = dict(zip(("q40", "q60", "q90"), quantiles(errors, "actual", [0.4, 0.6, 0.9])))
     month, actual = F.month("target_ts"), F.col("actual")
     lenses = F.array(
         F.when(month.isin(6, 7, 8) & (actual >= F.col("q90")), "heat"),
         F.when(month.isin(12, 1, 2, 3) & (actual >= F.col("q90")), "blizzard"),
         F.when(actual.between(F.col("q40"), F.col("q60")), "normal"),
     )
-    rows = errors.join(F.broadcast(marks)).withColumn("lens", F.explode(F.array_compact(lenses)))
+    rows = errors.withColumns({k: F.lit(v).cast("double") for k, v in marks.items()}).withColumn("lens", F.explode(F.array_compact(lenses)))
     high = F.when(actual >= F.col("q90"), (F.col("predicted") < F.col("q90")).cast("int"))
     return rows.groupBy("lens").agg(
         F.count("*").alias("n"), F.avg("actual").alias("mean_actual"), F.avg("predicted").alias("mean_predicted"), F.avg("error").alias("mean_error"), F.avg(high).alias("miss_rate")

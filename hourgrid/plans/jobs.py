@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions.columns import season, season_year, local
 from hourgrid.operators import clean, dmdc, evaluate, events, features, origins
 from hourgrid.plans import adapter
+from hourgrid.sources.tables import staged
 
 #: Hours between the origins of the registered queries.
 STEP = 6
@@ -19,27 +20,47 @@ def feeds(spark: SparkSession, sf_dir: str) -> list[clean.Feed]:
     return [(adapter.price_feed(spark, sf_dir), adapter.PRICE), (adapter.load_feed(spark, sf_dir), adapter.LOAD), (adapter.weather_feed(spark, sf_dir), adapter.WEATHER)]
 
 
+#: What events and forecasts need of the clean table.
+CORE = ("lmp", "load_mw", "temp_c", "hdd", "cdd", "precip_1h_mm", "wind_speed_ms")
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean hourly table with all features."""
     return features.features(clean.clean(clean.align(feeds(spark, sf_dir))))
 
 
-def with_forecast_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return origins.with_past(hourly(spark, sf_dir))
+def core_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hourly with the CORE measures only, for work that uses the hours in several branches: the clean table is staged,
+    so that each branch begins at it."""
+    table = clean.clean(clean.align(feeds(spark, sf_dir)))
+    return features.features(staged(table.select("ts", "lmp_observed", *[f"{m}{end}" for m in CORE for end in ("_clean", "_missing")])))
+
+
+def staged_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hourly, with all measures staged."""
+    return features.features(staged(clean.clean(clean.align(feeds(spark, sf_dir)))))
+
+
+def supervised_of(hours: DataFrame) -> DataFrame:
+    return features.supervised(origins.with_past(hours), adapter.TRAIN_END, adapter.VALIDATION_END)
 
 
 def supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.supervised(with_forecast_columns(spark, sf_dir), adapter.TRAIN_END, adapter.VALIDATION_END)
+    return supervised_of(hourly(spark, sf_dir))
 
 
-def chosen_origins(spark: SparkSession, sf_dir: str, step: int = STEP) -> DataFrame:
-    rows = supervised(spark, sf_dir).where(F.col("split").isin("validation", "test"))
+def chosen_origins(hours: DataFrame, step: int = STEP) -> DataFrame:
+    rows = supervised_of(hours).where(F.col("split").isin("validation", "test"))
     return origins.complete_horizon(origins.sample_origins(rows, step))
 
 
-def predictions(spark: SparkSession, sf_dir: str, step: int = STEP) -> DataFrame:
+def predictions_of(hours: DataFrame, step: int = STEP) -> DataFrame:
     """Origins of validation and test with the two naive forecasts."""
-    return origins.fan_out(chosen_origins(spark, sf_dir, step))
+    return origins.fan_out(chosen_origins(hours, step))
+
+
+def predictions(spark: SparkSession, sf_dir: str, step: int = STEP) -> DataFrame:
+    return predictions_of(core_hours(spark, sf_dir), step)
 
 
 def fitted_models(hours: DataFrame) -> dict[str, dmdc.Dmdc]:
@@ -55,7 +76,8 @@ def forecast_table(chosen: DataFrame, models: dict[str, dmdc.Dmdc]) -> DataFrame
 
 def fold_predictions(spark: SparkSession, sf_dir: str, with_models: bool = False, step: int = STEP) -> DataFrame:
     """Expanding folds one after the other, with fold and cv_train_end."""
-    rows, hours, parts = supervised(spark, sf_dir), hourly(spark, sf_dir), []
+    hours, parts = staged_hours(spark, sf_dir) if with_models else core_hours(spark, sf_dir), []
+    rows = supervised_of(hours)
     for name, train_end, first, last in FOLDS:
         start, end, trained = (F.lit(x).cast("timestamp_ntz") for x in (first, last, train_end))
         inside = rows.where(F.col("ts").between(start, end)).withColumn("split", F.lit(name))

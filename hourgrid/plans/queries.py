@@ -83,11 +83,16 @@ def _(spark, d):
     return tables.read_table(spark, path)
 
 
-@query("write_dataset", "ts split lmp_clean:d", S, "supervised")
+@query("write_dataset", "form part ts lmp_clean:d lmp_clean_lag_168h:d target_lmp_h24:d", f"""{S}, parts AS (SELECT 'hourly' AS part, ts, lmp_clean, lmp_clean_lag_168h, target_lmp_h24 FROM hourly UNION ALL SELECT split, ts, lmp_clean, lmp_clean_lag_168h, target_lmp_h24 FROM supervised),
+  t AS (SELECT unnest(['parquet', 'csv']) AS form, parts.* FROM parts)""", "t")
 def _(spark, d):
-    path = tables.scratch(spark)
-    tables.write_dataset(jobs.supervised(spark, d).select("ts", "split", "lmp_clean"), path)
-    return tables.read_table(spark, path)
+    path, hours = tables.scratch(spark), jobs.staged_hours(spark, d)
+    tables.write_dataset(hours, jobs.supervised_of(hours).drop("naive_24h", "naive_168h"), path)
+    fields, parts = "ts timestamp_ntz, lmp_clean double, lmp_clean_lag_168h double, target_lmp_h24 double", []
+    for form in ("parquet", "csv"):
+        parts.append(tables.read_dataset(spark, path, "hourly", form, fields).select(F.lit(form).alias("form"), F.lit("hourly").alias("part"), "*"))
+        parts.append(tables.read_dataset(spark, path, "supervised", form, f"{fields}, split string").withColumnRenamed("split", "part").withColumn("form", F.lit(form)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("write_reports", f"model split {METRICS}", f"{P}, t AS ({sql.metrics(['split'])})", "t")
@@ -184,7 +189,8 @@ def _errors(spark, d):
 
 
 def _scored(spark, d):
-    return evaluate.labelled(_long(spark, d), jobs.train_threshold(jobs.hourly(spark, d)))
+    hours = jobs.core_hours(spark, d)
+    return evaluate.labelled(evaluate.models_long(jobs.predictions_of(hours), NAIVE), jobs.train_threshold(hours))
 
 
 KEYS = "origin_ts target_ts split horizon:i"
@@ -215,7 +221,7 @@ query("sample_origins", "ts split", P, "origins")(lambda spark, d: origins.sampl
 
 @query("complete_horizon_filter", "ts hours_ahead:i", f"{H}, t AS (SELECT ts, count(*) OVER (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING) AS hours_ahead FROM hourly QUALIFY hours_ahead = 24)", "t")
 def _(spark, d):
-    return origins.complete_horizon(jobs.with_forecast_columns(spark, d))
+    return origins.complete_horizon(origins.with_past(jobs.hourly(spark, d)))
 
 
 for _name, _kind in (("winter_storm_candidates", "winter_storm"), ("sudden_heat_candidates", "summer_sudden_heat"), ("cold_wave_candidates", "winter_cold_wave"), ("heat_price_candidates", "summer_heat_price_event")):
@@ -251,33 +257,39 @@ def _(spark, d):
     return origins.attach_external(rows, other, "sarimax")
 
 
-def _storms(spark, d):
-    return events.detect(jobs.hourly(spark, d), "winter_storm", MIN_HOURS["winter_storm"])
+def _with_storms(of: Callable[[DataFrame, DataFrame], DataFrame], kind: str = "winter_storm") -> Callable[[SparkSession, str], DataFrame]:
+    """of(hours, events of the kind)."""
+
+    def run(spark, d):
+        hours = jobs.core_hours(spark, d)
+        return of(hours, events.detect(hours, kind, MIN_HOURS[kind]))
 
+    return run
 
-query("event_hours", "event_id ts lmp_clean:d", f"{E}, t AS (SELECT event_id, ts, lmp_clean FROM e_winter_storm JOIN hourly ON ts BETWEEN start_utc AND end_utc)", "t")(lambda spark, d: events.event_hours(jobs.hourly(spark, d), _storms(spark, d)))
+
+query("event_hours", "event_id ts lmp_clean:d", f"{E}, t AS (SELECT event_id, ts, lmp_clean FROM e_winter_storm JOIN hourly ON ts BETWEEN start_utc AND end_utc)", "t")(_with_storms(events.event_hours))
 _picked = f"{E}, picked AS (SELECT * FROM e_winter_storm), {sql.PHASES}"
 
 
 @query("event_phase_hours", "event_id phase ts", f"{_picked}, t AS (SELECT event_id, phase, ts FROM phase_rows JOIN hourly ON ts BETWEEN phase_start AND phase_end)", "t")
 def _(spark, d):
-    return events.event_hours(jobs.hourly(spark, d), events.phases(_storms(spark, d)), "phase_start", "phase_end")
+    return _with_storms(lambda hours, storms: events.event_hours(hours, events.phases(storms), "phase_start", "phase_end"))(spark, d)
 
 
 STATS = "event_id phase phase_start phase_end hours:i mean_lmp:d median_lmp:d max_lmp:d mean_load_mw:d max_load_mw:d mean_temp_c:d min_temp_c:d mean_hdd:d max_hdd:d max_wind_speed_ms:d precip_1h_total_mm:d"
-query("phase_stats", STATS, _picked, "stats")(lambda spark, d: events.phase_stats(jobs.hourly(spark, d), _storms(spark, d)))
+query("phase_stats", STATS, _picked, "stats")(_with_storms(events.phase_stats))
 
 
 def _uplifts(spark, d):
-    return events.event_uplift(events.phase_stats(jobs.hourly(spark, d), _storms(spark, d)))
+    return events.event_uplift(_with_storms(events.phase_stats)(spark, d))
 
 
 query("event_uplift", "event_id phase event_uplift:d", _picked, "study")(_uplifts)
 
 
 def _with_context(spark, d):
-    hours = jobs.hourly(spark, d)
-    return events.label_context(_long(spark, d), events.context_hours(hours, jobs.all_events(hours, MIN_HOURS)))
+    hours = jobs.core_hours(spark, d)
+    return events.label_context(evaluate.models_long(jobs.predictions_of(hours), NAIVE), events.context_hours(hours, jobs.all_events(hours, MIN_HOURS)))
 
 
 PE = f"{P},\n{sql.events_sql()},\n{sql.CONTEXT}"
@@ -306,7 +318,8 @@ _roc_season = sql.roc_sql(_BY, "(SELECT * FROM with_season WHERE season <> 'othe
 
 
 def _scored_seasons(spark, d):
-    return evaluate.labelled(jobs.with_seasons(_long(spark, d)), jobs.train_threshold(jobs.hourly(spark, d)))
+    hours = jobs.core_hours(spark, d)
+    return evaluate.labelled(jobs.with_seasons(evaluate.models_long(jobs.predictions_of(hours), NAIVE)), jobs.train_threshold(hours))
 
 
 query("roc_auc_season_year", f"model split season season_year:i {AUC}", f"{PS}, {_roc_season}", "auc")(lambda spark, d: evaluate.roc_auc(_scored_seasons(spark, d), _BY, keep_one_class=True))
@@ -329,22 +342,19 @@ query("summer_hourly_profile", "year_local:i hour_local:i mean_lmp:d p95_lmp:d m
       f"{H}, t AS (SELECT year_local, hour_local, avg(lmp_clean) AS mean_lmp, quantile_cont(lmp_clean, 0.95) AS p95_lmp, avg(load_mw_clean) AS mean_load_mw, avg(temp_c_clean) AS mean_temp_c, avg(cdd_clean) AS mean_cdd FROM hourly WHERE is_summer = 1 GROUP BY 1, 2)", "t")(lambda spark, d: seasons.summer_hourly_profile(jobs.hourly(spark, d)))
 
 
-def _summary(spark, d):
-    return events.event_summary(jobs.hourly(spark, d), _storms(spark, d))
+_summary = _with_storms(events.event_summary)
 
 
 SUMMARY = "event_id start_utc end_utc duration_hours:i mean_lmp:d max_lmp:d peak_utc mean_premium:d max_premium:d mean_load_mw:d max_load_mw:d mean_temp_c:d min_temp_c:d max_temp_c:d sum_precip_1h_mm:d max_wind_speed_ms:d mean_hdd:d mean_cdd:d"
 _summed = f"{E},\n{sql.summary_sql()}"
 query("event_summary", SUMMARY, _summed, "summary")(_summary)
-query("event_peak", "event_id peak_utc max_lmp:d", f"{E},\n{sql.summary_sql('winter_cold_wave')}", "summary")(
-    lambda spark, d: events.event_summary(jobs.hourly(spark, d), events.detect(jobs.hourly(spark, d), "winter_cold_wave", MIN_HOURS["winter_cold_wave"]))
-)
+query("event_peak", "event_id peak_utc max_lmp:d", f"{E},\n{sql.summary_sql('winter_cold_wave')}", "summary")(_with_storms(events.event_summary, "winter_cold_wave"))
 query("top_events", "event_id max_lmp:d", f"{_summed}, t AS (SELECT * FROM summary ORDER BY max_lmp DESC, event_id LIMIT 10)", "t")(lambda spark, d: _summary(spark, d).orderBy(F.desc("max_lmp"), "event_id").limit(10))
 
 
 @query("major_storm_study", f"{STATS} event_uplift:d", f"{_summed}, picked AS (SELECT * FROM summary WHERE max_lmp >= (SELECT quantile_cont(max_lmp, 0.9) FROM summary)), {sql.PHASES}", "study")
 def _(spark, d):
-    return events.event_uplift(events.phase_stats(jobs.hourly(spark, d), events.major_events(_summary(spark, d))))
+    return _with_storms(lambda hours, storms: events.event_uplift(events.phase_stats(hours, events.major_events(events.event_summary(hours, storms)))))(spark, d)
 
 
 @query("top_uplifts", "event_id event_uplift:d", f"{_picked}, t AS (SELECT DISTINCT event_id, event_uplift FROM study WHERE event_uplift IS NOT NULL ORDER BY event_uplift DESC, event_id LIMIT 5)", "t")
@@ -417,7 +427,7 @@ query("rank_models", f"model split label {METRICS}", f"{_ms}, t AS (SELECT *, CA
 query("worst_horizon", "model split horizon:i mae:d", f"{P}, x AS ({sql.metrics(['split', 'horizon'])}), t AS (SELECT * FROM x ORDER BY mae DESC, model, split, horizon LIMIT 1)", "t")(
     lambda spark, d: evaluate.regression_metrics(_long(spark, d), ["split", "horizon"]).orderBy(F.desc("mae"), "model", "split", "horizon").limit(1)
 )
-query("first_n_origins", "ts split", f"{P}, t AS (SELECT * FROM origins ORDER BY ts LIMIT 10)", "t")(lambda spark, d: origins.first_origins(jobs.chosen_origins(spark, d), 10))
+query("first_n_origins", "ts split", f"{P}, t AS (SELECT * FROM origins ORDER BY ts LIMIT 10)", "t")(lambda spark, d: origins.first_origins(jobs.chosen_origins(jobs.hourly(spark, d)), 10))
 query("distinct_origins", "origin_ts", f"{P}, t AS (SELECT DISTINCT origin_ts FROM predictions ORDER BY 1)", "t")(lambda spark, d: jobs.predictions(spark, d).select("origin_ts").distinct().orderBy("origin_ts"))
 _pivot = lambda row, column, values, measures: ", ".join(f"max({m}) FILTER (WHERE {column} = '{v}') AS {v}_{m}" for v in values for m in measures)
 _SPLITS = ["validation", "test"]
@@ -443,6 +453,18 @@ f_{name} AS (SELECT ts AS origin_ts, '{name}' AS split, '{name}' AS fold, TIMEST
 
 FOLD = "origin_ts target_ts split fold cv_train_end horizon:i y_true:d seasonal_naive_24h:d"
 query("union_folds", FOLD, _fold_sql(), "folds")(jobs.fold_predictions)
+_fold_long = f"{_fold_sql()}, long AS (SELECT *, 'seasonal_naive_24h' AS model, seasonal_naive_24h AS pred FROM folds WHERE y_true IS NOT NULL AND seasonal_naive_24h IS NOT NULL)"
+_fold_threshold = f"threshold AS (SELECT quantile_cont(lmp_clean, 0.9) AS threshold FROM hourly WHERE ts <= TIMESTAMP '{adapter.TRAIN_END}')"
+
+
+def _folds_long(spark, d):
+    return evaluate.models_long(jobs.fold_predictions(spark, d).drop("seasonal_naive_168h"), NAIVE[:1])
+
+
+query("fold_metrics", f"model fold {METRICS}", f"{_fold_long}, t AS ({sql.metrics(['fold'])})", "t")(lambda spark, d: evaluate.regression_metrics(_folds_long(spark, d), ["fold"]))
+query("fold_roc_auc", f"model fold {AUC}", f"{_fold_long}, {_fold_threshold}, {sql.roc_sql(['model', 'fold'], 'long')}", "auc")(
+    lambda spark, d: evaluate.roc_auc(evaluate.labelled(_folds_long(spark, d), jobs.train_threshold(jobs.hourly(spark, d))), ["model", "fold"], keep_one_class=True)
+)
 
 # --- state-space forecasts (tests compare them with NumPy)
 
@@ -459,13 +481,36 @@ def _(spark, d):
 
 
 def _forecasts(spark, d):
-    return jobs.forecast_table(jobs.chosen_origins(spark, d), jobs.fitted_models(_train(spark, d)))
+    hours = jobs.staged_hours(spark, d)
+    trained = hours.where(F.col("ts") <= F.lit(adapter.TRAIN_END).cast("timestamp_ntz"))
+    return jobs.forecast_table(jobs.chosen_origins(hours), jobs.fitted_models(trained))
+
+
+MODELS = [*NAIVE, "dmdc", "dmdc_residual_24h"]
+
+
+def _all_long(spark, d):
+    return evaluate.models_long(_forecasts(spark, d).select("origin_ts", "target_ts", "split", "horizon", "y_true", *MODELS), MODELS)
 
 
 query("dmdc_forecast", f"{KEYS} dmdc")(_forecasts)
 query("dmdc_residual_forecast", f"{KEYS} dmdc_residual_24h")(_forecasts)
 query("forecast_table", f"{KEYS} y_true seasonal_naive_24h seasonal_naive_168h dmdc dmdc_residual_24h")(_forecasts)
+query("forecast_table_naive", f"{KEYS} y_true:d seasonal_naive_24h:d seasonal_naive_168h:d", P, "predictions")(_forecasts)
 query("expanding_cv", f"{FOLD.replace(':d', '')} seasonal_naive_168h dmdc dmdc_residual_24h")(lambda spark, d: jobs.fold_predictions(spark, d, with_models=True))
+query("expanding_cv_naive", FOLD, _fold_sql(), "folds")(lambda spark, d: jobs.fold_predictions(spark, d, with_models=True))
+query("metrics_all_models", f"model split {METRICS}")(lambda spark, d: evaluate.regression_metrics(_all_long(spark, d), ["split"]))
+
+
+@query("roc_auc_all_models", f"model split {AUC}")
+def _(spark, d):
+    return evaluate.roc_auc(evaluate.labelled(_all_long(spark, d), jobs.train_threshold(jobs.hourly(spark, d))), ["model", "split"])
+
+
+@query("residual_improvement", "improvement:d")
+def _(spark, d):
+    of = lambda m: F.avg(F.when(F.col("model") == m, F.col("mae")))
+    return evaluate.regression_metrics(_all_long(spark, d), ["split", "horizon"]).agg((of(NAIVE[0]) - of("dmdc_residual_24h")).alias("improvement"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,7 @@ REPORT_TIMES = ("origin_ts", "target_ts", "timestamp_utc")
 def read_hourly_csv(spark: SparkSession, path: str, time_column: str, measures: list[str]) -> DataFrame:
     """A CSV feed: its time column as UTC `ts` (a bad time fails), measures as doubles (bad text is missing)."""
     raw = spark.read.option("header", True).csv(path)
-    zone = F.to_timestamp(F.col(time_column)).cast("timestamp_ntz")
-    return coerce_numeric(raw.withColumn("ts", zone).drop(*{time_column} - {"ts"}), measures)
+    return coerce_numeric(raw.withColumn("ts", F.col(time_column).cast("timestamp_ntz")).drop(*{time_column} - {"ts"}), measures)
 
 
 def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -26,15 +25,31 @@ def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table with its time column as UTC without zone."""
+    """A Parquet table with its time column as UTC without zone, whatever the session's zone."""
     df = spark.read.parquet(path)
-    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz")) if "ts" in df.columns else df
+    kind = dict(df.dtypes).get("ts")
+    if kind == "timestamp":
+        at = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("ts").cast("timestamp_ntz"))
+        return df.withColumn("ts", at)
+    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz")) if kind else df
 
 
-def write_dataset(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """A table by split, as Parquet or CSV."""
-    writer = df.write.mode("overwrite").partitionBy("split")
-    writer.parquet(path) if kind == "parquet" else writer.option("header", True).csv(path)
+def write_dataset(hours: DataFrame, supervised: DataFrame, path: str) -> None:
+    """The modelling tables: <path>/hourly and <path>/supervised (by split), each as parquet and csv. They are staged
+    once, so that both forms hold the same rows and nothing is computed twice."""
+    for name, df, by in (("hourly", hours, []), ("supervised", supervised, ["split"])):
+        rows = staged(df)
+        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}/parquet")
+        rows.write.mode("overwrite").partitionBy(*by).option("header", True).csv(f"{path}/{name}/csv")
+
+
+def read_dataset(spark: SparkSession, path: str, name: str, kind: str, schema: str) -> DataFrame:
+    """One of the modelling tables again: hourly or supervised, parquet or csv; schema has the columns wanted."""
+    if kind == "parquet":
+        return spark.read.schema(schema).parquet(f"{path}/{name}/parquet")
+    raw = spark.read.option("header", True).csv(f"{path}/{name}/csv")
+    kinds = dict(spark.createDataFrame([], schema).dtypes)
+    return raw.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
 
 
 def write_report(df: DataFrame, path: str) -> None:
@@ -49,10 +64,17 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    times = {c: F.try_to_timestamp(F.col(c)).cast("timestamp_ntz") for c in REPORT_TIMES if c in df.columns}
+    times = {c: F.expr(f"try_cast(`{c}` AS TIMESTAMP_NTZ)") for c in REPORT_TIMES if c in df.columns}
     return df.withColumns(times) if times else df
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written to a scratch place and read again: its lineage is cut, and lost executors do not lose it."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new place below spark.checkpoint.dir; only where that is unset, a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-hourgrid-")

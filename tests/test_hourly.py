@@ -1,5 +1,6 @@
 """Small tables with known answers, and comparisons with pandas and NumPy."""
 
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -141,3 +142,63 @@ def test_dmdc_equals_numpy(spark):
         for h in range(24):
             s = model.a @ s + model.b @ ((control[i, h] - both.mean(0)[2:]) / both.std(0)[2:])
             assert abs(got[i, h] - (s[0] * both.std(0)[0] + both.mean(0)[0])) < 1e-9
+
+
+def scored_rows(n, seed=1):
+    r = random.Random(seed)
+    return [(m, s, float(r.randint(0, 40)), int(r.random() < 0.3)) for m in ("a", "b") for s in ("x", None) for _ in range(n)]
+
+
+def test_roc_over_many_ranges_equals_plain_python(spark):
+    rows = scored_rows(120) + [("one", "x", 1.0, 1)]
+    scored = spark.createDataFrame(rows, "model string, split string, pred double, high int").repartition(7)
+    auc = {(r.model, r.split): r for r in evaluate.roc_auc(scored, ["model", "split"], keep_one_class=True).collect()}
+    curve = evaluate.roc_curve(scored, ["model", "split"]).collect()
+    for key in {r[:2] for r in rows}:
+        mine = [r[2:] for r in rows if r[:2] == key]
+        pos, neg = [p for p, h in mine if h], [p for p, h in mine if not h]
+        got = auc[key]
+        assert (got.n, got.positives, got.negatives) == (len(mine), len(pos), len(neg))
+        if not neg:
+            assert got.auc is None
+            continue
+        assert got.auc == pytest.approx(sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg))
+        full = [(0, 0)] + [(sum(q >= t for q in neg), sum(p >= t for p in pos)) for t in sorted({p for p, _ in mine}, reverse=True)]
+        bent = [k for k in range(len(full)) if k in (0, 1, len(full) - 1) or any(full[k + 1][i] - 2 * full[k][i] + full[k - 1][i] for i in (0, 1))]
+        points = sorted((r.point, round(r.fpr * len(neg)), round(r.tpr * len(pos))) for r in curve if (r.model, r.split) == key)
+        assert points == [(i, *full[k]) for i, k in enumerate(bent)]
+    assert evaluate.roc_auc(scored.limit(0), ["model", "split"]).count() == 0 and evaluate.roc_curve(scored.limit(0), ["model"]).count() == 0
+
+
+@pytest.mark.parametrize("values", [[], [None], [3.0], [1.0, 2.0], [5.0] * 9, [None, *map(float, range(100, 0, -1))]])
+def test_quantiles_equal_interpolation(spark, values):
+    qs = [0.0, 0.4, 0.6, 0.9, 1.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    known = [v for v in values if v is not None]
+    got = evaluate.quantiles(rows, "v", qs)
+    assert got == [None] * 5 if not known else got == pytest.approx(np.quantile(known, qs).tolist())
+
+
+def test_times_do_not_follow_the_session_zone(spark, tmp_path):
+    path, zone = f"file://{tmp_path}", spark.conf.get("spark.sql.session.timeZone")
+    (tmp_path / "feed.csv").write_text("at,lmp\n2023-03-12 02:30:00,1.5\n2023-11-05 01:00:00,bad\n")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        spark.sql("SELECT TIMESTAMP '2023-03-12 02:30:00 UTC' AS ts").write.parquet(f"{path}/table")
+        feed = tables.read_hourly_csv(spark, f"{path}/feed.csv", "at", ["lmp"]).orderBy("ts").collect()
+        assert [(str(r.ts), r.lmp) for r in feed] == [("2023-03-12 02:30:00", 1.5), ("2023-11-05 01:00:00", None)]
+        assert str(tables.read_table(spark, f"{path}/table").first().ts) == "2023-03-12 02:30:00"
+        report = tables.read_report(spark, f"{path}/feed.csv", "")
+        assert "at" in report.columns
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_dataset_is_written_in_both_forms(spark, tmp_path):
+    rows = spark.createDataFrame([(datetime(2023, 1, 1, h), float(h) if h else None, "train" if h < 3 else "test") for h in range(5)], "ts timestamp_ntz, y double, split string")
+    tables.write_dataset(rows.drop("split"), rows, f"file://{tmp_path}/out")
+    for form in ("parquet", "csv"):
+        found = tables.read_dataset(spark, f"file://{tmp_path}/out", "hourly", form, "ts timestamp_ntz, y double")
+        parts = tables.read_dataset(spark, f"file://{tmp_path}/out", "supervised", form, "ts timestamp_ntz, y double, split string")
+        assert {(r.ts, r.y) for r in found.collect()} == {(r.ts, r.y) for r in rows.collect()}
+        assert {(r.ts, r.y, r.split) for r in parts.collect()} == {(r.ts, r.y, r.split) for r in rows.collect()}
