@@ -483,9 +483,3 @@ def test_repeated_rows_and_null_ids(spark):
     full = docs.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
     assert sharding.kd_shards(full).count() == 4 and mixing.mix(full, fraction=1.0, max_epochs=1).count() == 3
     assert isinstance(of(bpe.encode(docs)), pd.DataFrame)
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeated_passages", "mixing", "tokens"]
