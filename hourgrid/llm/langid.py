@@ -9,26 +9,26 @@ from pyspark.sql import functions as F
 
 from hourgrid.llm.common import bytes_of, crc_of_id, spans, table
 
-#: Symbols of the trees: the most frequent bytes of the sample, and one for all others.
-ALPHABET = 48
 #: Bytes of context at most.
 ORDER = 3
-#: The sample: whole texts of about so many bytes a language, chosen by a digest of the text.
+#: The sample: different whole texts of about so many bytes a language, chosen by a digest of the text.
 SAMPLE_BYTES = 400_000
-#: Code lengths are kept as whole 1/UNIT bits.
-UNIT = 1024
 #: Bytes of text that are scored at once; a longer text is scored in such blocks.
 CHUNK = 1 << 20
 
 
 def training_sample(rows: DataFrame, sample_bytes: int) -> DataFrame:
-    """Whole labelled texts (lang, text), of about sample_bytes bytes a language (all, where there are fewer).
-
-    A text is taken if a digest of it is below its language's share, so that the choice needs no order."""
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("held"))
-    digest = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
+    """Different whole labelled texts (lang, text), of about sample_bytes bytes a language (all, where there are fewer).
+
+    A text is taken if a digest of it is below its language's share, so that the choice needs no order; the text of
+    the least digest is taken always, so that no language is left without one. Copies count once."""
+    digest = F.xxhash64("text")
+    place = F.pmod(F.col("digest"), F.lit(1_000_000))
+    different = rows.groupBy("lang", digest.alias("digest"), F.octet_length("text").alias("size")).agg(F.lit(1))
+    sizes = different.groupBy("lang").agg(F.sum("size").alias("held"), F.min(place).alias("least"))
     share = F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest(F.col("held"), F.lit(1)))
-    return rows.join(F.broadcast(sizes), "lang").where(digest < share * 1_000_000).select("lang", "text")
+    rows = rows.withColumn("digest", digest).join(F.broadcast(sizes), "lang")
+    return rows.where((place < share * 1_000_000) | (place == F.col("least"))).select("lang", "text").distinct()
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,39 +60,57 @@ _FOLD[[9, 10, 11, 12, 13]] = 32
 
 
 class Model:
-    """Frozen statistics: languages, their 4-byte counts, and the bytes that are symbols of their own."""
+    """Frozen statistics: one tree of byte contexts for each language.
+
+    The order k node of a context gives a byte that followed it n / (all + distinct); what is escaped, distinct /
+    (all + distinct), is dealt by the node of order k - 1 among the bytes not seen here (exclusion), and under order 0
+    evenly among 256. A context that was never seen leaves all to the next shorter one, without a cost."""
 
     def __init__(self, langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray]):
-        self.langs, self.grams, self.counts = langs, grams, counts
-        seen = np.zeros(256)
-        for g, n in zip(grams, counts):
-            np.add.at(seen, g & 255, n / max(1, n.sum()))
-        top = np.argsort(-seen, kind="stable")[: ALPHABET - 1]
-        self.symbol = np.full(256, ALPHABET - 1, np.int32)
-        self.symbol[np.sort(top)] = np.arange(len(top))
-
-    def code_lengths(self) -> np.ndarray:
-        """[context and symbol, language] -> code length of the symbol after the context, in 1/UNIT bits."""
-        return np.ascontiguousarray(np.stack([self._lengths(g, n) for g, n in zip(self.grams, self.counts)], axis=1))
-
-    def _lengths(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Of one language. The order k tree gives a symbol n / (all + distinct); what is escaped, distinct /
-        (all + distinct), is dealt by the tree of order k - 1 among the symbols not seen here (exclusion), and
-        under order 0 evenly. A context that was never seen leaves all to the next shorter one."""
-        index = np.zeros(len(grams), np.int64)
-        for i in range(ORDER + 1):
-            index = index * ALPHABET + self.symbol[(grams >> (8 * (ORDER - i))) & 255]
-        full = np.bincount(index, counts, ALPHABET ** (ORDER + 1)).astype(np.float32).reshape((ALPHABET,) * (ORDER + 1))
-        p = np.full(ALPHABET, 1 / ALPHABET, np.float32)
+        self.langs = langs
+        self.trees = [self._tree(g, n) for g, n in zip(grams, counts)]
+
+    @staticmethod
+    def _tree(grams: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """For k = 0 to ORDER: strings of k + 1 bytes and the bits of their last byte, contexts and the bits to leave them."""
+        tree = []
+        before, p = np.zeros(1, np.int64), np.full(1, 1 / 256)  # under order 0
         for k in range(ORDER + 1):
-            n = full.sum(axis=tuple(range(ORDER - k))) if k < ORDER else full
-            seen = n > 0
-            total, distinct = n.sum(-1, keepdims=True), seen.sum(-1, keepdims=True)
-            lower = np.where(seen, np.float32(0), p)
-            rest = lower.sum(-1, keepdims=True)
-            escape = np.where(total > 0, np.where(rest > 0, distinct, 0) / np.maximum(total + np.where(rest > 0, distinct, 0), 1), 1)
-            p = np.where(seen, n / np.maximum(total + np.where(rest > 0, distinct, 0), 1), escape * lower / np.maximum(rest, np.float32(1e-30)))
-        return np.minimum(-np.log2(np.maximum(p.ravel(), 1e-12)) * UNIT, 65535).astype(np.uint16)
+            strings, place = np.unique(grams & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            n = np.bincount(place, counts, len(strings))
+            contexts, node = np.unique(strings >> 8, return_inverse=True)
+            total, distinct = np.bincount(node, n), np.bincount(node)
+            shorter = p[np.searchsorted(before, strings & ((1 << 8 * k) - 1))]
+            escapes = np.where(distinct < 256, distinct, 0)
+            rest = np.where(distinct < 256, 1 - np.bincount(node, shorter), 1)
+            before, p = strings, n / (total + escapes)[node]
+            leave = np.where(distinct < 256, escapes, 1) / (total + escapes) / rest
+            tree.append((strings, -np.log2(p), contexts, -np.log2(leave)))
+        return tree
+
+    def code_lengths(self, grams: np.ndarray) -> np.ndarray:
+        """[string of ORDER + 1 bytes, language] -> bits of its last byte after the others."""
+        return np.stack([self._bits(tree, grams) for tree in self.trees], axis=1)
+
+    @staticmethod
+    def _bits(tree: list[tuple[np.ndarray, ...]], grams: np.ndarray) -> np.ndarray:
+        out, left = np.zeros(len(grams)), np.arange(len(grams))
+        for k in range(ORDER, -1, -1):
+            strings, bits, contexts, leaving = tree[k]
+            string = grams[left] & ((1 << 8 * (k + 1)) - 1)
+            at, known = _found(strings, string)
+            out[left[known]] += bits[at[known]]
+            left, context = left[~known], string[~known] >> 8
+            at, known = _found(contexts, context)
+            out[left[known]] += leaving[at[known]]
+        out[left] += 8
+        return out
+
+
+def _found(known: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each sought value is in the sorted known ones, and whether it is there."""
+    at = np.minimum(np.searchsorted(known, sought), len(known) - 1)
+    return at, known[at] == sought
 
 
 def fit(rows: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
@@ -104,28 +122,15 @@ def fit(rows: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
     return Model(langs, [m["gram"].to_numpy(np.int64) for m in mine], [m["n"].to_numpy(np.int64) for m in mine])
 
 
-class _Ready:
-    """A model's code lengths, built once in each worker and kept for the model used last."""
-
-    last: tuple[object, np.ndarray] | None = None
-
-    @classmethod
-    def of(cls, key: object, model: Model) -> np.ndarray:
-        if cls.last is None or cls.last[0] != key:
-            cls.last = (key, model.code_lengths())
-        return cls.last[1]
-
-
-def text_bits(model: Model, lengths: np.ndarray, buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def text_bits(model: Model, buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """[text, language] -> code length of the whole text, in bits."""
     out = np.zeros((len(offsets) - 1, len(model.langs)))
     for i, j in spans(offsets, CHUNK):
         for a in range(offsets[i], offsets[j], CHUNK):
             b = min(a + CHUNK, offsets[j])
-            data = model.symbol[folded(buffer[max(0, a - ORDER) : b])]
-            blank = model.symbol[32]
-            data = np.concatenate([np.full(ORDER - min(a, ORDER), blank, np.int32), data])
-            index = np.zeros(b - a, np.int32)
+            data = folded(buffer[max(0, a - ORDER) : b])
+            data = np.concatenate([np.full(ORDER - min(a, ORDER), 32, np.uint8), data])
+            gram = np.zeros(b - a, np.uint32)
             starts = np.maximum(offsets[i:j], a) - a
             for k in range(ORDER + 1):
                 part = data[k : k + b - a]
@@ -134,21 +139,21 @@ def text_bits(model: Model, lengths: np.ndarray, buffer: np.ndarray, offsets: np
                     own = offsets[i:j] - a
                     for back in range(ORDER - k):
                         at = own + back
-                        part[at[(at >= 0) & (at < b - a) & (back < np.diff(offsets[i : j + 1]))]] = blank
-                index = index * ALPHABET + part
-            cost = lengths.take(index, axis=0)
+                        part[at[(at >= 0) & (at < b - a) & (back < np.diff(offsets[i : j + 1]))]] = 32
+                gram = gram << np.uint32(8) | part
+            different, place = np.unique(gram, return_inverse=True)
+            cost = model.code_lengths(different.astype(np.int64)).take(place, axis=0)
             full = starts < np.minimum(offsets[i + 1 : j + 1], b) - a
             if full.any():
-                out[i:j][full] += np.add.reduceat(cost, starts[full], axis=0, dtype=np.int64)
-    return out / UNIT
+                out[i:j][full] += np.add.reduceat(cost, starts[full], axis=0)
+    return out
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], key: str, shared) -> Iterator[pa.RecordBatch]:
+def _predicted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model = shared.value
-    lengths = _Ready.of(key, model)
     for batch in batches:
         buffer, offsets = bytes_of(batch.column("text"))
-        bits = text_bits(model, lengths, buffer, offsets)
+        bits = text_bits(model, buffer, offsets)
         best = bits.argmin(axis=1)
         score = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1)
         letters = batch.column("letters").to_numpy(zero_copy_only=False)
@@ -169,10 +174,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     if not model.langs:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     rows = rows.withColumn("letters", F.col("text").rlike(r"\p{L}"))
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), str(id(model)) + str([int(n.sum()) for n in model.counts])
-    return rows.mapInArrow(lambda batches: _predicted(batches, key, shared), "doc_id bigint, held_out boolean, lang_pred string, score double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(lambda batches: _predicted(batches, shared), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predict() for documents, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return predict(docs, fit(docs.where(crc_of_id(F.col("doc_id")) % 4 != 2)))

@@ -1,7 +1,9 @@
 """Operators on documents and embeddings against plain Python, with nulls, empty texts, repeats and odd columns."""
 
 import base64
+import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -61,11 +63,51 @@ def test_language_id(spark):
     assert langid.predict(empty, langid.fit(docs)).count() == 0
 
 
-def test_code_lengths_sum_to_one():
-    grams = np.array([int.from_bytes(g, "big") for g in (b"abca", b"abcb", b"bcab")], np.int64)
-    lengths = langid.Model(["x"], [grams], [np.array([3, 1, 2])]).code_lengths()[:, 0] / langid.UNIT
-    sums = np.exp2(-lengths).reshape(-1, langid.ALPHABET).sum(axis=1)
-    assert np.allclose(sums, 1, atol=0.03)
+def plain_ppm(texts, k, context):
+    """Probabilities of all 256 bytes after a context, by the definition: tables of what followed, escapes, exclusion."""
+    followed = collections.Counter()
+    for text in texts:
+        data = b" " * langid.ORDER + text
+        for i in range(langid.ORDER, len(data)):
+            if data[i - k : i] == context[len(context) - k :]:
+                followed[data[i]] += 1
+    lower = plain_ppm(texts, k - 1, context) if k else [1 / 256] * 256
+    if not followed:
+        return lower
+    total, distinct = sum(followed.values()), len(followed) if len(followed) < 256 else 0
+    rest = math.fsum(q for c, q in enumerate(lower) if c not in followed)
+    return [followed[c] / (total + distinct) if c in followed else distinct / (total + distinct) * q / rest for c, q in enumerate(lower)]
+
+
+def test_code_lengths_equal_a_plain_coder(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CHUNK", 16)  # texts of several blocks, and several texts a block
+    learned = {"a": ["abracadabra \u00e9", "abba", "abba", bytes(range(128)).decode() * 2], "b": ["barbara bar", "\u00df zaz"]}
+    docs = spark.createDataFrame([(lang, t) for lang, texts in learned.items() for t in texts], "lang string, text string")
+    model = langid.fit(docs)
+    texts = ["abrac zeb\u00df", "", "x", "barbara \u00e9\u4e2d abracadabra bar", "ab", "\0\x7f\n"]
+    got = langid.text_bits(model, *bytes_of(pa.array(texts)))
+    fold = lambda t: bytes(langid.folded(np.frombuffer(t.encode(), np.uint8)))
+    for j, lang in enumerate(model.langs):
+        known = [fold(t) for t in sorted(set(learned[lang]))]  # copies count once
+        for i, text in enumerate(texts):
+            data = b" " * langid.ORDER + fold(text)
+            shares = [plain_ppm(known, langid.ORDER, data[k - langid.ORDER : k]) for k in range(langid.ORDER, len(data))]
+            assert all(abs(math.fsum(p) - 1) < 1e-12 for p in shares)
+            assert got[i, j] == pytest.approx(-sum(math.log2(p[c]) for p, c in zip(shares, data[langid.ORDER :])), abs=1e-9)
+
+
+def test_every_byte_seen_leaves_no_escape():
+    grams = np.array([int.from_bytes(b"abc" + bytes([c]), "big") for c in range(256)], np.int64)
+    model = langid.Model(["x"], [grams], [np.ones(256, np.int64)])
+    assert np.allclose(model.code_lengths(grams)[:, 0], 8)
+
+
+def test_a_language_of_long_texts_has_a_sample(spark):
+    docs = spark.createDataFrame([("en", f"{i} " + "the cat " * 400) for i in range(5)] + [("fr", "le chat")], "lang string, text string")
+    sample = langid.training_sample(docs, 10).groupBy("lang").count().toPandas()
+    assert sorted(sample.lang) == ["en", "fr"]
+    copies = langid.training_sample(docs.union(docs), 10**6)
+    assert copies.count() == 6
 
 
 def test_media_round_trip(spark, texts, tmp_path):
