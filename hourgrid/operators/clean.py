@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions.columns import by_time, filled
 
 Feed = tuple[DataFrame, list[str]]
-#: Rows that interpolation reaches into a gap from each side.
+# Rows that interpolation reaches into a gap from each side.
 FILL_LIMITS = {
     "lmp": 24, "congestion": 24, "marginal_loss": 24, "load_mw": 12, "temp_c": 6, "dewpoint_c": 6, "rh_pct": 6, "wind_speed_ms": 6, "slp_hpa": 6,
     "cdd": 6, "hdd": 6, "n_stations": 6,

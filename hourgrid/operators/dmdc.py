@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions.columns import by_time
 from hourgrid.operators.features import STATES
 
+# Controls, states and penalty of the two models.
 CONTROLS = ("sin_hour", "cos_hour", "sin_dow", "cos_dow", "sin_month", "cos_month", "is_weekend", "is_summer", "is_winter")
 FULL_STATES = ("lmp_clean", "congestion_clean", "marginal_loss_clean", "load_mw_clean", "temp_c_clean", "hdd_clean", "cdd_clean", "wind_speed_ms_clean")
 RESIDUAL_STATES = tuple(f"{m}_change_24h" for m in STATES)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hourgrid.functions.columns import by_time, calendar, cyclic, finite, local, split_of
 
 HORIZON = 24
+# Lags in hours, rolling windows, required features.
 LAGS = {"lmp": (1, 24, 48, 168), "load_mw": (1, 24, 168), "temp_c": (1, 24, 168), "hdd": (1, 24, 168), "cdd": (1, 24, 168)}
 #: name -> (measure, rows, least number of values, mean or sample deviation), over the rows before.
 ROLLS = {

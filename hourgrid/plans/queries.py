@@ -513,6 +513,36 @@ def _(spark, d):
     return evaluate.regression_metrics(_all_long(spark, d), ["split", "horizon"]).agg((of(NAIVE[0]) - of("dmdc_residual_24h")).alias("improvement"))
 
 
+# --- many series at once: a key for each
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hours of every event type as a series of its own, with all features."""
+    value = F.col("value")
+    hours = _events_raw(spark, sf_dir).select(
+        "event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), value.alias("lmp"), F.col("user_id").cast("double").alias("load_mw"),
+        value.alias("temp_c"), F.greatest(18.3 - value, F.lit(0.0)).alias("hdd"), F.greatest(value - 18.3, F.lit(0.0)).alias("cdd"),
+    )
+    key = ("event_type",)
+    return features.features(clean.clean(clean.align([(hours, list(features.STATES))], key), key), key)
+
+
+query(
+    "keyed_features",
+    "event_type ts lmp_missing:i lmp_clean:d load_mw_clean:d lmp_clean_lag_1h:d lmp_clean_lag_168h:d load_mw_clean_lag_24h:d lmp_roll_24h_mean:d lmp_roll_24h_std:d lmp_roll_168h_mean:d "
+    "lmp_change_24h:d target_lmp_h01:d target_lmp_h24:d",
+    sql.SERIES_FEATURES,
+    "series",
+)(_series)
+
+
+@query("keyed_sessions", "event_type event_id start_utc end_utc duration_hours:i", sql.SERIES_RUNS, "runs")
+def _(spark, d):
+    key = ("event_type",)
+    high = events.with_premium(_series(spark, d), key).where("premium > 1")
+    return events.numbered(events.sessions(high, 1, key), "high", 3, key)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Storm events, from the raw feeds on."""
     return QUERIES["event_summary"](spark, sf_dir)

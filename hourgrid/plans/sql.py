@@ -15,9 +15,9 @@ def _means(feed: str, measures: list[str]) -> str:
     return f"{feed}_h AS (SELECT ts, {', '.join(f'avg({m}) AS {m}' for m in measures)} FROM {feed} WHERE ts IS NOT NULL GROUP BY ts)"
 
 
-def fill_parts(column: str) -> str:
-    """Value and row before and after each row of a CTE that has `rn`."""
-    up, down = "OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+def fill_parts(column: str, by: str = "") -> str:
+    """Value and row before and after each row of a CTE that has `rn`; by: PARTITION BY of the series."""
+    up, down = f"OVER ({by} ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", f"OVER ({by} ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
     at = f"CASE WHEN {column} IS NOT NULL THEN rn END"
     return f"last_value({column} IGNORE NULLS) {up} AS {column}_p, last_value({at} IGNORE NULLS) {up} AS {column}_i, first_value({column} IGNORE NULLS) {down} AS {column}_n, first_value({at} IGNORE NULLS) {down} AS {column}_j"
 
@@ -144,3 +144,26 @@ bends AS (SELECT *, lead(fp) OVER ({w}) - 2 * fp + lag(fp) OVER ({w}) AS b1, lea
 corners AS (SELECT {g}, fp / negatives AS fpr, tp / positives AS tpr, pred AS threshold FROM bends WHERE b1 IS NULL OR b1 <> 0 OR b2 <> 0
   UNION ALL SELECT DISTINCT {g}, 0, 0, 'inf'::DOUBLE FROM bends),
 points AS (SELECT {g}, (row_number() OVER (PARTITION BY {g} ORDER BY threshold DESC) - 1)::INTEGER AS point, round(fpr + 3.3e-8, 6) AS fpr, round(tpr + 3.3e-8, 6) AS tpr, CASE WHEN threshold < 'inf'::DOUBLE THEN round(threshold + 3.3e-8, 6) END AS threshold FROM corners)"""
+
+
+#: Several series at once, one for each event type; limits, lags and windows are written out here.
+SERIES = f"""WITH unique_hours AS (SELECT event_type, date_trunc('hour', ts) AS ts, avg(value) AS lmp, avg(user_id::DOUBLE) AS load_mw FROM events WHERE ts IS NOT NULL GROUP BY 1, 2),
+bounds AS (SELECT event_type, min(ts) AS a, max(ts) AS b FROM unique_hours GROUP BY 1),
+grid AS (SELECT event_type, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM bounds),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM grid LEFT JOIN unique_hours USING (event_type, ts)),
+edges AS (SELECT *, {fill_parts("lmp", "PARTITION BY event_type")}, {fill_parts("load_mw", "PARTITION BY event_type")} FROM numbered),
+filled AS (SELECT event_type, ts, lmp AS lmp_observed, (lmp IS NULL)::INTEGER AS lmp_missing, {fill_value("lmp", 24)} AS lmp_clean, {fill_value("load_mw", 12)} AS load_mw_clean FROM edges)"""
+SERIES_FEATURES = f"""{SERIES},
+series AS (SELECT event_type, ts, lmp_missing, lmp_clean, load_mw_clean, lag(lmp_clean, 1) OVER w AS lmp_clean_lag_1h, lag(lmp_clean, 168) OVER w AS lmp_clean_lag_168h,
+  lag(load_mw_clean, 24) OVER w AS load_mw_clean_lag_24h, CASE WHEN count(lmp_clean) OVER d >= 12 THEN avg(lmp_clean) OVER d END AS lmp_roll_24h_mean,
+  CASE WHEN count(lmp_clean) OVER d >= 12 THEN stddev_samp(lmp_clean) OVER d END AS lmp_roll_24h_std, CASE WHEN count(lmp_clean) OVER k >= 72 THEN avg(lmp_clean) OVER k END AS lmp_roll_168h_mean,
+  lmp_clean - lag(lmp_clean, 24) OVER w AS lmp_change_24h, lead(lmp_observed, 1) OVER w AS target_lmp_h01, lead(lmp_observed, 24) OVER w AS target_lmp_h24 FROM filled
+  WINDOW w AS (PARTITION BY event_type ORDER BY ts), d AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), k AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING))"""
+SERIES_RUNS = f"""{SERIES},
+local_hours AS (SELECT *, month({LOCAL.format("ts")}) AS m, hour({LOCAL.format("ts")}) AS h FROM filled),
+normal AS (SELECT event_type, m, h, median(lmp_clean) AS normal_lmp FROM local_hours GROUP BY ALL),
+high AS (SELECT event_type, ts FROM local_hours JOIN normal USING (event_type, m, h) WHERE lmp_clean - normal_lmp > 1),
+begun AS (SELECT *, CASE WHEN date_diff('hour', lag(ts) OVER (PARTITION BY event_type ORDER BY ts), ts) <= 2 THEN 0 ELSE 1 END AS new FROM high),
+joined AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts) AS run FROM begun),
+spans AS (SELECT event_type, min(ts) AS start_utc, max(ts) AS end_utc, date_diff('hour', min(ts), max(ts)) + 1 AS duration_hours FROM joined GROUP BY event_type, run),
+runs AS (SELECT *, printf('high_%03d', row_number() OVER (PARTITION BY event_type ORDER BY start_utc)) AS event_id FROM spans WHERE duration_hours >= 3)"""

@@ -76,6 +76,10 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new place below spark.checkpoint.dir; only where that is unset, a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-hourgrid-")
+    """A new place below spark.checkpoint.dir. Where that is unset, a temporary folder serves a session on one
+    machine; on a cluster, whose executors would not share it, this fails."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="spark-hourgrid-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

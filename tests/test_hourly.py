@@ -202,3 +202,33 @@ def test_dataset_is_written_in_both_forms(spark, tmp_path):
         parts = tables.read_dataset(spark, f"file://{tmp_path}/out", "supervised", form, "ts timestamp_ntz, y double, split string")
         assert {(r.ts, r.y) for r in found.collect()} == {(r.ts, r.y) for r in rows.collect()}
         assert {(r.ts, r.y, r.split) for r in parts.collect()} == {(r.ts, r.y, r.split) for r in rows.collect()}
+
+
+def test_values_of_the_twins_written_out():
+    """The SQL twins share these values with the Spark side, so they are stated here once more."""
+    assert clean.FILL_LIMITS["lmp"] == clean.FILL_LIMITS["congestion"] == clean.FILL_LIMITS["marginal_loss"] == 24
+    assert clean.FILL_LIMITS["load_mw"] == 12 and {clean.FILL_LIMITS[c] for c in ("temp_c", "dewpoint_c", "rh_pct", "wind_speed_ms", "slp_hpa", "cdd", "hdd", "n_stations")} == {6}
+    assert features.LAGS["lmp"] == (1, 24, 48, 168) and {features.LAGS[m] for m in ("load_mw", "temp_c", "hdd", "cdd")} == {(1, 24, 168)}
+    assert {n: x[:3] for n, x in features.ROLLS.items()} == {
+        "lmp_roll_24h_mean": ("lmp", 24, 12), "lmp_roll_24h_std": ("lmp", 24, 12), "lmp_roll_168h_mean": ("lmp", 168, 72),
+        "load_roll_24h_mean": ("load_mw", 24, 12), "temp_roll_24h_mean": ("temp_c", 24, 12),
+    }
+    assert len(features.targets()) == 24
+
+
+def test_series_with_keys_do_not_meet(spark):
+    """Two series in one run give what each gives alone; an empty table gives an empty one."""
+    names = [*features.STATES]
+    values = {"a": [1.0, None, None, 4.0, *map(float, range(30))], "b": [10.0 * i for i in range(40)]}
+    rows = [(key, i, *[v] * 5) for key, series in values.items() for i, v in enumerate(series) if v is not None]
+    schema = "zone string, i int, " + ", ".join(f"{m} double" for m in names)
+    feed = spark.createDataFrame(rows, schema).selectExpr("zone", "timestamp_ntz'2023-01-01 00:00:00' + make_dt_interval(0, i) AS ts", *names)
+
+    def run(df, keys):
+        out = features.features(clean.clean(clean.align([(df, names)], keys), keys), keys)
+        return sorted(map(tuple, out.select("ts", "lmp_clean", "lmp_clean_lag_24h", "lmp_roll_24h_mean", "target_lmp_h01", "load_mw_change_24h").collect()))
+
+    alone = sorted(row for key in values for row in run(feed.where(feed.zone == key), ()))
+    together = run(feed, ("zone",))
+    assert str(together) == str(alone) and len(together) == 74
+    assert run(feed.where("false"), ("zone",)) == run(feed.where("false"), ()) == []
