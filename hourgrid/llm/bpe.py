@@ -257,6 +257,7 @@ def encode(docs: DataFrame, name: str = VOCABULARY, keep_ids: bool = True) -> Da
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, decoded again; null texts are empty and have no tokens."""
     return encode(table(spark, sf_dir, "documents"), keep_ids=False)
 
 

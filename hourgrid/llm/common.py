@@ -14,11 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new place below spark.checkpoint.dir, which the whole cluster sees. Only where that is unset
-    (tests, one machine) a temporary folder takes its place."""
+    """A new place below spark.checkpoint.dir, which the whole cluster sees. Where that is unset (tests), a temporary
+    folder serves a session on one machine; on a cluster, whose executors would not share it, this fails."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-hourgrid-")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="spark-hourgrid-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -261,6 +261,7 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as a stored image, read back; null texts are empty, equal texts give equal values."""
     path = shared_folder(spark)
     write_archives(table(spark, sf_dir, "documents"), path)
     return media_features(read_archives(spark, path))

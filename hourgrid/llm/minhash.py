@@ -273,6 +273,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies of all documents by 2-word shingles; null and empty texts are linked with nothing."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 

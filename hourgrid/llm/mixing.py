@@ -120,6 +120,7 @@ def mix(docs: DataFrame, weights: dict | None = None, fraction: float = 0.8, max
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mixture takes of all documents; null texts have no tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     mixed = mix(docs)
     return mixed.select("row.doc_id", "domain", F.col("lang_key").alias("lang"), F.col("source_key").alias("source"), "n_tokens", "budget", "epoch")

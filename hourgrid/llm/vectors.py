@@ -234,4 +234,5 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
 
 
 def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all vectors; those that are null, zero or hold a value that is not finite are linked with nothing."""
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
