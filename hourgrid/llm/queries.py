@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from hourgrid.llm import bpe, langid, licenses, media, minhash, mixing, sharding, spelling, suffixes, toxicity, vectors
+from hourgrid.llm import bpe, codes, langid, licenses, media, minhash, mixing, sharding, spelling, suffixes, toxicity, vectors
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_embedding_neardup": vectors.op9_embedding_neardup,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_vector_codes": codes.op11_vector_codes,
     "op12_spelling_variants": spelling.op12_spelling_variants,
 }
-SQL = {"op8_mixing": mixing.SQL, "op10_license_scan": licenses.SQL, "op12_spelling_variants": spelling.SQL}
+SQL = {"op8_mixing": mixing.SQL, "op10_license_scan": licenses.SQL, "op11_vector_codes": codes.SQL, "op12_spelling_variants": spelling.SQL}
