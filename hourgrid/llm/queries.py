@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from hourgrid.llm import bpe, codes, langid, licenses, media, minhash, mixing, sharding, spelling, suffixes, toxicity, vectors
+from hourgrid.llm import bpe, codes, langid, licenses, media, minhash, mixing, sharding, spelling, suffixes, toxicity, urls, vectors
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_license_scan": licenses.op10_license_scan,
     "op11_vector_codes": codes.op11_vector_codes,
     "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_url_filter": urls.op13_url_filter,
 }
 SQL = {"op8_mixing": mixing.SQL, "op10_license_scan": licenses.SQL, "op11_vector_codes": codes.SQL, "op12_spelling_variants": spelling.SQL}
