@@ -34,6 +34,11 @@ def filled(value: Column, row: Column, limit: int, keys: tuple[str, ...] = ()) -
     known = F.when(value.isNotNull(), F.struct(row.alias("row"), value.alias("value")))
     before = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     after = F.last(known, ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, 0))
+    return gap_value(value, row, before, after, limit)
+
+
+def gap_value(value: Column, row: Column, before: Column, after: Column, limit: int) -> Column:
+    """value, or what stands in a gap between the known (row, value) before and after it."""
     back, on = row - before["row"], after["row"] - row
     steps = F.when((back <= limit) | (on <= limit), back).otherwise(F.lit(limit))
     inner = before["value"] + (after["value"] - before["value"]) * steps / (back + on)

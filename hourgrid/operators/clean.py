@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.functions.columns import by_time, filled
+from hourgrid.operators import buckets
 
 Feed = tuple[DataFrame, list[str]]
 # Rows that interpolation reaches into a gap from each side.
@@ -49,12 +50,14 @@ def fill_gaps(df: DataFrame, limits: dict[str, int], keys: tuple[str, ...] = ())
     return rows.withColumns({f"{c}_clean": filled(F.col(c), F.col("_row"), n, keys) for c, n in limits.items()}).drop("_row")
 
 
-def clean(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Flags of missing values, the observed price, and clean columns of all measures there are."""
+def clean(df: DataFrame, keys: tuple[str, ...] = (), bucket_hours: int | None = None) -> DataFrame:
+    """Flags of missing values, the observed price, and clean columns of all measures there are. bucket_hours: gaps are
+    filled bucket by bucket, for series too long for one task; df is then read twice."""
     there = set(df.columns)
     known = [c for c in [*FILL_LIMITS, *FILL_FROM, *FILL_ZERO] if c in there]
     rows = df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in known}).withColumn("lmp_observed", F.col("lmp"))
-    rows = fill_gaps(rows, {c: n for c, n in FILL_LIMITS.items() if c in there}, keys)
+    limits = {c: n for c, n in FILL_LIMITS.items() if c in there}
+    rows = buckets.fill_gaps(rows, limits, keys, bucket_hours) if bucket_hours else fill_gaps(rows, limits, keys)
     rest = {f"{c}_clean": F.coalesce(c, f"{other}_clean") for c, other in FILL_FROM.items() if c in there}
     rest |= {f"{c}_clean": F.coalesce(F.col(c), F.lit(0.0)) for c in FILL_ZERO if c in there}
     return rows.withColumns(rest) if rest else rows

@@ -1,12 +1,11 @@
 """Scores of forecasts: errors, ROC, rankings, and views over them."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.functions.columns import model_label, model_rank
-from hourgrid.sources.tables import staged
+from hourgrid.operators.buckets import beside
+from hourgrid.operators.quantiles import in_ranges, quantile_table
 
 RESERVED = {"origin_ts", "target_ts", "split", "horizon", "y_true", "fold", "cv_train_end", "context", "season", "season_year", "year", "series"}
 
@@ -50,27 +49,19 @@ def safe_metrics(errors: DataFrame) -> DataFrame:
     return errors.agg(F.avg("abs_error").alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg("error").alias("bias"), F.max("abs_error").alias("max_abs_error"))
 
 
-def price_threshold(hours: DataFrame, q: float = 0.9, keys: tuple[str, ...] = ()) -> DataFrame:
+def price_threshold(hours: DataFrame, q: float = 0.9, keys: tuple[str, ...] = (), method: str = "percentile") -> DataFrame:
     """The quantile of the clean price, one row (for each series)."""
-    return hours.groupBy(*keys).agg(F.percentile("lmp_clean", q).alias("threshold"))
-
-
-def labelled(long: DataFrame, threshold: DataFrame) -> DataFrame:
-    """long with `high`: whether the observed price is at the threshold (a table of one row) or above."""
-    return long.withColumn("threshold", F.lit(threshold.first()["threshold"]).cast("double")).withColumn("high", (F.col("y_true") >= F.col("threshold")).cast("int"))
-
+    return quantile_table(hours, list(keys), {"threshold": ("lmp_clean", q)}, method)
 
-def _ranged(rows: DataFrame, *order: str | Column) -> DataFrame:
-    """rows in ranges of `order`, with the range's number: the n-th range stands before the next one as a whole, so
-    work along the order is done range by range, and a group of any size is many tasks'."""
-    return staged(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
 
-
-def _beside(rows: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
-    """rows joined with facts of the same `on`; null is equal to null."""
-    facts = facts.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in facts.columns])
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
-    return rows.join(facts, same).drop(*[f"_on_{c}" for c in on])
+def labelled(long: DataFrame, threshold: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """long with `high`: whether the observed price is at its series' threshold or above; null for a series without
+    one. Without keys the table must be one row: more of them are an error when the query runs."""
+    if keys:
+        rows = beside(long, threshold.select(*keys, "threshold"), list(keys), "left")
+    else:
+        rows = long.withColumn("threshold", threshold.select(F.col("threshold").cast("double")).scalar())
+    return rows.withColumn("high", (F.col("y_true") >= F.col("threshold")).cast("int"))
 
 
 def roc_steps(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -80,7 +71,7 @@ def roc_steps(scored: DataFrame, by: list[str]) -> DataFrame:
     Rows are first summed by score. Sums run within ranges of scores; what stands before a range comes from the
     ranges' totals, of which there are as many as partitions and groups."""
     sums = scored.groupBy(*by, "pred").agg(F.sum("high").alias("pos"), F.sum(1 - F.col("high")).alias("neg"))
-    ranges = _ranged(sums, *by, F.desc("pred"))
+    ranges = in_ranges(sums, *by, F.desc("pred"))
     totals = ranges.groupBy(*by, "range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max_by(F.struct("pos", "neg"), "pred").alias("first"))
     order, whole = Window.partitionBy(*by).orderBy("range"), Window.partitionBy(*by)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -89,7 +80,7 @@ def roc_steps(scored: DataFrame, by: list[str]) -> DataFrame:
         F.sum("p").over(whole).alias("positives"), F.sum("n").over(whole).alias("negatives"), F.lead("first").over(order).alias("following"),
     )
     falling = Window.partitionBy(*by, "range").orderBy(F.desc("pred"))
-    steps = _beside(ranges, facts, [*by, "range"]).withColumns(
+    steps = beside(ranges, facts, [*by, "range"]).withColumns(
         {
             "tp": F.col("tp0") + F.sum("pos").over(falling), "fp": F.col("fp0") + F.sum("neg").over(falling),
             "next_pos": F.coalesce(F.lead("pos").over(falling), F.col("following.pos")), "next_neg": F.coalesce(F.lead("neg").over(falling), F.col("following.neg")),
@@ -118,40 +109,13 @@ def roc_curve(scored: DataFrame, by: list[str]) -> DataFrame:
     before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     places = counts.select(*by, "range", F.coalesce(F.sum("points").over(before), F.lit(0)).alias("earlier"))
     number = F.row_number().over(Window.partitionBy(*by, "range").orderBy(F.desc("pred")))
-    points = _beside(corners, places, [*by, "range"]).select(
+    points = beside(corners, places, [*by, "range"]).select(
         *by, (F.col("fp") / F.col("negatives")).alias("fpr"), (F.col("tp") / F.col("positives")).alias("tpr"), F.col("pred").alias("threshold"), (F.col("earlier") + number).alias("point")
     )
     origin = counts.select(*by).distinct().select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint").alias("point"))
     return points.unionByName(origin)
 
 
-def quantiles(rows: DataFrame, column: str, qs: list[float]) -> list[float | None]:
-    """Exact quantiles by interpolation; null values do not count, and without values all are None.
-
-    Values are dealt to ranges; the ranges' counts say in which one and at which place a wanted rank stands, and only
-    those few values are fetched."""
-    ranges = _ranged(rows.select(F.col(column).alias("value")).where("value IS NOT NULL"), "value")
-    counts = {r["range"]: r["n"] for r in ranges.groupBy("range").agg(F.count("*").alias("n")).collect()}  # one row a partition
-    total = sum(counts.values())
-    if not total:
-        return [None for _ in qs]
-    wanted = {k for q in qs for k in (int(q * (total - 1)), min(int(q * (total - 1)) + 1, total - 1))}
-    places, start = {}, 0
-    for number in sorted(counts):
-        places |= {(number, k - start + 1): k for k in wanted if start <= k < start + counts[number]}
-        start += counts[number]
-    inside = ranges.where(F.col("range").isin(*{n for n, _ in places})).withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("value")))
-    found = inside.where(reduce(Column.__or__, [(F.col("range") == n) & (F.col("place") == k) for n, k in places])).collect()
-    at = {places[r["range"], r["place"]]: r["value"] for r in found}
-    out = []
-    for q in qs:
-        rank = q * (total - 1)
-        low = int(rank)
-        high = min(low + 1, total - 1)
-        out.append(at[low] if low == rank else at[low] * (low + 1 - rank) + at[high] * (rank - low))
-    return out
-
-
 def best_by(metrics: DataFrame, by: list[str]) -> DataFrame:
     """The model of least mae of each group; ties by name."""
     order = Window.partitionBy(*by).orderBy("mae", "model")
@@ -182,16 +146,16 @@ def error_histogram(errors: DataFrame, bins: int = 60) -> DataFrame:
     return errors.join(F.broadcast(ends)).groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def cumulative_error(errors: DataFrame) -> DataFrame:
-    """Running sum of absolute errors over the horizons of an origin."""
-    order = Window.partitionBy("origin_ts").orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)
+def cumulative_error(errors: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Running sum of absolute errors over the horizons of an origin (of a series)."""
+    order = Window.partitionBy(*keys, "origin_ts").orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)
     return errors.withColumn("cumulative_abs_error", F.sum("abs_error").over(order))
 
 
-def replay_summary(errors: DataFrame) -> DataFrame:
-    """A row for each origin: errors, peaks, the worst horizon, and flags."""
+def replay_summary(errors: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each origin (of each series): errors, peaks, the worst horizon, and flags."""
     worst = F.min_by("horizon", F.struct(-F.col("abs_error"), F.col("horizon")))
-    out = errors.groupBy("origin_ts").agg(
+    out = errors.groupBy(*keys, "origin_ts").agg(
         F.count("*").alias("horizons"), F.avg("abs_error").alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg("error").alias("bias"),
         F.max("abs_error").alias("max_abs_error"), F.stddev_samp("actual").alias("std_actual"), F.max("actual").alias("peak_actual"), F.max("predicted").alias("peak_predicted"), worst.alias("worst_horizon"),
     )
@@ -204,17 +168,18 @@ def replay_summary(errors: DataFrame) -> DataFrame:
     )
 
 
-def stress_lens(errors: DataFrame) -> DataFrame:
-    """Heat, blizzard and normal hours (UTC months, quantiles of the rows given): means and missed high prices."""
-    marks = dict(zip(("q40", "q60", "q90"), quantiles(errors, "actual", [0.4, 0.6, 0.9])))
+def stress_lens(errors: DataFrame, keys: tuple[str, ...] = (), method: str = "ranges") -> DataFrame:
+    """Heat, blizzard and normal hours (UTC months, quantiles of the rows given, those of its own series for each):
+    means and missed high prices."""
+    marks = quantile_table(errors, list(keys), {"q40": ("actual", 0.4), "q60": ("actual", 0.6), "q90": ("actual", 0.9)}, method)
     month, actual = F.month("target_ts"), F.col("actual")
     lenses = F.array(
         F.when(month.isin(6, 7, 8) & (actual >= F.col("q90")), "heat"),
         F.when(month.isin(12, 1, 2, 3) & (actual >= F.col("q90")), "blizzard"),
         F.when(actual.between(F.col("q40"), F.col("q60")), "normal"),
     )
-    rows = errors.withColumns({k: F.lit(v).cast("double") for k, v in marks.items()}).withColumn("lens", F.explode(F.array_compact(lenses)))
+    rows = beside(errors, marks, list(keys)).withColumn("lens", F.explode(F.array_compact(lenses)))
     high = F.when(actual >= F.col("q90"), (F.col("predicted") < F.col("q90")).cast("int"))
-    return rows.groupBy("lens").agg(
+    return rows.groupBy(*keys, "lens").agg(
         F.count("*").alias("n"), F.avg("actual").alias("mean_actual"), F.avg("predicted").alias("mean_predicted"), F.avg("error").alias("mean_error"), F.avg(high).alias("miss_rate")
     )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.functions.columns import by_time, hours_between, local, plus_hours
+from hourgrid.operators import buckets
+from hourgrid.operators.quantiles import quantile_table
 
 # Predicates of the four kinds of event, in terms of season quantiles (season, column, q).
 QUANTILES = {
@@ -26,16 +28,15 @@ EVENT_KINDS = CONTEXTS[3:]
 PHASE_HOURS = 72
 
 
-def season_quantiles(hours: DataFrame, wanted: dict[str, tuple[str, str, float]], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Exact quantiles of one season each, one row (for each series)."""
-    return hours.groupBy(*keys).agg(*[F.percentile(F.when(F.col(f"is_{season}") == 1, F.col(c)), q).alias(name) for name, (season, c, q) in wanted.items()])
+def season_quantiles(hours: DataFrame, wanted: dict[str, tuple[str, str, float]], keys: tuple[str, ...] = (), method: str = "percentile") -> DataFrame:
+    """Quantiles of one season each, one row (for each series); method: see quantiles.quantile_table."""
+    return quantile_table(hours, list(keys), {name: (F.when(F.col(f"is_{season}") == 1, F.col(c)), q) for name, (season, c, q) in wanted.items()}, method)
 
 
 def candidates(hours: DataFrame, kind: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """The hours that fulfil a kind's predicate; a missing value does not."""
     marks = season_quantiles(hours, QUANTILES[kind], keys)
-    rows = hours.join(marks, list(keys)) if keys else hours.join(F.broadcast(marks))  # one row without keys
-    return rows.where(F.expr(PREDICATES[kind])).select(*hours.columns)
+    return buckets.beside(hours, marks, list(keys)).where(F.expr(PREDICATES[kind])).select(*hours.columns)
 
 
 def sessions(found: DataFrame, max_gap_hours: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -47,22 +48,27 @@ def sessions(found: DataFrame, max_gap_hours: int = 3, keys: tuple[str, ...] = (
     return rows.groupBy(*keys, "session").agg(F.min("ts").alias("start_utc"), F.max("ts").alias("end_utc")).drop("session")
 
 
-def numbered(runs: DataFrame, prefix: str, min_event_hours: int = 6, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Runs that span min_event_hours or more, numbered in time order."""
+def numbered(runs: DataFrame, prefix: str, min_event_hours: int = 6, keys: tuple[str, ...] = (), bucket_hours: int | None = None) -> DataFrame:
+    """Runs that span min_event_hours or more, numbered in time order; by buckets for series too long for one task."""
     rows = runs.withColumn("duration_hours", (hours_between(F.col("start_utc"), F.col("end_utc")) + 1).cast("int")).where(F.col("duration_hours") >= min_event_hours)
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("start_utc"))
-    return rows.withColumn("event_id", F.format_string("%s_%03d", F.lit(prefix), number))
+    if bucket_hours:
+        rows = buckets.row_numbers(rows, "start_utc", "_number", keys, bucket_hours)
+    else:
+        rows = rows.withColumn("_number", F.row_number().over(Window.partitionBy(*keys).orderBy("start_utc")))
+    return rows.withColumn("event_id", F.format_string("%s_%03d", F.lit(prefix), F.col("_number"))).drop("_number")
 
 
-def detect(hours: DataFrame, kind: str, min_event_hours: int = 6, max_gap_hours: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
-    return numbered(sessions(candidates(hours, kind, keys), max_gap_hours, keys), kind, min_event_hours, keys)
+def detect(hours: DataFrame, kind: str, min_event_hours: int = 6, max_gap_hours: int = 3, keys: tuple[str, ...] = (), bucket_hours: int | None = None) -> DataFrame:
+    found = candidates(hours, kind, keys)
+    runs = buckets.sessions(found, max_gap_hours, keys, bucket_hours) if bucket_hours else sessions(found, max_gap_hours, keys)
+    return numbered(runs, kind, min_event_hours, keys, bucket_hours)
 
 
-def with_premium(hours: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def with_premium(hours: DataFrame, keys: tuple[str, ...] = (), method: str = "percentile") -> DataFrame:
     """normal_lmp, the median of the month and hour (local), and the premium over it."""
     at = [*keys, "month_local", "hour_local"]
-    normal = hours.groupBy(*at).agg(F.median("lmp_clean").alias("normal_lmp"))
-    return hours.join(normal, at).withColumn("premium", F.col("lmp_clean") - F.col("normal_lmp"))
+    normal = quantile_table(hours, at, {"normal_lmp": ("lmp_clean", 0.5)}, method)
+    return buckets.beside(hours, normal, at).withColumn("premium", F.col("lmp_clean") - F.col("normal_lmp"))
 
 
 def event_hours(hours: DataFrame, spans: DataFrame, start: str = "start_utc", end: str = "end_utc", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -114,10 +120,10 @@ def event_uplift(stats: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return stats.join(uplift, [*keys, "event_id"])
 
 
-def major_events(summary: DataFrame, q: float = 0.9) -> DataFrame:
-    """Events whose highest price is at the quantile of all events' highest prices, or above."""
-    mark = summary.agg(F.percentile("max_lmp", q).alias("mark"))
-    return summary.join(F.broadcast(mark)).where("max_lmp >= mark").drop("mark")
+def major_events(summary: DataFrame, q: float = 0.9, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Events whose highest price is at the quantile of all events' highest prices (of the series), or above."""
+    mark = summary.groupBy(*keys).agg(F.percentile("max_lmp", q).alias("mark"))
+    return buckets.beside(summary, mark, list(keys)).where("max_lmp >= mark").drop("mark")
 
 
 def context_hours(hours: DataFrame, events: dict[str, DataFrame], keys: tuple[str, ...] = ()) -> DataFrame:

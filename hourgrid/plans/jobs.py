@@ -5,8 +5,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.functions.columns import season, season_year, local
-from hourgrid.operators import clean, dmdc, evaluate, events, features, origins
+from hourgrid.functions.columns import local, season, season_year, split_of
+from hourgrid.operators import buckets, clean, dmdc, evaluate, events, features, origins
+from hourgrid.operators.buckets import beside
 from hourgrid.plans import adapter
 from hourgrid.sources.tables import staged
 
@@ -22,69 +23,118 @@ def feeds(spark: SparkSession, sf_dir: str) -> list[clean.Feed]:
 
 #: What events and forecasts need of the clean table.
 CORE = ("lmp", "load_mw", "temp_c", "hdd", "cdd", "precip_1h_mm", "wind_speed_ms")
+#: Rows that features look back and on.
+REACH = {"before": 168, "after": features.HORIZON}
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean table, its gaps filled bucket by bucket. The aligned feeds are staged, as they are read twice."""
+    return clean.clean(staged(clean.align(feeds(spark, sf_dir))), bucket_hours=buckets.HOURS)
+
+
+def featured(table: DataFrame) -> DataFrame:
+    """All features of a clean table, by buckets with a halo, so that a single series of any length is many tasks'."""
+    return buckets.over_buckets(table, features.features, **REACH)
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean hourly table with all features."""
-    return features.features(clean.clean(clean.align(feeds(spark, sf_dir))))
+    return featured(cleaned(spark, sf_dir))
+
+
+def narrow(table: DataFrame, measures: tuple[str, ...] = CORE) -> DataFrame:
+    """A clean table with some measures only, staged: where each branch of a job begins."""
+    return staged(table.select("ts", "lmp_observed", *[f"{m}{end}" for m in measures for end in ("_clean", "_missing")]))
 
 
 def core_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """hourly with the CORE measures only, for work that uses the hours in several branches: the clean table is staged,
-    so that each branch begins at it."""
-    table = clean.clean(clean.align(feeds(spark, sf_dir)))
-    return features.features(staged(table.select("ts", "lmp_observed", *[f"{m}{end}" for m in CORE for end in ("_clean", "_missing")])))
+    """What forecasts and yearly tables need."""
+    return narrow(cleaned(spark, sf_dir))
+
+
+def with_changes(hours: DataFrame) -> DataFrame:
+    """Narrow hours with the calendar and the changes over a day: what events need."""
+    return features.without_infinities(features.add_calendar(buckets.over_buckets(hours, lambda df, keys: features.add_changes(df, features.STATES, keys), 24, 0)))
+
+
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_changes(core_hours(spark, sf_dir))
 
 
 def staged_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hourly, with all measures staged."""
-    return features.features(staged(clean.clean(clean.align(feeds(spark, sf_dir)))))
+    return featured(staged(cleaned(spark, sf_dir)))
+
+
+def state_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What state-space models need: their states, the prices, and the calendar, staged."""
+    table = cleaned(spark, sf_dir)
+    return staged(with_changes(narrow(table, (*CORE, "congestion", "marginal_loss"))))
 
 
 def supervised_of(hours: DataFrame) -> DataFrame:
-    return features.supervised(origins.with_past(hours), adapter.TRAIN_END, adapter.VALIDATION_END)
+    return features.supervised(hours, adapter.TRAIN_END, adapter.VALIDATION_END)
 
 
 def supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supervised_of(hourly(spark, sf_dir))
 
 
+def choosable(hours: DataFrame) -> DataFrame:
+    """The hours of the supervised table, with their split, without its columns; times only, staged."""
+    open_hours = buckets.over_buckets(hours, lambda df, keys: origins.choosable(df, keys=keys), **REACH).select("ts")
+    return staged(open_hours.withColumn("split", split_of(F.col("ts"), adapter.TRAIN_END, adapter.VALIDATION_END)))
+
+
 def chosen_origins(hours: DataFrame, step: int = STEP) -> DataFrame:
-    rows = supervised_of(hours).where(F.col("split").isin("validation", "test"))
-    return origins.complete_horizon(origins.sample_origins(rows, step))
+    """(ts, split) of the sampled origins of validation and test, from narrow hours."""
+    return origins.sample_origins(choosable(hours).where(F.col("split").isin("validation", "test")), step)
 
 
 def predictions_of(hours: DataFrame, step: int = STEP) -> DataFrame:
     """Origins of validation and test with the two naive forecasts."""
-    return origins.fan_out(chosen_origins(hours, step))
+    return origins.fan_out(chosen_origins(hours, step), hours)
 
 
 def predictions(spark: SparkSession, sf_dir: str, step: int = STEP) -> DataFrame:
     return predictions_of(core_hours(spark, sf_dir), step)
 
 
-def fitted_models(hours: DataFrame) -> dict[str, dmdc.Dmdc]:
-    return {"dmdc": dmdc.fit(hours, dmdc.FULL_STATES), "dmdc_residual_24h": dmdc.fit(hours, dmdc.RESIDUAL_STATES)}
+def fold_origins(hours: DataFrame, step: int = STEP) -> DataFrame:
+    """(ts, split, fold, cv_train_end): each fold's sampled origins; splits are the folds' names."""
+    rows, parts = choosable(hours), []
+    for name, train_end, first, last in FOLDS:
+        start, end, trained = (F.lit(x).cast("timestamp_ntz") for x in (first, last, train_end))
+        inside = rows.where(F.col("ts").between(start, end)).withColumns({"split": F.lit(name), "fold": F.lit(name), "cv_train_end": trained})
+        parts.append(origins.sample_origins(inside, step))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def forecast_table(chosen: DataFrame, models: dict[str, dmdc.Dmdc]) -> DataFrame:
-    """The two naive forecasts and the state-space ones; the residual model is added to the daily naive one."""
-    states = sorted({s for m in models.values() for s in m.states})
-    rows = origins.future_controls(origins.fan_out(chosen, keep=tuple(states)))
-    return dmdc.add_forecasts(rows, models, {"dmdc_residual_24h": "seasonal_naive_24h"})
+def with_models(table: DataFrame, chosen: DataFrame, hours: DataFrame, fitted: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """table (fanned-out origins) with the state-space forecasts; the residual model is added to the daily naive one."""
+    states = hours.select("ts", *dict.fromkeys(s for m in dmdc.MODELS.values() for s in m))
+    found = dmdc.forecast(fitted, chosen.select(*by, "ts").join(states, "ts", "left"), dmdc.MODELS, by=by)
+    rows = beside(table, found, [*by, "origin_ts", "horizon"], "left")
+    return rows.withColumn("dmdc_residual_24h", F.col("seasonal_naive_24h") + F.col("dmdc_residual_24h"))
 
 
-def fold_predictions(spark: SparkSession, sf_dir: str, with_models: bool = False, step: int = STEP) -> DataFrame:
-    """Expanding folds one after the other, with fold and cv_train_end."""
-    hours, parts = staged_hours(spark, sf_dir) if with_models else core_hours(spark, sf_dir), []
-    rows = supervised_of(hours)
-    for name, train_end, first, last in FOLDS:
-        start, end, trained = (F.lit(x).cast("timestamp_ntz") for x in (first, last, train_end))
-        inside = rows.where(F.col("ts").between(start, end)).withColumn("split", F.lit(name))
-        chosen = origins.complete_horizon(origins.sample_origins(inside, step))
-        table = forecast_table(chosen, fitted_models(hours.where(F.col("ts") <= trained))) if with_models else origins.fan_out(chosen)
-        parts.append(table.withColumns({"fold": F.lit(name), "cv_train_end": trained}))
-    return reduce(DataFrame.unionByName, parts)
+def forecast_table(hours: DataFrame, step: int = STEP) -> DataFrame:
+    """Origins of validation and test with all four forecasts, from state_hours; fitted on the training hours."""
+    fitted = staged(dmdc.fit(hours, dmdc.MODELS, {"train": adapter.TRAIN_END}))
+    chosen = chosen_origins(hours, step)
+    return with_models(origins.fan_out(chosen, hours), chosen, hours, fitted, ())
+
+
+def fold_predictions(spark: SparkSession, sf_dir: str, models: bool = False, step: int = STEP) -> DataFrame:
+    """Expanding folds one after the other, with fold and cv_train_end. With models, one pass over the hours gives the
+    sums of all folds' fits."""
+    hours = state_hours(spark, sf_dir) if models else core_hours(spark, sf_dir)
+    chosen = fold_origins(hours, step)
+    table = origins.fan_out(chosen, hours, keep=("fold", "cv_train_end"))
+    if not models:
+        return table
+    fitted = staged(dmdc.fit(hours, dmdc.MODELS, {name: train_end for name, train_end, *_ in FOLDS}))
+    return with_models(table, chosen, hours, fitted, ("fold",))
 
 
 def with_seasons(long: DataFrame) -> DataFrame:
@@ -93,8 +143,8 @@ def with_seasons(long: DataFrame) -> DataFrame:
 
 
 def all_events(hours: DataFrame, min_hours: dict[str, int]) -> dict[str, DataFrame]:
-    return {kind: events.detect(hours, kind, min_hours[kind]) for kind in events.EVENT_KINDS}
+    return {kind: events.detect(hours, kind, min_hours[kind], bucket_hours=buckets.HOURS) for kind in events.EVENT_KINDS}
 
 
-def train_threshold(hours: DataFrame) -> DataFrame:
-    return evaluate.price_threshold(hours.where(F.col("ts") <= F.lit(adapter.TRAIN_END).cast("timestamp_ntz")))
+def train_threshold(hours: DataFrame, method: str = "percentile") -> DataFrame:
+    return evaluate.price_threshold(hours.where(F.col("ts") <= F.lit(adapter.TRAIN_END).cast("timestamp_ntz")), method=method)

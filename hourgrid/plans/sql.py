@@ -167,3 +167,70 @@ begun AS (SELECT *, CASE WHEN date_diff('hour', lag(ts) OVER (PARTITION BY event
 joined AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts) AS run FROM begun),
 spans AS (SELECT event_type, min(ts) AS start_utc, max(ts) AS end_utc, date_diff('hour', min(ts), max(ts)) + 1 AS duration_hours FROM joined GROUP BY event_type, run),
 runs AS (SELECT *, printf('high_%03d', row_number() OVER (PARTITION BY event_type ORDER BY start_utc)) AS event_id FROM spans WHERE duration_hours >= 3)"""
+
+
+# Controls, states and penalty of the state-space models, written out once more.
+CONTROL_COLUMNS = ["sin_hour", "cos_hour", "sin_dow", "cos_dow", "sin_month", "cos_month", "is_weekend", "is_summer", "is_winter"]
+STATE_COLUMNS = {
+    "dmdc": ["lmp_clean", "congestion_clean", "marginal_loss_clean", "load_mw_clean", "temp_c_clean", "hdd_clean", "cdd_clean", "wind_speed_ms_clean"],
+    "dmdc_residual_24h": ["lmp_change_24h", "load_mw_change_24h", "temp_c_change_24h", "hdd_change_24h", "cdd_change_24h"],
+}
+PENALTY = 1e-6
+
+
+def fit_sql(tag: str, model: str, train_end: str, source: str = "hourly") -> str:
+    """The fit in plain SQL: rows standardised, products summed, and the penalised normal equations solved by
+    elimination; m_<tag> has means and deviations, a_<tag> the rows [identity, coefficients]."""
+    columns = [*STATE_COLUMNS[model], *CONTROL_COLUMNS]
+    s, w = len(STATE_COLUMNS[model]), len(columns)
+    known = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    return f"""v_{tag} AS MATERIALIZED (SELECT ts, [{", ".join(columns)}]::DOUBLE[] AS v FROM {source} WHERE ts <= TIMESTAMP '{train_end}' AND {known}),
+m_{tag} AS MATERIALIZED (SELECT list(mean ORDER BY i) AS mean, list(scale ORDER BY i) AS scale FROM (SELECT i, avg(v[i]) AS mean, CASE WHEN stddev_pop(v[i]) > 0 THEN stddev_pop(v[i]) ELSE 1 END AS scale FROM v_{tag}, range(1, {w + 1}) r(i) GROUP BY i)),
+z_{tag} AS MATERIALIZED (SELECT z, lead(z) OVER (ORDER BY ts) AS y FROM (SELECT ts, list_transform(range(1, {w + 1}), lambda i: (v[i] - mean[i]) / scale[i]) AS z FROM v_{tag}, m_{tag})),
+g_{tag} AS MATERIALIZED (SELECT i, list(value ORDER BY j) AS r FROM (SELECT i, j, sum(z[i] * (CASE WHEN j <= {w} THEN z[j] ELSE y[j - {w}] END)) + (CASE WHEN i = j THEN {PENALTY} ELSE 0 END) AS value FROM z_{tag}, range(1, {w + 1}) a(i), range(1, {w + s + 1}) b(j) WHERE y IS NOT NULL GROUP BY i, j) GROUP BY i),
+x_{tag} AS (SELECT 0 AS k, list(r ORDER BY i) AS a FROM g_{tag} UNION ALL SELECT k + 1, list_transform(a, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda q: q / a[k + 1][k + 1])
+  ELSE list_transform(range(1, {w + s + 1}), lambda j: r[j] - r[k + 1] * a[k + 1][j] / a[k + 1][k + 1]) END) FROM x_{tag} WHERE k < {w}),
+a_{tag} AS MATERIALIZED (SELECT a FROM x_{tag} WHERE k = {w})"""
+
+
+def forecast_sql(tag: str, model: str, origins: str, horizon: int = 24) -> str:
+    """f_<tag> (origin_ts, horizon, value): the recursion step by step over the rows of `origins`, which has the states."""
+    states = STATE_COLUMNS[model]
+    s, w = len(states), len(states) + len(CONTROL_COLUMNS)
+    controls = f"[{', '.join(CONTROL_COLUMNS)}]::DOUBLE[]"
+    return f"""s_{tag} AS (SELECT ts AS origin_ts, 0 AS h, list_transform(range(1, {s + 1}), lambda i: (v[i] - mean[i]) / scale[i]) AS x FROM (SELECT ts, [{", ".join(states)}]::DOUBLE[] AS v FROM {origins}), m_{tag}
+  UNION ALL SELECT origin_ts, h + 1, list_transform(range(1, {s + 1}), lambda j: list_sum(list_transform(range(1, {w + 1}), lambda i: a[i][{w} + j] * (CASE WHEN i <= {s} THEN x[i] ELSE (u[i - {s}] - mean[i]) / scale[i] END))))
+  FROM s_{tag} JOIN (SELECT ts AS at_ts, {controls} AS u FROM cal) ON at_ts = origin_ts + to_hours((h + 1)::INTEGER), a_{tag}, m_{tag} WHERE h < {horizon}),
+f_{tag} AS (SELECT origin_ts, h AS horizon, x[1] * scale[1] + mean[1] AS value FROM s_{tag}, m_{tag} WHERE h > 0)"""
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def all_forecasts_sql() -> str:
+    """table_4: the fanned-out origins with all four forecasts."""
+    fits = ",\n".join(f"{fit_sql(m, m, TRAIN_END)},\n{forecast_sql(m, m, 'origins')}" for m in STATE_COLUMNS)
+    return f"""{recursive(predictions_sql())},
+{fits},
+table_4 AS MATERIALIZED (SELECT p.*, a.value AS dmdc, seasonal_naive_24h + b.value AS dmdc_residual_24h FROM predictions p
+  LEFT JOIN f_dmdc a USING (origin_ts, horizon) LEFT JOIN f_dmdc_residual_24h b USING (origin_ts, horizon)),
+long_4 AS (SELECT * FROM (UNPIVOT (SELECT origin_ts, target_ts, split, horizon, y_true, seasonal_naive_24h, seasonal_naive_168h, dmdc, dmdc_residual_24h FROM table_4)
+  ON seasonal_naive_24h, seasonal_naive_168h, dmdc, dmdc_residual_24h INTO NAME model VALUE pred) WHERE y_true IS NOT NULL)"""
+
+
+def all_folds_sql(folds_sql: str, folds: tuple) -> str:
+    """folds_4: the folds' fanned-out origins with all four forecasts, each fold fitted anew on the hours up to its end."""
+    parts, tables = [], []
+    for name, train_end, *_ in folds:
+        first = f"(SELECT min(ts) FROM o_{name})"
+        parts.append(f"h_{name} AS (SELECT * FROM o_{name} WHERE date_diff('hour', {first}, ts) % 6 = 0)")
+        parts += [f"{fit_sql(f'{m}_{name}', m, train_end)},\n{forecast_sql(f'{m}_{name}', m, f'h_{name}')}" for m in STATE_COLUMNS]
+        tables.append(f"""SELECT f.*, c.lmp_clean AS seasonal_naive_168h, a.value AS dmdc, f.seasonal_naive_24h + b.value AS dmdc_residual_24h FROM folds f LEFT JOIN clean c ON c.ts = f.target_ts - INTERVAL 168 HOUR
+  LEFT JOIN f_dmdc_{name} a USING (origin_ts, horizon) LEFT JOIN f_dmdc_residual_24h_{name} b USING (origin_ts, horizon) WHERE f.fold = '{name}'""")
+    joined = ",\n".join(parts)
+    return f"""{recursive(folds_sql)},
+{joined},
+folds_4 AS MATERIALIZED ({" UNION ALL ".join(tables)}),
+folds_long_4 AS (SELECT * FROM (UNPIVOT (SELECT origin_ts, target_ts, fold, horizon, y_true, seasonal_naive_24h, seasonal_naive_168h, dmdc, dmdc_residual_24h FROM folds_4)
+  ON seasonal_naive_24h, seasonal_naive_168h, dmdc, dmdc_residual_24h INTO NAME model VALUE pred) WHERE y_true IS NOT NULL)"""

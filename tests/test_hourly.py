@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourgrid.functions.columns import local, season_year
-from hourgrid.operators import clean, dmdc, evaluate, events, features, origins
+from hourgrid.operators import clean, evaluate, events, features, origins, quantiles
 from hourgrid.sources import tables
 
 T0 = datetime(2024, 1, 1)
@@ -123,27 +123,6 @@ def test_reports_and_bad_numbers(spark, tmp_path):
     assert [r.v for r in rows.collect()] == [1.5, None, None, None]
 
 
-def test_dmdc_equals_numpy(spark):
-    random = np.random.default_rng(1)
-    n, states, controls = 200, ("s0", "s1"), ("c0",)
-    x, u = np.zeros((n, 2)), random.normal(size=(n, 1))
-    for t in range(n - 1):
-        x[t + 1] = x[t] @ np.array([[0.8, 0.1], [-0.2, 0.7]]) + u[t] @ np.array([[0.5, 0.3]]) + random.normal(size=2) * 0.05
-    frame = pd.DataFrame({"ts": pd.date_range(T0, periods=n, freq="h"), "s0": x[:, 0], "s1": x[:, 1], "c0": u[:, 0]})
-    model = dmdc.fit(spark.createDataFrame(frame), states, controls)
-    both = np.hstack([x, u])
-    z = (both - both.mean(0)) / both.std(0)
-    want = np.linalg.pinv(z[:-1].T @ z[:-1] + 1e-6 * np.eye(3)) @ z[:-1].T @ z[1:, :2]
-    np.testing.assert_allclose(np.vstack([model.a.T, model.b.T]), want, atol=1e-8)
-    state, control = x[:3], random.normal(size=(3, 24, 1))
-    got = dmdc.forecast(model, state, control)
-    for i in range(3):
-        s = (state[i] - both.mean(0)[:2]) / both.std(0)[:2]
-        for h in range(24):
-            s = model.a @ s + model.b @ ((control[i, h] - both.mean(0)[2:]) / both.std(0)[2:])
-            assert abs(got[i, h] - (s[0] * both.std(0)[0] + both.mean(0)[0])) < 1e-9
-
-
 def scored_rows(n, seed=1):
     r = random.Random(seed)
     return [(m, s, float(r.randint(0, 40)), int(r.random() < 0.3)) for m in ("a", "b") for s in ("x", None) for _ in range(n)]
@@ -175,7 +154,7 @@ def test_quantiles_equal_interpolation(spark, values):
     qs = [0.0, 0.4, 0.6, 0.9, 1.0]
     rows = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
     known = [v for v in values if v is not None]
-    got = evaluate.quantiles(rows, "v", qs)
+    got = list(quantiles.quantile_table(rows, [], {f"q{i}": ("v", q) for i, q in enumerate(qs)}, "ranges").first())
     assert got == [None] * 5 if not known else got == pytest.approx(np.quantile(known, qs).tolist())
 
 
