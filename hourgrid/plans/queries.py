@@ -2,7 +2,8 @@
 
 A query is a Spark table, the SQL of the same table, and the columns both present: `name:d` is a double shown with
 6 digits (moved by a fixed sliver, so that decimal ties fall on neither side of the last digit by chance), `name:m` one
-with 3 digits, for what two solvers of the same equations agree on, `name:i` a whole number, and a bare name is shown
+with 3 digits, for what two solvers of the same equations agree on (`name:t` and `name:w` with 1 and none, where the
+training hours hardly tell the equations apart), `name:i` a whole number, and a bare name is shown
 as it is."""
 
 from collections.abc import Callable
@@ -26,8 +27,8 @@ def _column(spec: str, engine: str) -> str:
     name, _, kind = spec.partition(":")
     if kind == "d":
         return f"round({name} + 3.3e-8{'D' if engine == 'spark' else ''}, 6) AS {name}"
-    if kind == "m":
-        return f"round({name}, 3) AS {name}"
+    if kind in ("m", "t", "w"):
+        return f"round({name}, {'wt.m'.index(kind)}) + 0 AS {name}"  # + 0: no negative zero
     return f"CAST({name} AS BIGINT) AS {name}" if kind == "i" else name
 
 
@@ -530,7 +531,8 @@ def _(spark, d):
 
 
 F4 = sql.all_folds_sql(_fold_sql(), jobs.FOLDS)
-CV = f"{FOLD} seasonal_naive_168h:d dmdc:m dmdc_residual_24h:m"
+CV = f"{FOLD} seasonal_naive_168h:d dmdc:w dmdc_residual_24h:w"  # the first fold has seen no winter
+FOLD_METRICS = "n:i mae:t mse:w rmse:t r2:t bias:t"
 
 
 def _folds(spark, d):
@@ -550,24 +552,30 @@ def _folds_scored(spark, d):
 
 
 _fold_roc = _raw(sql.roc_sql(["model", "fold"], "folds_long_4"))
-query("fold_metrics_all_models", f"model fold {METRICS_3}", f"{F4}, t AS ({_raw(sql.metrics(['fold'], 'folds_long_4'))})", "t")(lambda spark, d: evaluate.regression_metrics(_all_folds_long(spark, d), ["fold"]))
-query("fold_metrics_by_horizon", f"model fold horizon:i {METRICS_3}", f"{F4}, t AS ({_raw(sql.metrics(['fold', 'horizon'], 'folds_long_4'))})", "t")(lambda spark, d: evaluate.regression_metrics(_all_folds_long(spark, d), ["fold", "horizon"]))
+query("fold_metrics_all_models", f"model fold {FOLD_METRICS}", f"{F4}, t AS ({_raw(sql.metrics(['fold'], 'folds_long_4'))})", "t")(lambda spark, d: evaluate.regression_metrics(_all_folds_long(spark, d), ["fold"]))
+query("fold_metrics_by_horizon", f"model fold horizon:i {FOLD_METRICS}", f"{F4}, t AS ({_raw(sql.metrics(['fold', 'horizon'], 'folds_long_4'))})", "t")(lambda spark, d: evaluate.regression_metrics(_all_folds_long(spark, d), ["fold", "horizon"]))
 query("fold_roc_auc_all_models", f"model fold {AUC.replace(':d', ':m')}", f"{F4}, {_fold_threshold}, {_fold_roc}", "auc")(lambda spark, d: evaluate.roc_auc(_folds_scored(spark, d), ["model", "fold"], keep_one_class=True))
-query("fold_roc_curve", "model fold point:i fpr:m tpr:m threshold:m", f"{F4}, {_fold_threshold}, {_fold_roc}", "points")(lambda spark, d: _points(evaluate.roc_curve(_folds_scored(spark, d), ["model", "fold"])))
+query("fold_roc_curve_all_models", "model fold point:i fpr:m tpr:m threshold:m")(lambda spark, d: _points(evaluate.roc_curve(_folds_scored(spark, d), ["model", "fold"])))
+query("fold_roc_curve", "model fold point:i fpr:d tpr:d threshold:d", f"{_fold_long}, {_fold_threshold}, {sql.roc_sql(['model', 'fold'], 'long')}", "points")(
+    lambda spark, d: _points(evaluate.roc_curve(evaluate.labelled(_folds_long(spark, d), jobs.train_threshold(jobs.core_hours(spark, d))), ["model", "fold"]))
+)
 
 
 # --- many series at once: a key for each
 
 
-def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hours of every event type as a series of its own, with all features."""
+def _event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.col("value")
-    hours = _events_raw(spark, sf_dir).select(
+    return _events_raw(spark, sf_dir).select(
         "event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), value.alias("lmp"), F.col("user_id").cast("double").alias("load_mw"),
         value.alias("temp_c"), F.greatest(18.3 - value, F.lit(0.0)).alias("hdd"), F.greatest(value - 18.3, F.lit(0.0)).alias("cdd"),
     )
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hours of every event type as a series of its own, with all features."""
     key = ("event_type",)
-    return features.features(clean.clean(clean.align([(hours, list(features.STATES))], key), key), key)
+    return features.features(clean.clean(clean.align([(_event_feed(spark, sf_dir), list(features.STATES))], key), key), key)
 
 
 query(
@@ -586,6 +594,78 @@ def _(spark, d):
     return events.numbered(events.sessions(high, 1, key), "high", 3, key)
 
 
+KEY = ("event_type",)
+#: Hours between the origins of the series, and the end of their training.
+KEYED_STEP, KEYED_END = 3, "2024-01-20 23:00:00"
+
+
+def _keyed_hours(spark, d):
+    return tables.staged(_series(spark, d).select("event_type", "ts", "ts_local", "month_local", "hour_local", "is_winter", "is_summer", "lmp_observed", *[c for m in features.STATES for c in (f"{m}_clean", f"{m}_missing", f"{m}_change_24h")]))
+
+
+def _keyed_predictions(hours: DataFrame) -> DataFrame:
+    chosen = tables.staged(origins.choosable(hours, keys=KEY).select("event_type", "ts", F.lit("test").alias("split")))
+    return origins.fan_out(origins.sample_origins(chosen, KEYED_STEP, KEY), hours, keys=KEY)
+
+
+def _keyed_errors(spark, d):
+    return evaluate.forecast_errors(_keyed_predictions(_keyed_hours(spark, d)), NAIVE[0])
+
+
+def _keyed_scored(spark, d):
+    hours = _keyed_hours(spark, d)
+    marks = evaluate.price_threshold(hours.where(F.col("ts") <= F.lit(KEYED_END).cast("timestamp_ntz")), keys=KEY, method="ranges")
+    return evaluate.labelled(evaluate.models_long(_keyed_predictions(hours), NAIVE), marks, KEY)
+
+
+K, KP = sql.SERIES_FEATURES, sql.keyed_predictions_sql(KEYED_STEP, KEYED_END)
+_by_key = ["event_type", "model"]
+query("keyed_predictions", "event_type origin_ts target_ts horizon:i y_true:d seasonal_naive_24h:d seasonal_naive_168h:d", KP, "predictions")(lambda spark, d: _keyed_predictions(_keyed_hours(spark, d)))
+query("keyed_high_price_label", "event_type origin_ts horizon:i model threshold:d high:i", f"{KP}, t AS (SELECT *, (y_true >= threshold)::INTEGER AS high FROM long JOIN threshold USING (event_type))", "t")(_keyed_scored)
+query("keyed_metrics", f"event_type model {METRICS}", f"{KP}, t AS ({sql.metrics(['event_type'])})", "t")(lambda spark, d: evaluate.regression_metrics(evaluate.models_long(_keyed_predictions(_keyed_hours(spark, d)), NAIVE), ["event_type"]))
+_keyed_roc = sql.roc_sql(_by_key, "long", "long JOIN threshold USING (event_type)")
+query("keyed_roc_auc", f"event_type model {AUC}", f"{KP}, {_keyed_roc}", "auc")(lambda spark, d: evaluate.roc_auc(_keyed_scored(spark, d), _by_key, keep_one_class=True))
+query("keyed_roc_curve", "event_type model point:i fpr:d tpr:d threshold:d", f"{KP}, {_keyed_roc}", "points")(lambda spark, d: _points(evaluate.roc_curve(_keyed_scored(spark, d), _by_key)))
+query("keyed_replay_summary", "event_type origin_ts horizons:i mae:d rmse:d bias:d max_abs_error:d std_actual:d worst_horizon:i", f"""{KP}, t AS (SELECT event_type, origin_ts, count(*) AS horizons, avg(abs_error) AS mae, sqrt(avg(error * error)) AS rmse, avg(error) AS bias, max(abs_error) AS max_abs_error,
+  stddev_samp(actual) AS std_actual, arg_min(horizon, (-abs_error, horizon)) AS worst_horizon FROM errors GROUP BY ALL)""", "t")(lambda spark, d: evaluate.replay_summary(_keyed_errors(spark, d), KEY))
+query("keyed_cumulative_abs_error", "event_type origin_ts horizon:i cumulative_abs_error:d", f"{KP}, t AS (SELECT *, sum(abs_error) OVER (PARTITION BY event_type, origin_ts ORDER BY horizon ROWS UNBOUNDED PRECEDING) AS cumulative_abs_error FROM errors)", "t")(
+    lambda spark, d: evaluate.cumulative_error(_keyed_errors(spark, d), KEY)
+)
+query("keyed_stress_lens", "event_type lens n:i mean_actual:d mean_predicted:d mean_error:d miss_rate:d", f"""{KP}, m AS (SELECT event_type, quantile_cont(actual, 0.4) AS q40, quantile_cont(actual, 0.6) AS q60, quantile_cont(actual, 0.9) AS q90 FROM errors GROUP BY 1),
+  x AS (SELECT e.*, q90, unnest(list_filter([CASE WHEN month(target_ts) IN (12, 1, 2, 3) AND actual >= q90 THEN 'blizzard' END, CASE WHEN actual BETWEEN q40 AND q60 THEN 'normal' END], lambda z: z IS NOT NULL)) AS lens FROM errors e JOIN m USING (event_type)),
+  t AS (SELECT event_type, lens, count(*) AS n, avg(actual) AS mean_actual, avg(predicted) AS mean_predicted, avg(error) AS mean_error, avg(CASE WHEN actual >= q90 THEN (predicted < q90)::INTEGER END) AS miss_rate FROM x GROUP BY ALL)""", "t")(
+    lambda spark, d: evaluate.stress_lens(_keyed_errors(spark, d), KEY)
+)
+query("keyed_season_quantiles", "event_type lmp_p95:d load_p75:d temp_p10:d", f"{K}, t AS (SELECT event_type, quantile_cont(lmp_clean, 0.95) AS lmp_p95, quantile_cont(load_mw_clean, 0.75) AS load_p75, quantile_cont(lmp_change_24h, 0.1) AS temp_p10 FROM series GROUP BY 1)", "t")(
+    lambda spark, d: events.season_quantiles(_keyed_hours(spark, d), {"lmp_p95": ("winter", "lmp_clean", 0.95), "load_p75": ("winter", "load_mw_clean", 0.75), "temp_p10": ("winter", "lmp_change_24h", 0.1)}, KEY, "ranges")
+)
+query("keyed_daily_means", "event_type day lmp_clean:d load_mw_clean:d", f"{K}, t AS (SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS day, avg(lmp_clean) AS lmp_clean, avg(load_mw_clean) AS load_mw_clean FROM series GROUP BY 1, 2)", "t")(
+    lambda spark, d: seasons.daily_means(_keyed_hours(spark, d), ["lmp_clean", "load_mw_clean"], KEY)
+)
+query("keyed_bucket_features", "event_type ts lmp_clean:d lmp_clean_lag_168h:d lmp_roll_24h_mean:d lmp_roll_168h_mean:d target_lmp_h24:d", K, "series")(
+    lambda spark, d: buckets.over_buckets(buckets.fill_gaps(_keyed_raw(spark, d), {"lmp": 24, "load_mw": 12, **dict.fromkeys(("temp_c", "hdd", "cdd"), 6)}, KEY, 100), features.features, 168, 24, KEY, 200)
+)
+
+
+def _keyed_raw(spark, d):
+    """The grid of every series before its gaps are filled, staged."""
+    return tables.staged(clean.align([(_event_feed(spark, d), list(features.STATES))], KEY).withColumns({"lmp_observed": F.col("lmp"), "lmp_missing": F.col("lmp").isNull().cast("int")}))
+
+
+@query("keyed_dmdc_forecast", "event_type origin_ts target_ts horizon:i y_true:d dmdc_residual_24h")
+def _(spark, d):
+    """One fit for each series on the executors; tests compare such fits and forecasts with NumPy."""
+    hours = _keyed_hours(spark, d)
+    hours = hours.withColumns(origins.controls_at(F.col("ts")))
+    model = {"dmdc_residual_24h": dmdc.RESIDUAL_STATES}
+    fitted = tables.staged(dmdc.fit(hours, model, {"train": KEYED_END}, keys=KEY))
+    table = _keyed_predictions(hours)
+    chosen = table.select("event_type", F.col("origin_ts").alias("ts")).distinct()
+    found = dmdc.forecast(fitted, buckets.beside(chosen, hours.select("event_type", "ts", *dmdc.RESIDUAL_STATES), ["event_type", "ts"]), model, by=KEY)
+    rows = buckets.beside(table, found, ["event_type", "origin_ts", "horizon"], "left")
+    return rows.withColumn("dmdc_residual_24h", F.col("seasonal_naive_24h") + F.col("dmdc_residual_24h"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Storm events, from the raw feeds on."""
     return QUERIES["event_summary"](spark, sf_dir)

@@ -131,11 +131,11 @@ SEASON = f"""with_season AS (SELECT *, CASE WHEN month(lt) IN (6, 7, 8) THEN 'su
   FROM (SELECT *, {LOCAL.format("target_ts")} AS lt FROM long))"""
 
 
-def roc_sql(by: list[str], source: str) -> str:
-    """steps (cumulative counts by falling score) and points (the curve's corners)."""
+def roc_sql(by: list[str], source: str, joined: str = "") -> str:
+    """steps (cumulative counts by falling score) and points (the curve's corners); joined: source with its thresholds."""
     g = ", ".join(by)
     w = f"PARTITION BY {g} ORDER BY pred DESC"
-    return f"""scored AS (SELECT *, (y_true >= threshold)::INTEGER AS high FROM {source}, threshold),
+    return f"""scored AS (SELECT *, (y_true >= threshold)::INTEGER AS high FROM {joined or f"{source}, threshold"}),
 sums AS (SELECT {g}, pred, sum(high) AS pos, sum(1 - high) AS neg FROM scored GROUP BY {g}, pred),
 steps AS (SELECT *, sum(pos) OVER ({w}) AS tp, sum(neg) OVER ({w}) AS fp, sum(pos) OVER (PARTITION BY {g}) AS positives, sum(neg) OVER (PARTITION BY {g}) AS negatives FROM sums),
 areas AS (SELECT *, neg * (tp + coalesce(lag(tp) OVER ({w}), 0)) / 2 AS area FROM steps),
@@ -234,3 +234,18 @@ def all_folds_sql(folds_sql: str, folds: tuple) -> str:
 folds_4 AS MATERIALIZED ({" UNION ALL ".join(tables)}),
 folds_long_4 AS (SELECT * FROM (UNPIVOT (SELECT origin_ts, target_ts, fold, horizon, y_true, seasonal_naive_24h, seasonal_naive_168h, dmdc, dmdc_residual_24h FROM folds_4)
   ON seasonal_naive_24h, seasonal_naive_168h, dmdc, dmdc_residual_24h INTO NAME model VALUE pred) WHERE y_true IS NOT NULL)"""
+
+
+def keyed_predictions_sql(step: int, train_end: str) -> str:
+    """Origins of every event type, fanned out, with naive forecasts, errors of the daily one, and thresholds by type."""
+    past = " AND ".join(f"lag({m}, 168) OVER w IS NOT NULL" for m in ("lmp_clean", "load_mw_clean"))
+    return f"""{SERIES_FEATURES},
+open_hours AS (SELECT event_type, ts FROM (SELECT *, {past} AND count(lmp_clean) OVER k >= 72 AND count(CASE WHEN lmp_missing = 0 THEN 1 END) OVER n = 24 AS ok FROM series
+  WINDOW w AS (PARTITION BY event_type ORDER BY ts), k AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING), n AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING)) WHERE ok),
+origins AS (SELECT event_type, ts FROM open_hours JOIN (SELECT event_type, min(ts) AS first FROM open_hours GROUP BY 1) USING (event_type) WHERE date_diff('hour', first, ts) % {step} = 0),
+predictions AS (SELECT o.event_type, o.ts AS origin_ts, o.ts + to_hours(h::INTEGER) AS target_ts, h::INTEGER AS horizon, y.lmp_observed AS y_true, a.lmp_clean AS seasonal_naive_24h, b.lmp_clean AS seasonal_naive_168h
+  FROM origins o CROSS JOIN range(1, 25) r(h) LEFT JOIN filled y ON y.event_type = o.event_type AND y.ts = o.ts + to_hours(h::INTEGER)
+  LEFT JOIN filled a ON a.event_type = o.event_type AND a.ts = o.ts + to_hours(h::INTEGER) - INTERVAL 24 HOUR LEFT JOIN filled b ON b.event_type = o.event_type AND b.ts = o.ts + to_hours(h::INTEGER) - INTERVAL 168 HOUR),
+long AS (SELECT * FROM (SELECT *, unnest(['seasonal_naive_24h', 'seasonal_naive_168h']) AS model, unnest([seasonal_naive_24h, seasonal_naive_168h]) AS pred FROM predictions) WHERE pred IS NOT NULL AND y_true IS NOT NULL),
+errors AS (SELECT *, y_true AS actual, seasonal_naive_24h AS predicted, seasonal_naive_24h - y_true AS error, abs(seasonal_naive_24h - y_true) AS abs_error FROM predictions WHERE seasonal_naive_24h IS NOT NULL AND y_true IS NOT NULL),
+threshold AS (SELECT event_type, quantile_cont(lmp_clean, 0.9) AS threshold FROM filled WHERE ts <= TIMESTAMP '{train_end}' GROUP BY 1)"""
