@@ -11,8 +11,10 @@ from hourgrid.llm.common import staged, table
 BUCKETS, LEAST_BUCKETS = 32_768, 64
 #: So few units around the nodes' cuts, all together, are sorted by the driver instead of by a further pass.
 FEW = 16_384
-#: A group of equal texts of more than this share of a shard is dealt in pieces, each of about this share.
-HEAVY, PIECE = 0.125, 0.01
+#: A group of equal texts that no shard can hold is dealt in pieces of about this share of a shard.
+PIECE = 0.01
+#: A group of more than 1 / LARGE of a shard gets its shard before the tree is grown; LARGE * shards are the most of them.
+LARGE = 20
 #: Rows for which one group of slots is meant.
 SLOT_GROUP = 20_000
 
@@ -52,11 +54,13 @@ def units_of(narrow: DataFrame, heavy: DataFrame) -> tuple[DataFrame, DataFrame]
 
 @dataclass
 class Node:
-    """A node of the tree: shards first..first+leaves-1, and the search for its cut."""
+    """A node of the tree: shards first..first+leaves-1, and the search for its cut, at left / whole of its bytes."""
 
     first: int
     leaves: int
     total: int
+    left: int
+    whole: int
     dimension: str
     low: int
     high: int
@@ -74,12 +78,12 @@ class Node:
 
     def crosses(self, weight: int) -> bool:
         """Whether so much weight is more than the left child's share."""
-        return weight * self.leaves > self.total * (self.leaves // 2)
+        return weight * self.whole > self.total * self.left
 
     def end(self, key: tuple[int, ...], weight: int) -> None:
         """The cut is at key; the unit there goes to the side that is then nearer to its share."""
         self.found = list(key)
-        self.keep = (2 * self.below + weight) * self.leaves < 2 * self.total * (self.leaves // 2)
+        self.keep = (2 * self.below + weight) * self.whole < 2 * self.total * self.left
 
     def settle(self, value: int) -> None:
         self.found.append(value)
@@ -153,8 +157,20 @@ def _cuts(placed: DataFrame, nodes: list[Node]) -> None:
                     n.below += weight
 
 
-def _tree(units: DataFrame, shards: int) -> DataFrame:
-    """units with their leaf as `node`, the number of the shard."""
+def _first(large: list[int], shards: int, share: int) -> tuple[list[int], list[int]]:
+    """Shards of large groups, by weight, each in turn into the one that holds least so far, the heaviest
+    first; and the bytes of its share that each shard has left."""
+    held, out = [0] * shards, []
+    for weight in large:
+        k = held.index(min(held))
+        held[k] += weight
+        out.append(k)
+    return out, [max(0, share - h) for h in held]
+
+
+def _tree(units: DataFrame, room: list[int]) -> DataFrame:
+    """units with their leaf as `node`, the number of the shard; room: the bytes each shard is to get."""
+    shards = len(room)
     spark = units.sparkSession
     spread = [f(d).alias(f"{k}_{d}") for d in DIMENSIONS for k, f in (("min", F.min), ("max", F.max))]
     placed, open_leaves, whole = units.withColumn("node", F.lit(0)), {0: shards}, None
@@ -169,7 +185,9 @@ def _tree(units: DataFrame, shards: int) -> DataFrame:
                 r = rows[first]
                 width = {d: (r[f"max_{d}"] - r[f"min_{d}"]) / whole[d] for d in DIMENSIONS}
                 d = max(DIMENSIONS, key=lambda d: (width[d], -DIMENSIONS.index(d)))
-                nodes.append(Node(first, leaves, r.total, d, r[f"min_{d}"], r[f"max_{d}"]))
+                left, all_ = sum(room[first : first + leaves // 2]), sum(room[first : first + leaves])
+                left, all_ = (min(left, all_ - 1), all_) if all_ else (leaves // 2, leaves)
+                nodes.append(Node(first, leaves, r.total, left, all_, d, r[f"min_{d}"], r[f"max_{d}"]))
         _cuts(placed, nodes)
         cut = _small(
             spark,
@@ -192,23 +210,32 @@ def _tree(units: DataFrame, shards: int) -> DataFrame:
 def kd_shards(docs: DataFrame, shards: int = 8, target_bytes: int | None = None) -> DataFrame:
     """Deals whole documents into shards by a k-d tree over source, language, id and size.
 
-    Groups of equal texts stay together; their dimensions are the least of their rows. Only a group of more than
-    HEAVY of a shard's bytes is cut into pieces. Each node is split at the weighted median of its widest dimension
-    (its range against the range over all rows; weights are bytes), ties by digest of the text, until there are
-    `shards` leaves, or as many as total / target_bytes asks for. The unit at a cut goes to the side that is nearer
-    to its share, so shards differ by about a group at a cut. Slots number each shard's rows from 0.
+    Groups of equal texts stay together; their dimensions are the least of their rows. Only a group that is larger
+    than a shard is cut into pieces. Groups of more than 1 / LARGE of a shard are dealt first, each to the shard that
+    holds least; the tree then fills the room that is left. Each node is split at the weighted median of its widest
+    dimension (its range against the range over all rows; weights are bytes, the halves are the room of the shards on
+    either side), ties by digest of the text, until there are `shards` leaves, or as many as total / target_bytes asks
+    for. The unit at a cut goes to the side that is nearer to its share, so shards differ by about a group at a cut.
+    Slots number each shard's rows from 0.
 
     No row is lost: null texts have size 1 and are one group with empty ones. An empty table gives an empty
     result. Other columns are not looked at."""
     narrow = staged(metadata(docs))
     facts = narrow.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    total = facts.bytes or 0
     if target_bytes:
-        shards = max(1, -(-(facts.bytes or 0) // target_bytes))
-    limit = HEAVY * (facts.bytes or 0) / shards
+        shards = max(1, -(-total // target_bytes))
     text = ["text_crc32", "text_hash"]
-    heavy = narrow.groupBy(*text).agg(F.sum("size").alias("held")).where(F.col("held") > limit)  # shards / HEAVY rows at most
-    pieces, units = units_of(narrow, staged(heavy.select(*text, F.ceil(F.col("held") * (HEAVY / PIECE) / limit).cast("int").alias("pieces"))))
-    leaves = _tree(staged(units), shards).select(*text, "piece", F.col("node").alias("shard"))
+    held = narrow.groupBy(*text).agg(F.sum("size").alias("held")).where(F.col("held") * (LARGE * shards) > total)
+    heavy = staged(held)  # LARGE * shards rows at most, as they hold more than 1 / LARGE of a shard each
+    fits = heavy.where(F.col("held") * shards <= total).orderBy(F.desc("held"), *text).collect()
+    homes, room = _first([r.held for r in fits], shards, total // shards)
+    large = _small(docs.sparkSession, [(r.text_crc32, r.text_hash, k) for r, k in zip(fits, homes)], "text_crc32 bigint, text_hash bigint, node int")
+    cut = heavy.where(F.col("held") * shards > total).select(*text, F.ceil(F.col("held") * shards / (PIECE * total)).cast("int").alias("pieces"))
+    pieces, units = units_of(narrow, cut)
+    units = staged(units)
+    grown = _tree(units.join(large, text, "left_anti"), room).select(*text, "piece", F.col("node").alias("shard"))
+    leaves = grown.unionByName(units.join(large, text).select(*text, "piece", F.col("node").alias("shard")))
     placed = pieces.join(leaves, [*text, "piece"]).select("doc_id", "size", "text_crc32", "shard")
     groups = max(1, facts.n // (SLOT_GROUP * shards) + 1)
     part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(groups)).cast("int")
