@@ -24,6 +24,10 @@ ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 32 << 20, 8 << 20, 4 << 20
 #: Times one member is read again, at its offset, before its read fails.
 RETRIES = 3
 
+#: Begins the names of the lists of archives.
+LIST = "_archives-"
+# Fixed values of the archive format: the mark of a member's own header, and its bytes before name and extra field.
+HEADER_MARK, HEADER_BYTES = b"PK\x03\x04", 30
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -106,15 +110,16 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options["path"], int(self.options.get("rangeBytes", RANGE_BYTES)))
 
     def writer(self, schema, overwrite: bool) -> "ArchiveWriter":
-        return ArchiveWriter(self.options["path"], int(self.options.get("archiveBytes", ARCHIVE_BYTES)))
+        return ArchiveWriter(self.options["path"], int(self.options.get("archiveBytes", ARCHIVE_BYTES)), overwrite)
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Every task attempt writes archives under names of its own; only those of committed tasks get into the
-    folder's list, so an attempt that is lost or repeated leaves nothing that a reader sees."""
+    """Every task attempt writes archives under names of its own; only those of committed tasks get into a list of
+    the job, so an attempt that is lost or repeated leaves nothing that a reader sees. Each job has a list of its own:
+    a folder that is written again holds the archives of all jobs, or with overwrite those of the last one."""
 
-    def __init__(self, path: str, archive_bytes: int):
-        self.path, self.archive_bytes = path, archive_bytes
+    def __init__(self, path: str, archive_bytes: int, overwrite: bool = False):
+        self.path, self.archive_bytes, self.overwrite = path, archive_bytes, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, folder = fs.FileSystem.from_uri(self.path)
@@ -143,8 +148,11 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, folder = fs.FileSystem.from_uri(self.path)
         store.create_dir(folder, recursive=True)
-        with store.open_output_stream(f"{folder}/_archives") as out:
+        earlier = _lists(store, folder) if self.overwrite else []
+        with store.open_output_stream(f"{folder}/{LIST}{uuid.uuid4().hex}") as out:
             out.write("\n".join(f for m in messages if m for f in m.files).encode())
+        for old in earlier:
+            store.delete_file(old)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, folder = fs.FileSystem.from_uri(self.path)
@@ -153,6 +161,11 @@ class ArchiveWriter(DataSourceArrowWriter):
                 store.delete_file(f"{folder}/{f}")
 
 
+def _lists(store: fs.FileSystem, folder: str) -> list[str]:
+    """The lists of the jobs that wrote to the folder; a folder that is not there is an error."""
+    return [i.path for i in store.get_file_info(fs.FileSelector(folder)) if i.base_name.startswith(LIST)]
+
+
 class ArchiveReader(DataSourceReader):
     """Plans ranges of bytes over the archives; a range reads the members whose headers begin in it."""
 
@@ -161,8 +174,10 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, folder = fs.FileSystem.from_uri(self.path)
-        with store.open_input_stream(f"{folder}/_archives") as listed:
-            names = set(listed.read().decode().split())
+        names: set[str] = set()
+        for path in _lists(store, folder):
+            with store.open_input_stream(path) as listed:
+                names |= set(listed.read().decode().split())
         out: list[InputPartition] = []
         for info in store.get_file_info(fs.FileSelector(folder)):
             if info.base_name in names:
@@ -192,18 +207,34 @@ class ArchiveReader(DataSourceReader):
 
     @staticmethod
     def _member(store: fs.FileSystem, path: str, archive: zipfile.ZipFile, member: zipfile.ZipInfo) -> bytes:
-        """One member's bytes, checked; a failed read is repeated for this member alone, from its offset."""
+        """One member's bytes, checked; a failed read is repeated for this member alone, at its offset in the archive
+        opened anew: what stands there is the member, whatever other members have its name."""
         for attempt in range(RETRIES + 1):
             try:
                 if not attempt:
                     return archive.read(member)
-                with store.open_input_file(path) as again, zipfile.ZipFile(again) as fresh:
-                    return fresh.read(fresh.getinfo(member.filename) if len(fresh.NameToInfo) == len(fresh.filelist) else member)
+                with store.open_input_file(path) as again:
+                    return _at(again, member)
             except (OSError, zipfile.BadZipFile, zlib.error) as error:
                 last = error
         raise OSError(f"{path}, member at {member.header_offset}: {last}")
 
 
+def _at(source: pa.NativeFile, member: zipfile.ZipInfo) -> bytes:
+    """The member whose local header is at header_offset, by the sizes and the checksum of the directory."""
+    source.seek(member.header_offset)
+    header = source.read(HEADER_BYTES)
+    if len(header) < HEADER_BYTES or header[:4] != HEADER_MARK:
+        raise zipfile.BadZipFile(f"no member at {member.header_offset}")
+    name, extra = struct.unpack_from("<HH", header, HEADER_BYTES - 4)
+    source.seek(member.header_offset + HEADER_BYTES + name + extra)
+    held = source.read(member.compress_size)
+    payload = zlib.decompress(held, -15) if member.compress_type == zipfile.ZIP_DEFLATED else held
+    if len(payload) != member.file_size or zlib.crc32(payload) != member.CRC:
+        raise zipfile.BadZipFile(f"the member at {member.header_offset} is damaged")
+    return payload
+
+
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names, texts = batch.column("name"), batch.column("text")

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import zipfile
 import zlib
 
 import numpy as np
@@ -126,6 +127,37 @@ def test_media_round_trip(spark, texts, tmp_path):
     assert media.read_archives(spark, empty).count() == 0
 
 
+def test_archives_written_twice(spark, tmp_path):
+    path = f"file://{tmp_path}/archives"
+    for text in ("one", "two", "two"):
+        media.write_archives(frame(spark, [text]), path)
+    digest = lambda t: hashlib.sha256(media.to_picture(t.encode())).hexdigest()
+    held = lambda: sorted(hashlib.sha256(r.payload).hexdigest() for r in media.read_archives(spark, path).collect())
+    assert held() == sorted(map(digest, ("one", "two", "two")))
+    rows = spark.createDataFrame([("7", media.to_picture(b"three"))], "name string, payload binary")
+    rows.write.format("archives").mode("overwrite").save(path)
+    assert held() == [digest("three")]
+    with pytest.raises(Exception, match="absent"):
+        media.read_archives(spark, f"file://{tmp_path}/absent").count()
+
+
+@pytest.mark.parametrize("kind", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED])
+def test_a_member_that_fails_once_is_read_at_its_offset(tmp_path, kind):
+    """Members of one name: the one at the offset is read, not the last of that name."""
+    path = str(tmp_path / "a.zip")
+    with zipfile.ZipFile(path, "w", kind) as out:
+        for k in range(3):
+            out.writestr(zipfile.ZipInfo("same"), bytes([k]) * 500, kind)
+
+    class Failing:
+        def read(self, member):
+            raise OSError("once")
+
+    with zipfile.ZipFile(path) as archive:
+        got = [media.ArchiveReader._member(media.fs.LocalFileSystem(), path, Failing(), m) for m in archive.infolist()]
+    assert got == [bytes([k]) * 500 for k in range(3)]
+
+
 def test_a_broken_member_fails_after_retries(tmp_path, spark):
     path = f"file://{tmp_path}/archives"
     media.write_archives(frame(spark, ["x" * 1000]), path)
@@ -164,7 +196,6 @@ def _leaves(texts, rows, shards):
         unit[0] += len(data) + 1
         unit[1] = tuple(map(min, unit[1], dims))
     span = lambda us, d: max(u[1][d] for u in us) - min(u[1][d] for u in us)
-    whole = [max(1, span(units.values(), d)) for d in range(4)]
     out = {}
 
     def split(part, first, leaves):
@@ -175,13 +206,23 @@ def _leaves(texts, rows, shards):
         d = max(range(4), key=lambda d: (span(us, d) / whole[d], -d))
         order = sorted(part, key=lambda k: (units[k][1][d], units[k][2]))
         sums = np.cumsum([units[k][0] for k in order])
-        share = sums[-1] * (leaves // 2) / leaves
+        left, both = sum(room[first : first + leaves // 2]), sum(room[first : first + leaves])
+        left, both = (min(left, both - 1), both) if both else (leaves // 2, leaves)
+        share = sums[-1] * left / both
         cut = int(np.searchsorted(sums, share, "right"))
         if sums[cut] - share < share - (sums[cut - 1] if cut else 0):
             cut += 1
         split(order[:cut], first, leaves // 2), split(order[cut:], first + leaves // 2, leaves - leaves // 2)
 
-    split(list(units), 0, shards)
+    total = sum(u[0] for u in units.values())
+    large = sorted((k for k, u in units.items() if u[0] * sharding.LARGE * shards > total >= u[0] * shards), key=lambda k: (-units[k][0], units[k][2]))
+    held = [0] * shards
+    for k in large:
+        out[k] = held.index(min(held))
+        held[out[k]] += units[k][0]
+    room = [max(0, total // shards - h) for h in held]
+    whole = [max(1, span([u for k, u in units.items() if k not in out], d)) for d in range(4)] if len(large) < len(units) else None
+    split([k for k in units if k not in out], 0, shards)
     return [out[(t or "").encode()] for t in texts]
 
 
@@ -201,6 +242,18 @@ def test_shards_equal_brute_force(spark, few, target, monkeypatch):
         assert sorted(slots) == list(range(len(slots)))
 
 
+@pytest.mark.parametrize("share", [0.14, 0.25, 0.6, 0.99])
+def test_groups_that_fit_a_shard_stay_whole(spark, share):
+    """Two equal texts of a quarter of a shard and more, also when there are several such pairs."""
+    small = [prose(k, 40) for k in range(700)]
+    shard = sum(map(len, small)) / (8 - 6 * share)
+    texts = small + [t for k in range(6) for t in [prose(1000 + k, int(shard)).encode()[: int(share * shard / 2)].decode(errors="ignore")] * 2]
+    got = sharding.kd_shards(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string"), shards=8).toPandas()
+    assert got.groupby("text_crc32").shard.nunique().max() == 1 and len(got) == len(texts)
+    sums = got.groupby("shard")["size"].sum()
+    assert len(sums) == 8 and sums.max() < 1.05 * sums.min()
+
+
 def test_a_heavy_group_is_dealt_in_pieces(spark):
     """A third of the rows is one text, and a third of those even one row; bytes stay near equal, other groups whole."""
     texts = [prose(1, 30)] * 300 + [prose(2 + k // 2, 30) for k in range(600)]
