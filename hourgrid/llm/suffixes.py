@@ -6,13 +6,16 @@ Only segments whose anchor occurs elsewhere can hold a repeated window. Segments
 settled by their digests; those that share an anchor but differ go, text and all, into shards by anchor. A shard's
 suffix array is made by Larsson-Sadakane refinement, Kasai's common prefixes of LENGTH and more give the classes of
 equal windows, and all but the first of a class are repeats. An anchor with very many different segments is split
-over several shards; the sorted distinct windows of these are dealt to ranges and searched for each other there."""
+over several shards; the distinct windows of their suffix arrays are dealt to ranges, where the arrays are merged two by
+two, the windows of one sought in the other by binary search."""
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -291,23 +294,25 @@ def _runs(owner: np.ndarray, first_byte: np.ndarray) -> list[np.ndarray]:
     return [owner[begin], first_byte[begin], np.diff(np.append(begin, len(owner)))]
 
 
-_NAMES = ["id", "start", "windows", "window"]
+_NAMES = ["id", "start", "windows", "window", "shard"]
 
 
 def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments sorted by anchor, split, id and place -> repeated windows (window null), and of split anchors each
-    distinct window with its bytes, for the merge."""
-    held, size = [], 0
+    distinct window with its bytes and the number of its suffix array, for the merge."""
+    held, size, arrays = [], 0, itertools.count(TaskContext.get().partitionId() << 32)
 
     def done(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         owner, first_byte, head, hot, at, buffer = _repeats_of(pa.concat_tables(tables).combine_chunks())
         repeats = _runs(owner[~head], first_byte[~head])
-        yield pa.RecordBatch.from_arrays([*map(pa.array, repeats), pa.nulls(len(repeats[0]), pa.binary())], _NAMES)
+        none = pa.nulls(len(repeats[0]), pa.binary()), pa.nulls(len(repeats[0]), pa.int64())
+        yield pa.RecordBatch.from_arrays([*map(pa.array, repeats), *none], _NAMES)
+        number = next(arrays)
         open_ = np.flatnonzero(head & hot)
         for part in np.array_split(open_, len(open_) // 10_000 + 1):
             windows = np.ascontiguousarray(buffer[at[part][:, None] + np.arange(LENGTH)])
             bytes_ = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(part), [None, pa.py_buffer(windows)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(owner[part]), pa.array(first_byte[part]), pa.array(np.ones(len(part), np.int64)), bytes_], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[part]), pa.array(first_byte[part]), pa.array(np.ones(len(part), np.int64)), bytes_, pa.array(np.full(len(part), number))], _NAMES)
 
     for group in _groups(batches, ("anchor", "split")):
         for rows in _parts(_without_repeated(group)):
@@ -347,16 +352,31 @@ def _parts(table_: pa.Table) -> Iterator[pa.Table]:
         at = end
 
 
+def _joined(windows: np.ndarray, a: np.ndarray, b: np.ndarray, repeat: np.ndarray) -> np.ndarray:
+    """The rows of two arrays as one without equal windows. a and b: rows in order, of distinct windows each. Each
+    window of a is sought among those of b by binary search; of two equal ones the later row is a repeat."""
+    place = np.searchsorted(windows[b], windows[a])
+    met = np.flatnonzero(windows[b[np.minimum(place, len(b) - 1)]] == windows[a])
+    pair = a[met], b[place[met]]
+    repeat[np.maximum(*pair)] = True
+    both = np.concatenate([a, b])
+    return np.sort(both[~repeat[both]])
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A range of the distinct windows of several shards, sorted by window, id and start: each is sought among the
-    others by binary search. Where the search ends before it, an earlier window is equal to it and it is a repeat."""
+    """A range of the distinct windows of several suffix arrays, sorted by window, id and start: the arrays are merged
+    two by two until one is left. Equal windows on both sides of a batch's border are told by the last one before it."""
     last = None
     for rows in batches:
         if not rows.num_rows:
             continue
         windows = np.frombuffer(bytes_of(rows.column("window"))[0].tobytes(), f"S{LENGTH}")
-        found = np.searchsorted(windows, windows, "left")
-        repeat = found < np.arange(len(windows))
+        shard = rows.column("shard").to_numpy()
+        by = np.argsort(shard, kind="stable")
+        arrays = np.split(by, np.flatnonzero(np.diff(shard[by])) + 1)
+        repeat = np.zeros(len(windows), bool)
+        while len(arrays) > 1:
+            arrays = [_joined(windows, *arrays[k : k + 2], repeat) if k + 1 < len(arrays) else arrays[k] for k in range(0, len(arrays), 2)]
         if last is not None:
             repeat |= windows == last
         last = windows[-1]
@@ -383,7 +403,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     cut = texts.join(wanted, "id").mapInArrow(_cut_out, "anchor bigint, id bigint, place bigint, hot boolean, segment binary")
     cut = cut.join(hot, "anchor", "left").withColumn("split", F.coalesce(F.pmod(F.xxhash64("id", "place"), F.col("splits")).cast("int"), F.lit(0))).drop("splits")
     cut = cut.repartition("anchor", "split").sortWithinPartitions("anchor", "split", "id", "place")
-    shards = staged(cut.mapInArrow(_sharded, "id bigint, start bigint, windows bigint, window binary"))
+    shards = staged(cut.mapInArrow(_sharded, "id bigint, start bigint, windows bigint, window binary, shard bigint"))
     repeats = repeats.unionByName(shards.where("window IS NULL").select("id", "start", "windows"))
     open_ = shards.where("window IS NOT NULL").repartitionByRange("window").sortWithinPartitions("window", "id", "start")
     return repeats.unionByName(open_.mapInArrow(_merged, "id bigint, start bigint, windows bigint"))

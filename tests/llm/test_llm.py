@@ -378,7 +378,7 @@ def test_windows_are_sought_in_order_of_bytes():
     rows = sorted(bytes(r) + b"\0" * k for k, r in [(0, [255] * 100), (0, [1] * 100), (1, [255] * 99), (2, [255] * 98), (100, []), (0, [128] * 100)])
     rows = [r for r in rows for _ in range(2)]
     at = list(range(len(rows)))
-    batches = [pa.RecordBatch.from_arrays([pa.array(at[a:b]), pa.array([0] * (b - a)), pa.array(rows[a:b], pa.binary())], ["id", "start", "window"]) for a, b in ((0, 3), (3, 12))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(at[a:b]), pa.array([0] * (b - a)), pa.array(rows[a:b], pa.binary()), pa.array([k % 2 for k in at[a:b]])], ["id", "start", "window", "shard"]) for a, b in ((0, 3), (3, 12))]
     assert sorted(x for b in suffixes._merged(iter(batches)) for x in b.column("id").to_pylist()) == at[1::2]
 
 
@@ -578,3 +578,19 @@ def test_repeated_rows_and_null_ids(spark):
     full = docs.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
     assert sharding.kd_shards(full).count() == 4 and mixing.mix(full, fraction=1.0, max_epochs=1).count() == 3
     assert isinstance(of(bpe.encode(docs)), pd.DataFrame)
+
+
+def test_windows_of_several_suffix_arrays_are_merged():
+    """Arrays of distinct windows, cut into batches anywhere: all but the first of equal windows are repeats."""
+    r = random.Random(9)
+    rows = []
+    for shard in range(7):
+        for k in r.sample(range(60), 40):
+            rows.append((bytes([k]) * suffixes.LENGTH, r.randint(0, 5), 1000 * k + shard, shard << 32))
+    rows.sort(key=lambda x: x[:3])
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    for size in (1, 3, 17, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + size]), kinds)], ["window", "id", "start", "shard"]) for at in range(0, len(rows), size)]
+        got = [(i, s + k) for b in suffixes._merged(iter(batches)) for i, s, n in zip(*(c.to_pylist() for c in b.columns)) for k in range(n)]
+        want = [(b[1], b[2]) for a, b in zip(rows, rows[1:]) if a[0] == b[0]]
+        assert sorted(got) == sorted(want) and len(want) > 100
