@@ -164,23 +164,31 @@ def _(spark, d):
 
 
 CALENDAR = ["year_local", "month_local", "day_local", "hour_local", "weekday_local", "is_weekend", "is_summer", "is_winter"]
-query("calendar_features", f"ts ts_local {_ints(CALENDAR)}", H, "cal")(jobs.hourly)
-query("cyclic_features", f"ts {_doubles(['sin_hour', 'cos_hour', 'sin_dow', 'cos_dow', 'sin_month', 'cos_month'])}", H, "cal")(jobs.hourly)
+
+
+def _with(work: Callable[[DataFrame, tuple[str, ...]], DataFrame], before: int = 0, after: int = 0) -> Callable[[SparkSession, str], DataFrame]:
+    """One kind of features over the clean table, by buckets with as much halo as it needs."""
+    return lambda spark, d: features.without_infinities(buckets.over_buckets(_cleaned(spark, d), work, before, after))
+
+
+_calendar = lambda spark, d: features.add_calendar(_cleaned(spark, d))
+query("calendar_features", f"ts ts_local {_ints(CALENDAR)}", H, "cal")(_calendar)
+query("cyclic_features", f"ts {_doubles(['sin_hour', 'cos_hour', 'sin_dow', 'cos_dow', 'sin_month', 'cos_month'])}", H, "cal")(_calendar)
 LAG_NAMES = [f"{m}_clean_lag_{n}h" for m, ns in features.LAGS.items() for n in ns]
-query("lag_features", f"ts {_doubles(LAG_NAMES)}", H, "hourly")(jobs.hourly)
-query("rolling_features", f"ts {_doubles(list(features.ROLLS))}", H, "hourly")(jobs.hourly)
-query("lead_targets", f"ts {_doubles(features.targets())} {_ints([t + '_is_missing' for t in features.targets()])}", H, "hourly")(jobs.hourly)
-query("change_24h", f"ts {_doubles([m + '_change_24h' for m in ('temp_c', 'hdd', 'cdd', 'load_mw')])}", H, "hourly")(jobs.hourly)
+query("lag_features", f"ts {_doubles(LAG_NAMES)}", H, "hourly")(_with(features.add_lags, 168))
+query("rolling_features", f"ts {_doubles(list(features.ROLLS))}", H, "hourly")(_with(features.add_rolling, 168))
+query("lead_targets", f"ts {_doubles(features.targets())} {_ints([t + '_is_missing' for t in features.targets()])}", H, "hourly")(_with(lambda df, keys: features.add_targets(df, keys=keys), 0, features.HORIZON))
+query("change_24h", f"ts {_doubles([m + '_change_24h' for m in ('temp_c', 'hdd', 'cdd', 'load_mw')])}", H, "hourly")(_with(lambda df, keys: features.add_changes(df, keys=keys), 24))
 query("seasonal_residuals", f"ts split {_doubles([m + '_change_24h' for m in features.STATES])}", S, "supervised")(jobs.supervised)
 query("chrono_split", "ts split", f"{H}, t AS (SELECT ts, {sql.SPLIT} AS split FROM hourly)", "t")(
-    lambda spark, d: jobs.hourly(spark, d).withColumn("split", features.split_of(F.col("ts"), adapter.TRAIN_END, adapter.VALIDATION_END))
+    lambda spark, d: _cleaned(spark, d).withColumn("split", features.split_of(F.col("ts"), adapter.TRAIN_END, adapter.VALIDATION_END))
 )
 query("supervised_filter", "ts split lmp_clean:d target_lmp_h01:d target_lmp_h24:d lmp_clean_lag_168h:d", S, "supervised")(jobs.supervised)
 
 
 @query("season_labels", "ts season season_year:i", f"{H}, t AS (SELECT ts, CASE WHEN is_summer = 1 THEN 'summer' WHEN is_winter = 1 THEN 'winter' ELSE 'other' END AS season, year_local + CASE WHEN month_local = 12 THEN 1 ELSE 0 END AS season_year FROM cal)", "t")
 def _(spark, d):
-    return jobs.hourly(spark, d).withColumns({"season": season(F.col("month_local")), "season_year": season_year(F.col("year_local"), F.col("month_local"))})
+    return _calendar(spark, d).withColumns({"season": season(F.col("month_local")), "season_year": season_year(F.col("year_local"), F.col("month_local"))})
 
 
 def _long(spark, d):
@@ -369,7 +377,7 @@ def _(spark, d):
 
 _state = list(dmdc.FULL_STATES)
 query("fit_scaler", "n:i " + " ".join(f"m{i}:d s{i}:d" for i in range(len(_state))), f"{H}, t AS (SELECT count(*) AS n, {', '.join(f'avg({c}) AS m{i}, stddev_pop({c}) AS s{i}' for i, c in enumerate(_state))} FROM hourly WHERE ts <= TIMESTAMP '{adapter.TRAIN_END}')", "t")(
-    lambda spark, d: dmdc.fit_scaler(jobs.hourly(spark, d).where(F.col("ts") <= F.lit(adapter.TRAIN_END).cast("timestamp_ntz")), _state)
+    lambda spark, d: dmdc.fit_scaler(_cleaned(spark, d).where(F.col("ts") <= F.lit(adapter.TRAIN_END).cast("timestamp_ntz")), _state)
 )
 
 
