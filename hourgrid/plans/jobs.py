@@ -27,9 +27,11 @@ CORE = ("lmp", "load_mw", "temp_c", "hdd", "cdd", "precip_1h_mm", "wind_speed_ms
 REACH = {"before": 168, "after": features.HORIZON}
 
 
-def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clean table, its gaps filled bucket by bucket. The aligned feeds are staged, as they are read twice."""
-    return clean.clean(staged(clean.align(feeds(spark, sf_dir))), bucket_hours=buckets.HOURS)
+def cleaned(spark: SparkSession, sf_dir: str, measures: tuple[str, ...] = ()) -> DataFrame:
+    """The clean table (of some measures only), its gaps filled bucket by bucket. The aligned feeds are staged, as they
+    are read twice."""
+    chosen = [(df, [m for m in own if not measures or m in measures]) for df, own in feeds(spark, sf_dir)]
+    return clean.clean(staged(clean.align(chosen)), bucket_hours=buckets.HOURS)
 
 
 def featured(table: DataFrame) -> DataFrame:
@@ -42,16 +44,12 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return featured(cleaned(spark, sf_dir))
 
 
-def narrow(table: DataFrame, measures: tuple[str, ...] = CORE) -> DataFrame:
-    """A clean table with some measures only, staged: where each branch of a job begins."""
+def core_hours(spark: SparkSession, sf_dir: str, measures: tuple[str, ...] = CORE) -> DataFrame:
+    """The clean table of what forecasts and yearly tables need, staged: where each branch of a job begins."""
+    table = cleaned(spark, sf_dir, measures)
     return staged(table.select("ts", "lmp_observed", *[f"{m}{end}" for m in measures for end in ("_clean", "_missing")]))
 
 
-def core_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What forecasts and yearly tables need."""
-    return narrow(cleaned(spark, sf_dir))
-
-
 def with_changes(hours: DataFrame) -> DataFrame:
     """Narrow hours with the calendar and the changes over a day: what events need."""
     return features.without_infinities(features.add_calendar(buckets.over_buckets(hours, lambda df, keys: features.add_changes(df, features.STATES, keys), 24, 0)))
@@ -68,8 +66,7 @@ def staged_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def state_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What state-space models need: their states, the prices, and the calendar, staged."""
-    table = cleaned(spark, sf_dir)
-    return staged(with_changes(narrow(table, (*CORE, "congestion", "marginal_loss"))))
+    return staged(with_changes(core_hours(spark, sf_dir, (*CORE, "congestion", "marginal_loss"))))
 
 
 def supervised_of(hours: DataFrame) -> DataFrame:

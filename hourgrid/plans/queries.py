@@ -166,19 +166,19 @@ def _(spark, d):
 CALENDAR = ["year_local", "month_local", "day_local", "hour_local", "weekday_local", "is_weekend", "is_summer", "is_winter"]
 
 
-def _with(work: Callable[[DataFrame, tuple[str, ...]], DataFrame], before: int = 0, after: int = 0) -> Callable[[SparkSession, str], DataFrame]:
-    """One kind of features over the clean table, by buckets with as much halo as it needs."""
-    return lambda spark, d: features.without_infinities(buckets.over_buckets(_cleaned(spark, d), work, before, after))
+def _with(work: Callable[[DataFrame, tuple[str, ...]], DataFrame], before: int, after: int, measures: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
+    """One kind of features over the clean table of some measures, by buckets with as much halo as it needs."""
+    return lambda spark, d: features.without_infinities(buckets.over_buckets(_cleaned(spark, d, measures), work, before, after))
 
 
 _calendar = lambda spark, d: features.add_calendar(_cleaned(spark, d))
 query("calendar_features", f"ts ts_local {_ints(CALENDAR)}", H, "cal")(_calendar)
 query("cyclic_features", f"ts {_doubles(['sin_hour', 'cos_hour', 'sin_dow', 'cos_dow', 'sin_month', 'cos_month'])}", H, "cal")(_calendar)
 LAG_NAMES = [f"{m}_clean_lag_{n}h" for m, ns in features.LAGS.items() for n in ns]
-query("lag_features", f"ts {_doubles(LAG_NAMES)}", H, "hourly")(_with(features.add_lags, 168))
-query("rolling_features", f"ts {_doubles(list(features.ROLLS))}", H, "hourly")(_with(features.add_rolling, 168))
-query("lead_targets", f"ts {_doubles(features.targets())} {_ints([t + '_is_missing' for t in features.targets()])}", H, "hourly")(_with(lambda df, keys: features.add_targets(df, keys=keys), 0, features.HORIZON))
-query("change_24h", f"ts {_doubles([m + '_change_24h' for m in ('temp_c', 'hdd', 'cdd', 'load_mw')])}", H, "hourly")(_with(lambda df, keys: features.add_changes(df, keys=keys), 24))
+query("lag_features", f"ts {_doubles(LAG_NAMES)}", H, "hourly")(_with(features.add_lags, 168, 0, features.STATES))
+query("rolling_features", f"ts {_doubles(list(features.ROLLS))}", H, "hourly")(_with(features.add_rolling, 168, 0, features.STATES))
+query("lead_targets", f"ts {_doubles(features.targets())} {_ints([t + '_is_missing' for t in features.targets()])}", H, "hourly")(_with(lambda df, keys: features.add_targets(df, keys=keys), 0, features.HORIZON, ("lmp",)))
+query("change_24h", f"ts {_doubles([m + '_change_24h' for m in ('temp_c', 'hdd', 'cdd', 'load_mw')])}", H, "hourly")(_with(lambda df, keys: features.add_changes(df, keys=keys), 24, 0, features.STATES))
 query("seasonal_residuals", f"ts split {_doubles([m + '_change_24h' for m in features.STATES])}", S, "supervised")(jobs.supervised)
 query("chrono_split", "ts split", f"{H}, t AS (SELECT ts, {sql.SPLIT} AS split FROM hourly)", "t")(
     lambda spark, d: _cleaned(spark, d).withColumn("split", features.split_of(F.col("ts"), adapter.TRAIN_END, adapter.VALIDATION_END))
