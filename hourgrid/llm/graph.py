@@ -7,8 +7,8 @@ from hourgrid.llm.common import staged
 
 
 def _lowest(both: DataFrame) -> DataFrame:
-    """(u, v) with the least of u and u's neighbours as m. The minimum is pre-aggregated, then joined, so that a
-    node with very many neighbours is not gathered in one task."""
+    """(u, v) with the least of u and u's neighbours as m. The minimum is pre-aggregated; the join that brings it back
+    deals a node's neighbours to one task unless Spark splits that task as skewed, so such a task only streams rows."""
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.join(least, "u")
 

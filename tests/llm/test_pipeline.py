@@ -154,9 +154,10 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 
 def test_stages_and_queries_are_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeated_passages", "mixing", "tokens"]
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
 
 
 def test_workers_get_the_operators(tmp_path):
-    names = ("op1_language_id", "op2_media", "op3_bpe", "op6_suffix_dedup", "op7_toxicity", "op9_embedding_neardup")
-    assert rows_elsewhere(tmp_path, *names) == dict.fromkeys(names[:-1], 200) | {names[-1]: 500}
+    of_documents, of_vectors = ("op1_language_id", "op2_media", "op3_bpe", "op6_suffix_dedup", "op7_toxicity"), ("op9_embedding_neardup", "op11_vector_codes")
+    got = rows_elsewhere(tmp_path, *of_documents, *of_vectors, "op12_spelling_variants", "op13_url_filter")
+    assert got.pop("op12_spelling_variants") > 1000 and got == dict.fromkeys(of_documents, 200) | dict.fromkeys(of_vectors, 500) | {"op13_url_filter": 50}
