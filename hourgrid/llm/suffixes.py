@@ -405,7 +405,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     cut = cut.repartition("anchor", "split").sortWithinPartitions("anchor", "split", "id", "place")
     shards = staged(cut.mapInArrow(_sharded, "id bigint, start bigint, windows bigint, window binary, shard bigint"))
     repeats = repeats.unionByName(shards.where("window IS NULL").select("id", "start", "windows"))
-    open_ = shards.where("window IS NOT NULL").repartitionByRange("window").sortWithinPartitions("window", "id", "start")
+    open_ = shards.where("window IS NOT NULL").drop("windows").repartitionByRange("window").sortWithinPartitions("window", "id", "start")
     return repeats.unionByName(open_.mapInArrow(_merged, "id bigint, start bigint, windows bigint"))
 
 
