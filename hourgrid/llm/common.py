@@ -31,6 +31,22 @@ def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than 1 / HOT_KEYS of all rows is hot, so fewer than HOT_KEYS keys are.
+HOT_KEYS = 1024
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the facts of their key. facts: one row a key, with the number of the key's rows as `weight`; total: at
+    least the number of all rows.
+
+    Hot keys are few whatever the data, so their facts are broadcast and their rows stay where they are; only the
+    other rows are shuffled, and no task gets more than 1 / HOT_KEYS of all rows for one key. Rows without facts go."""
+    hot = F.broadcast(facts.where(F.col("weight") * HOT_KEYS > total))
+    near = rows.join(hot, key).drop("weight")
+    rest = rows.join(hot.select(key, "weight"), key, "left").where("weight IS NULL").drop("weight")
+    return near.unionByName(rest.join(facts.where(F.col("weight") * HOT_KEYS <= total).drop("weight"), key))
+
+
 def guarded(docs: DataFrame, own: list[str]) -> tuple[DataFrame, list[Column]]:
     """docs with all columns but `own` under names that clash with nothing, and what selects the old columns back."""
     names = {c: c if c in own else f"__column_{i}" for i, c in enumerate(docs.columns)}

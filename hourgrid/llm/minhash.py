@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import bytes_of, mixed, spans, staged, table
+from hourgrid.llm.common import bytes_of, mixed, spans, spread_join, staged, table
 from hourgrid.llm.graph import components
 
 #: Bins of the one permutation, and bins in a band. Two sets of similarity s share a band with probability
@@ -168,10 +168,10 @@ def _stars(shared: DataFrame, percent: int) -> DataFrame:
     """(a, b): each member of a bucket with the bucket's centre, if their sizes allow a link.
 
     The centre is the first by one of four orders, so that one text that is unlike its copies is not the centre of
-    all their buckets. Centres are pre-aggregated and joined, so a bucket of very many members is not one task's."""
+    all their buckets. Centres are pre-aggregated and those of large buckets broadcast, so no task gets a large bucket."""
     order = F.xxhash64("id", F.pmod("bucket", F.lit(4)))
-    centres = shared.groupBy("bucket").agg(F.min(F.struct(order, "id", "n")).alias("centre"))
-    pairs = shared.join(centres, "bucket").where("id <> centre.id").where(100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n"))
+    centres = shared.groupBy("bucket").agg(F.min(F.struct(order, "id", "n")).alias("centre"), F.count("*").alias("weight"))
+    pairs = spread_join(shared, centres, "bucket", shared.count()).where("id <> centre.id").where(100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n"))
     return pairs.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
 
 
@@ -179,12 +179,12 @@ def _open_rows(shared: DataFrame, links: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one component: bucket, id, component, asks (it is not in the bucket's
     largest component), and in how many blocks the bucket's members and its asking members are cut."""
     found = components(links)
-    rows = shared.join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("component_id", "id").alias("component"))
-    counts = rows.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    known = lambda rows: rows.join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component_id", "id")).drop("node", "component_id")
+    counts = known(shared).groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     facts = counts.groupBy("bucket").agg(F.max(F.struct("m", "component", "s")).alias("main"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("parts")).where("parts > 1")
     cut = lambda m, s: F.ceil(F.greatest(m / BLOCK, s / ELEMENTS)).cast("int")
-    facts = facts.select("bucket", F.col("main.component").alias("main"), cut(F.col("m"), F.col("s")).alias("blocks"), cut(F.col("m") - F.col("main.m"), F.col("s") - F.col("main.s")).alias("ask_blocks"))
-    return rows.join(facts, "bucket").withColumn("asking", F.expr("component <> main")).drop("main", "n")
+    facts = facts.select("bucket", F.col("m").alias("weight"), F.col("main.component").alias("main"), cut(F.col("m"), F.col("s")).alias("blocks"), cut(F.col("m") - F.col("main.m"), F.col("s") - F.col("main.s")).alias("ask_blocks"))
+    return known(spread_join(shared, facts, "bucket", shared.count())).withColumn("asking", F.expr("component <> main")).drop("main", "n")
 
 
 def _joining(group: pa.Table, percent: int) -> pa.Table:

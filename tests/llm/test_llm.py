@@ -18,8 +18,9 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from hourgrid.llm import bpe, langid, licenses, media, minhash, mixing, sharding, suffixes, toxicity, vectors
+from hourgrid.llm import bpe, common, langid, licenses, media, minhash, mixing, sharding, suffixes, toxicity, vectors
 from hourgrid.llm.common import bytes_of
+from hourgrid.llm.graph import components
 
 FIELDS = "doc_id bigint, text string, lang string, source string, n_chars bigint, budget int, runs int, score double"
 SYLLABLES = ["the", "ra", "lo", "in", "ter", "mi", "sen", "qua", "é", "ou", "zu"]
@@ -523,6 +524,40 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_vectors(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 64])
+def test_blocks_of_a_filter_find_all_links(spark, block, monkeypatch):
+    """One family of 700 vectors, a third of which are copies, in filters of many blocks."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    r = np.random.default_rng(4)
+    x = vectors.unit_of(r.normal(size=(1, 16)) + r.normal(size=(500, 16)) * 0.3)
+    x = np.concatenate([x, x[:200], r.normal(size=(100, 16))])
+    got = of(vectors.near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>")))
+    unit = vectors.unit_of(x)
+    linked = unit @ unit.T >= 0.9
+    label = vectors._labels(linked)
+    assert linked.sum() > 100_000 and got.n_links.tolist() == (linked.sum(axis=1) - 1).tolist()
+    assert got.component_id.tolist() == label.tolist()
+
+
+@pytest.mark.parametrize("hot", [1024, 4])
+def test_components_of_stars_and_chains(spark, hot, monkeypatch):
+    """A star whose centre is the greatest node, one whose centre is the least, a long chain, loops and null ends."""
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    edges = [(9999, k) for k in range(100, 400)] + [(1, k) for k in range(500, 800)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 5), (None, 3), (3, None)] + [(1, 500)]
+    got = {r.node: r.component_id for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    want = {k: 100 for k in [*range(100, 400), 9999]} | {k: 1 for k in [1, *range(500, 800)]} | {k: 1000 for k in range(1000, 1101)}
+    assert got == want
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_spread_join_equals_a_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    rows = spark.createDataFrame([(k % 7 if k % 2 else None if k % 10 == 0 else 8, k) for k in range(60)], "k int, v int")
+    facts = rows.groupBy("k").agg(F.max("v").alias("top"), F.count("*").alias("weight")).where("k <> 3")
+    got = sorted(map(tuple, common.spread_join(rows, facts, "k", 60).collect()))
+    assert got == sorted(map(tuple, rows.join(facts.drop("weight"), "k").collect())) and len({k for k, _, _ in got}) == 7
+
+
 def test_filters_find_links_at_the_threshold():
     r = np.random.default_rng(9)
     for words in (4, 20):
