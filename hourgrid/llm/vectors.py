@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import staged, table
+from hourgrid.llm.common import bytes_of, staged, table
 from hourgrid.llm.graph import components
 
 #: Parts of a product code; least number of independent codes; filters a vector exceeds in each, on average.
@@ -51,10 +51,11 @@ def code(dims: int, words: int, least: float) -> tuple[list[np.ndarray], list[li
             filters = sums[0].shape[1] * sums[1].shape[1]
             pool = np.concatenate([(a[:, None] + b[None, :]).ravel() for a, b in zip(sums[0][:300], sums[1][:300])])
             threshold = float(np.quantile(pool, 1 - min(1.0, LIST / filters)))
-        lists = _exceeded(near @ rotations[-1], books[-1], threshold)
         if len(books) > 64 and missed == 1:
             raise ValueError(f"no filter shows links at a cosine of {least}")
-        missed *= 1 - np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(lists[:PAIRS], lists[PAIRS:])])
+        row, filters = _exceeded(near @ rotations[-1], books[-1], threshold)
+        shown = filters * PAIRS + row % PAIRS
+        missed *= 1 - len(np.unique(np.intersect1d(shown[row < PAIRS], shown[row >= PAIRS]) % PAIRS)) / PAIRS
     return rotations, books, threshold
 
 
@@ -74,21 +75,15 @@ def _halves(x: np.ndarray, book: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
-def _exceeded(turned: np.ndarray, book: list[np.ndarray], threshold: float) -> list[np.ndarray]:
-    """For each rotated unit vector the numbers of the filters of one code it exceeds.
+def _exceeded(turned: np.ndarray, book: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) for the filters of one code that rotated unit vectors exceed.
 
-    The sums of the second half are sorted; for each sum of the first half the exceeding ones are a prefix."""
+    Sums of the first half that do not reach the threshold with the row's greatest of the second half are left out;
+    each of the others has at least one filter and is held against the second half."""
     first, second = _halves(turned, book)
-    order = np.argsort(-second, axis=1, kind="stable")
-    falling = -np.take_along_axis(second, order, 1)
-    found = []
-    for i in range(len(turned)):
-        fit = np.searchsorted(falling[i], first[i] - threshold, "right")
-        rows = np.flatnonzero(fit)
-        n = fit[rows]
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        found.append(np.repeat(rows, n) * second.shape[1] + order[i, place])
-    return found
+    row, i = np.nonzero(-second.max(axis=1, keepdims=True) <= first - threshold)
+    near, j = np.nonzero(-second[row] <= (first[row, i] - threshold)[:, None])
+    return row[near], i[near] * second.shape[1] + j
 
 
 def decode(unit: np.ndarray, words: int, least: float = 0.9) -> list[np.ndarray]:
@@ -96,8 +91,11 @@ def decode(unit: np.ndarray, words: int, least: float = 0.9) -> list[np.ndarray]
     dims = unit.shape[1]
     rotations, books, threshold = code(dims, words, least)
     size = fitting(dims, words) ** min(PARTS, dims)
-    found = [[k * size + f for f in _exceeded(unit @ turn, book, threshold)] for k, (turn, book) in enumerate(zip(rotations, books))]
-    return [np.sort(np.concatenate(f)) for f in zip(*found)]
+    found = [_exceeded(unit @ turn, book, threshold) for turn, book in zip(rotations, books)]
+    row = np.concatenate([r for r, _ in found])
+    filters = np.concatenate([k * size + f for k, (_, f) in enumerate(found)])
+    order = np.lexsort((filters, row))
+    return np.split(filters[order], np.cumsum(np.bincount(row, minlength=len(unit)))[:-1])
 
 
 def unit_of(x: np.ndarray) -> np.ndarray:
@@ -136,58 +134,68 @@ def _labels(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _block(rows: dict[str, list], filter_id: int, cross: bool, least: float, kind: str) -> tuple[list, list, list]:
+def _both(rows: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
+    """[n, name] -> whether the row has the name, without names of a single row."""
+    found, place, count = np.unique(names, return_inverse=True, return_counts=True)
+    kept = count > 1
+    at = np.cumsum(kept) - 1
+    mine = kept[place]
+    has = np.zeros((n, int(kept.sum())), np.float32)
+    has[rows[mine], at[place[mine]]] = 1
+    return has
+
+
+def _block(group: pa.Table, cross: bool, least: float, kind: str) -> pa.RecordBatch | None:
     """Of the vectors of one filter (or of two blocks of it): each linked one's links that no smaller filter
     shows, and the least vector that these rows link it with."""
-    rep, copies, side = np.array(rows["rep"]), np.array(rows["copies"]), np.array(rows["side"])
-    unit = unit_of(np.stack([np.frombuffer(v, kind) for v in rows["vector"]]).astype(float))
-    linked = unit @ unit.T >= least
+    side = group.column("side").to_numpy()
+    if cross:  # the first block's rows, then the second's
+        group, middle = group.take(pa.array(np.argsort(side, kind="stable"))), int((side == side.min()).sum())
+    else:
+        middle = 0
+    if not len(side) or cross and middle == len(side):
+        return None
+    unit = unit_of(np.frombuffer(bytes_of(group.column("vector"))[0].tobytes(), kind).reshape(len(side), -1).astype(float))
+    linked = np.zeros((len(side), len(side)), bool)
+    linked[: middle or None, middle:] = unit[: middle or None] @ unit[middle:].T >= least
+    linked |= linked.T
     np.fill_diagonal(linked, False)
-    if cross:
-        linked &= side[:, None] != side[None, :]
-    some = linked.any(axis=1)
-    if not some.any():
-        return [], [], []
-    rep, copies, linked = rep[some], copies[some], linked[np.ix_(some, some)]
-    smaller = [f[: np.searchsorted(f, filter_id)] for f, ok in zip((np.array(f) for f in rows["filters"]), some) if ok]
-    names, place = np.unique(np.concatenate(smaller), return_inverse=True)
-    has = np.zeros((len(rep), len(names)), np.float32)
-    has[np.repeat(np.arange(len(rep)), [len(s) for s in smaller]), place] = 1
-    has = has[:, has.sum(axis=0) > 1]
+    some = np.flatnonzero(linked.any(axis=1))
+    if not len(some):
+        return None
+    group, linked = group.take(pa.array(some)), linked[np.ix_(some, some)]
+    rep, copies = (group.column(c).to_numpy() for c in ("rep", "copies"))
+    smaller = group.column("smaller").combine_chunks()
+    has = _both(np.repeat(np.arange(len(rep)), smaller.value_lengths().to_numpy()), smaller.flatten().to_numpy(), len(rep))
     new = linked & (has @ has.T == 0) if has.shape[1] else linked
     order = np.argsort(rep, kind="stable")
     label = np.empty(len(rep), np.int64)
     label[order] = rep[order][_labels(linked[np.ix_(order, order)])]
-    return rep.tolist(), (new @ copies).tolist(), label.tolist()
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (rep, new @ copies, label)], ["rep", "links", "label"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], least: float, kind: str) -> Iterator[pa.RecordBatch]:
-    names = ("rep", "copies", "side", "vector", "filters")
-    held: dict[str, list] = {n: [] for n in names}
+    """The links of each group of rows with equal filter, dims, first and second; groups follow one another."""
     current: tuple | None = None
-    out: list[list] = [[], [], []]
-
-    def close() -> None:
-        if current and len(held["rep"]) > 1:
-            for a, b in zip(out, _block(held, current[0], current[2] != current[3], least, kind)):
-                a.extend(b)
+    held: list[pa.RecordBatch] = []
 
-    def batch_of() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["rep", "links", "label"])
+    def closed() -> Iterator[pa.RecordBatch]:
+        found = _block(pa.Table.from_batches(held), current[2] != current[3], least, kind) if current else None
+        if found:
+            yield found
 
     for batch in batches:
-        columns = {n: batch.column(n).to_pylist() for n in (*names, "filter", "dims", "first", "second")}
-        for i, key in enumerate(zip(columns["filter"], columns["dims"], columns["first"], columns["second"])):
+        keys = np.stack([batch.column(c).to_numpy() for c in ("filter", "dims", "first", "second")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            key = tuple(keys[i].tolist())
             if key != current:
-                close()
-                held, current = {n: [] for n in names}, key
-            for n in names:
-                held[n].append(columns[n][i])
-        if len(out[0]) > 20_000:
-            yield batch_of()
-            out = [[], [], []]
-    close()
-    yield batch_of()
+                yield from closed()
+                held, current = [], key
+            held.append(batch.slice(i, j - i))
+    yield from closed()
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
@@ -215,9 +223,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     lists = staged(reps.repartition(max(8, n // 2000)).mapInArrow(lambda b: _filtered(b, words, least, kind), "rep bigint, copies bigint, dims int, vector binary, filters array<int>"))
     narrow = lists.select("dims", F.explode("filters").alias("filter"))
     crowds = narrow.groupBy("dims", "filter").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.expr(f"cast((n - 1) div {BLOCK} + 1 as int)")).drop("n")
-    met = lists.withColumn("filter", F.explode("filters")).join(crowds, ["dims", "filter"])
+    met = lists.select("*", F.posexplode("filters").alias("position", "filter")).join(crowds, ["dims", "filter"])
+    met = met.withColumn("smaller", F.slice("filters", 1, F.col("position")))
     met = met.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("filter", "dims", F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second"), "rep", "copies", "side", "vector", "filters")
+    met = met.select("filter", "dims", F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second"), "rep", "copies", "side", "vector", "smaller")
     key = ["filter", "dims", "first", "second"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * LIST * CODES // 10_000)
     found = staged(met.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(lambda b: _verified(b, least, kind), "rep bigint, links bigint, label bigint"))
