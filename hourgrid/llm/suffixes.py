@@ -28,7 +28,7 @@ REACH = LENGTH - K + 1
 HOT, SAMPLE = 1000, 64
 #: Bytes of text that are scanned at once, whose equal segments are found before the shuffle, and of segments in one
 #: suffix array; more only for one text or anchor.
-CHUNK, SCAN, SHARD = 1 << 20, 8 << 20, 1 << 20
+CHUNK, SCAN, SHARD = 1 << 19, 8 << 20, 1 << 20
 
 _RANDOM = np.random.default_rng(6)
 _BYTE = _RANDOM.integers(0, 2**64, 256, np.uint64)
@@ -58,13 +58,15 @@ def segments(buffer: np.ndarray, offsets: np.ndarray, powers: tuple[np.ndarray,
         width *= 2
     if width < REACH:
         low = np.minimum(low[: len(low) - (REACH - width)], low[REACH - width :])
-    anchor = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    anchor = (low & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+    del low
     inside = np.zeros(n + 1, np.int32)
     long = np.diff(offsets) >= LENGTH
     np.add.at(inside, offsets[:-1][long], 1)
     np.add.at(inside, offsets[1:][long] - LENGTH + 1, -1)
     windows = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
     at = anchor[windows]
+    del anchor, inside
     new = np.ones(len(windows), bool)
     new[1:] = (at[1:] != at[:-1]) | (np.diff(windows) > 1)
     text = np.searchsorted(offsets, windows, "right") - 1
@@ -72,6 +74,7 @@ def segments(buffer: np.ndarray, offsets: np.ndarray, powers: tuple[np.ndarray,
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(windows)))
     start, at, text = windows[begin], at[begin], text[begin]
+    del windows
     whole = (sums[start + count + LENGTH - 1] - sums[start]) * back[start]
     digest = mixed(whole + mixed((count * 256 + (at - start)).astype(np.uint64)))
     return grams[at], digest, text, start - offsets[text], count
@@ -95,7 +98,7 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 anchor, digest, text, start, count = segments(data, offsets[i : j + 1] - offsets[i], powers if len(data) <= CHUNK else None)
                 for p, x in zip(parts, (anchor, digest, ids[i:j][text], start << _PLACE | count)):
                     p.append(x)
-            anchor, digest, doc, place = map(np.concatenate, parts)
+            anchor, digest, doc, place = (np.concatenate(parts.pop(0)) for _ in range(4))
             if not len(anchor):
                 continue
             if (np.diff(doc) < 0).any():
@@ -218,6 +221,7 @@ def suffix_array(buffer: np.ndarray, left: np.ndarray) -> np.ndarray:
     head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    del wide, key, sorted_key
     h = 7
     place = np.flatnonzero(~(head & np.append(head[1:], True)))  # places in the order that are not settled
     while len(place):
@@ -271,11 +275,11 @@ def _repeats_of(rows: pa.Table) -> tuple[np.ndarray, ...]:
     order = suffix_array(buffer, left)
     common = common_prefixes(buffer, left, order, offsets[:-1][size > 0])
     window = left[order] >= LENGTH
-    segment = np.repeat(np.arange(len(size)), size)[order]
+    segment = np.repeat(np.arange(len(size)), size)[order[window]]
     # a suffix shorter than a window may stand between two windows only where their common prefix is short, too
     cls = np.cumsum(common < LENGTH)[window]
     at = order[window]
-    segment = segment[window]
+    del left, order, common, window
     owner, first_byte = doc[segment], (place[segment] >> _PLACE) + at - offsets[:-1][segment]
     rank = np.lexsort((first_byte, owner, anchor[segment], cls))
     cls, owner, first_byte, at, segment = cls[rank], owner[rank], first_byte[rank], at[rank], segment[rank]
@@ -316,11 +320,12 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for group in _groups(batches, ("anchor", "split")):
         for rows in _parts(_without_repeated(group)):
-            held.append(rows)
-            size += rows.column("segment").nbytes
-            if size >= SHARD:
+            more = rows.column("segment").nbytes
+            if held and size + more > SHARD:
                 yield from done(held)
                 held, size = [], 0
+            held.append(rows)
+            size += more
     if held:
         yield from done(held)
 

@@ -1,6 +1,6 @@
 """Toxicity by a linear-chain conditional random field over words."""
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,12 +61,17 @@ def word_keys(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return _key(*_head_and_tail(buffer, starts, ends), ends - starts)
 
 
-def feature_values(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """[feature, word] -> a 64-bit digest: prefixes of the folded word, and the word itself."""
+def each_feature(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """Feature by feature the words' 64-bit digests: prefixes of the folded word, and the word itself. Only one feature's are held."""
     head, tail = _head_and_tail(buffer, starts, ends)
-    values = [(head & _KEEP[k]) * np.uint64(8) + np.uint64(i) for i, k in enumerate(PREFIXES)]
-    values.append(_key(head, tail, ends - starts))
-    return np.stack([mixed(v) for v in values])
+    for i, k in enumerate(PREFIXES):
+        yield mixed((head & _KEEP[k]) * np.uint64(8) + np.uint64(i))
+    yield mixed(_key(head, tail, ends - starts))
+
+
+def feature_values(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """[feature, word] -> its digest."""
+    return np.stack(list(each_feature(buffer, starts, ends)))
 
 
 def buckets_of(values: np.ndarray) -> np.ndarray:
@@ -130,9 +135,9 @@ def _messages(scores: np.ndarray, step: np.ndarray, blocks: tuple[np.ndarray, ..
     return enter, leave
 
 
-def marginals(scores: np.ndarray, texts: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marginals(scores: np.ndarray, texts: np.ndarray, transitions: np.ndarray, with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """By the forward-backward algorithm: each word's probability of label 1, and the sum over words of the
-    probabilities of (label before, label); words of different texts are not neighbours."""
+    probabilities of (label before, label), zeros if they are not wanted; words of different texts are not neighbours."""
     out, pairs = np.zeros(len(scores)), np.zeros((2, 2))
     if not len(scores):
         return out, pairs
@@ -164,6 +169,8 @@ def marginals(scores: np.ndarray, texts: np.ndarray, transitions: np.ndarray) ->
         one, zero = a1[1:] * b1, (1 - a1[1:]) * (1 - b1)
         p = one / (one + zero)
         out[at[real]] = p[real]
+        if not with_pairs:
+            continue
         both = real.copy()
         both[0] &= ~head
         x1, x0, before = b1 * e, 1 - b1, a1[:-1]
@@ -173,9 +180,9 @@ def marginals(scores: np.ndarray, texts: np.ndarray, transitions: np.ndarray) ->
     return out, pairs
 
 
-def emissions(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+def emissions(weights: np.ndarray, features: Iterable[np.ndarray], words: int) -> np.ndarray:
     """Each word's score for label 1, feature by feature, so that no table of all weights is made."""
-    total = np.full(features.shape[1], -2.0)
+    total = np.full(words, -2.0)
     for bucket in features:
         total += weights[bucket]
     return total
@@ -263,7 +270,7 @@ def fit_texts(texts: list[str] | pa.ChunkedArray, labels: np.ndarray) -> Field:
     weights, transitions = np.zeros(buckets), np.zeros((2, 2))
     squares, square_t = np.full(buckets, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(STEPS):
-        p, pairs = marginals(emissions(weights, features)[w], t, transitions)
+        p, pairs = marginals(emissions(weights, features, kinds)[w], t, transitions)
         of_word = np.bincount(w, y - p, kinds)
         gradient = sum(np.bincount(k, of_word, buckets) for k in features) - PENALTY * len(y) * np.sign(weights) * 0.01 - PENALTY * weights
         squares += gradient**2
@@ -271,7 +278,7 @@ def fit_texts(texts: list[str] | pa.ChunkedArray, labels: np.ndarray) -> Field:
         step = seen - pairs
         square_t += step**2
         transitions += RATE * step / np.sqrt(square_t)
-    p, _ = marginals(emissions(weights, features)[word], text, transitions)
+    p, _ = marginals(emissions(weights, features, kinds)[word], text, transitions, with_pairs=False)
     return Field(weights.astype(np.float32), transitions, _logistic(_evidence(p, text, n), labels.astype(float)))
 
 
@@ -299,7 +306,8 @@ def _scored(texts: Iterator[pa.Array], field: Field) -> Iterator[pa.Array]:
             data, at = buffer[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             if field.constant is None:
                 starts, ends, text = words_of(data, at)
-                p, _ = marginals(emissions(field.weights, buckets_of(feature_values(data, starts, ends))), text, field.transitions)
+                emitted = emissions(field.weights, map(buckets_of, each_feature(data, starts, ends)), len(starts))
+                p, _ = marginals(emitted, text, field.transitions, with_pairs=False)
                 score = 1 / (1 + np.exp(-np.clip(_evidence(p, text, j - i) @ field.document, -30, 30)))
                 bad = np.flatnonzero(p >= 0.5)
             else:

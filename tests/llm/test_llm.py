@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zipfile
 import zlib
 
@@ -629,3 +630,16 @@ def test_windows_of_several_suffix_arrays_are_merged():
         got = [(i, s + k) for b in suffixes._merged(iter(batches)) for i, s, n in zip(*(c.to_pylist() for c in b.columns)) for k in range(n)]
         want = [(b[1], b[2]) for a, b in zip(rows, rows[1:]) if a[0] == b[0]]
         assert sorted(got) == sorted(want) and len(want) > 100
+
+
+def test_scoring_holds_one_feature_at_a_time():
+    """Memory of scoring, in 8-byte numbers a word: all features' digests at once would take more than 25."""
+    texts = pa.array(["some words that are short " * 40] * 1000)
+    words = 200_000
+    field = toxicity.Field(np.zeros(1 << toxicity.BUCKET_BITS, np.float32), np.zeros((2, 2)), np.zeros(3))
+    tracemalloc.start()
+    try:
+        assert sum(map(len, toxicity._scored(iter([texts]), field))) == 1000
+        assert tracemalloc.get_traced_memory()[1] < 20 * 8 * words
+    finally:
+        tracemalloc.stop()
