@@ -13,6 +13,8 @@ from hourgrid.llm.common import bytes_of, crc_of_id, spans, table
 ORDER = 3
 #: The sample: different whole texts of about so many bytes a language, chosen by a digest of the text.
 SAMPLE_BYTES = 400_000
+#: Tasks at most that count the sample.
+TASKS = 4
 #: Bytes of text that are scored at once; a longer text is scored in such blocks.
 CHUNK = 1 << 20
 
@@ -32,21 +34,20 @@ def training_sample(rows: DataFrame, sample_bytes: int) -> DataFrame:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n): counts of each text's ORDER + 1 bytes, the first ones led in by blanks."""
+    """(lang, gram, n): counts of ORDER + 1 bytes over all texts of the task, the first ones of a text led in by blanks."""
+    found: dict[str, dict[int, int]] = {}
     for batch in batches:
-        langs = np.array(batch.column("lang").to_pylist(), object)
         buffer, offsets = bytes_of(batch.column("text"))
-        for lang in sorted(set(langs)):
-            found: dict[int, int] = {}
-            for k in np.flatnonzero(langs == lang):
-                text = np.concatenate([np.full(ORDER, 32, np.uint8), folded(buffer[offsets[k] : offsets[k + 1]])]).astype(np.uint32)
-                gram = sum(text[i : len(text) - ORDER + i] << np.uint32(8 * (ORDER - i)) for i in range(ORDER + 1))
-                for g, n in zip(*(x.tolist() for x in np.unique(gram, return_counts=True))):
-                    found[g] = found.get(g, 0) + n
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found)), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"]
-                )
+        for k, lang in enumerate(batch.column("lang").to_pylist()):
+            counts = found.setdefault(lang, {})
+            text = np.concatenate([np.full(ORDER, 32, np.uint8), folded(buffer[offsets[k] : offsets[k + 1]])]).astype(np.uint32)
+            gram = sum(text[i : len(text) - ORDER + i] << np.uint32(8 * (ORDER - i)) for i in range(ORDER + 1))
+            for g, n in zip(*(x.tolist() for x in np.unique(gram, return_counts=True))):
+                counts[g] = counts.get(g, 0) + n
+    for lang, counts in found.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["lang", "gram", "n"]
+        )
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -114,9 +115,12 @@ def _found(known: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def fit(rows: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Learns from (lang, text). The counts are gathered by Spark; their number is bounded by the sample."""
+    """Learns from (lang, text). The counts are gathered by Spark; their number is bounded by the sample.
+
+    The sample is small, so TASKS tasks count it however many partitions its shuffle has: in each more, the same grams
+    would be counted again as rows of their own."""
     sample = training_sample(rows.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text"), sample_bytes)
-    counted = sample.mapInArrow(_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.coalesce(TASKS).mapInArrow(_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique())
     mine = [counted[counted["lang"] == k].sort_values("gram") for k in langs]
     return Model(langs, [m["gram"].to_numpy(np.int64) for m in mine], [m["n"].to_numpy(np.int64) for m in mine])

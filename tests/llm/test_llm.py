@@ -113,6 +113,28 @@ def test_a_language_of_long_texts_has_a_sample(spark):
     assert copies.count() == 6
 
 
+def test_partitions_add_no_counts(spark, monkeypatch):
+    """Counts of a sample in many partitions are those of one, in TASKS times as many rows at most."""
+    monkeypatch.setattr(langid, "training_sample", lambda rows, _: rows)
+    made, counts = [], langid._grams
+
+    def counted(batches):
+        for batch in counts(batches):
+            yield batch
+            seen.add(batch.num_rows)
+
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(langid, "_grams", counted)
+    docs = spark.createDataFrame([("en", prose(k, 60)) for k in range(300)], "lang string, text string")
+    for partitions in (1, 100):
+        before = seen.value
+        model = langid.fit(docs.repartition(partitions))
+        made.append((model.trees[0][langid.ORDER], seen.value - before))
+    (one, rows_of_one), (many, rows_of_many) = made
+    assert all(np.array_equal(a, b) for a, b in zip(one, many))
+    assert rows_of_one == len(one[0]) and rows_of_many <= langid.TASKS * rows_of_one
+
+
 def test_media_round_trip(spark, texts, tmp_path):
     docs = frame(spark, texts)
     path = f"file://{tmp_path}/archives"
