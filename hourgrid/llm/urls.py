@@ -13,8 +13,9 @@ from hourgrid.llm.common import guarded, staged, table
 
 # The rules of the registered query, verdict, host and path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: About so many different labelled URLs are fitted on; least labelled ones of a suffix that has statistics of its own.
-SAMPLE, LEAST = 20_000, 8
+#: About so many different labelled URLs are fitted on, None: all; least labelled ones of a suffix that has statistics of its own.
+SAMPLE: int | None = None
+LEAST = 8
 #: Trees, their depth, the share of each one's correction, and the weight of the mean in a suffix's statistics.
 TREES, DEPTH, STEP, PRIOR = 20, 4, 0.3, 10.0
 #: Characters whose counts make the entropy; all others count as one.
@@ -88,21 +89,24 @@ def lexical(rows: DataFrame, url: str, host: str, path: str) -> DataFrame:
 
 @dataclass
 class Filter:
-    """statistics: suffix -> (share of blocked ones, labelled URLs); mean: of a suffix without; only: the verdict where
-    there is no model, as the labels are of one kind."""
+    """statistics: a table of suffixes (s), their share of blocked URLs (rate) and labelled URLs (n), empty: of none;
+    mean: of a suffix without; only: the verdict where there is no model, as the labels are of one kind."""
 
-    statistics: dict[str, tuple[float, float]]
+    statistics: DataFrame | dict
     mean: float
     model: GBTClassificationModel | None
     only: str
 
     def with_statistics(self, rows: DataFrame) -> DataFrame:
-        """The statistics of a suffix that has none are the mean and a count of 0."""
-        pairs = [x for s, v in self.statistics.items() for x in (F.lit(s), F.array(F.lit(v[0]), F.lit(v[1])))]
-        known = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string, array<double>>")
-        held = lambda c: F.coalesce(F.element_at(known, F.col(c)), F.array(F.lit(self.mean), F.lit(0.0)))
-        rows = rows.withColumns({"_s": held("_suffix"), "_d": held("_domain")})
-        return rows.withColumns({"suffix_rate": F.col("_s")[0], "suffix_count": F.log1p(F.col("_s")[1]), "domain_rate": F.col("_d")[0], "domain_count": F.log1p(F.col("_d")[1])})
+        """The statistics of a suffix that has none are the mean and a count of 0. Spark broadcasts a small table of
+        them; beside a large one it splits the rows of frequent suffixes (adaptive skew join)."""
+        for key, rate, count in (("_suffix", "suffix_rate", "suffix_count"), ("_domain", "domain_rate", "domain_count")):
+            if isinstance(self.statistics, DataFrame):
+                rows = rows.join(self.statistics.select(F.col("s").alias(key), F.col("rate").alias(rate), F.log1p("n").alias(count)), key, "left")
+                rows = rows.withColumns({rate: F.coalesce(rate, F.lit(self.mean)), count: F.coalesce(count, F.lit(0.0))})
+            else:
+                rows = rows.withColumns({rate: F.lit(self.mean), count: F.lit(0.0)})
+        return rows
 
     def verdicts(self, rows: DataFrame) -> DataFrame:
         """rows (with FEATURES but statistics) with method_verdict and score, the probability of a block."""
@@ -114,31 +118,34 @@ class Filter:
 
 
 def fit(urls: DataFrame, rules: Sequence[Rule] = RULES) -> Filter:
-    """Fits on the URLs (column `url`) that a rule labels: about SAMPLE different ones, chosen by their hash.
+    """Fits on all different URLs (column `url`) that a rule labels; where SAMPLE is set, on about so many, chosen by
+    their hash.
 
     One half of them gives the statistics of suffixes, so that the trees, which are grown on the other half, see them
-    as they will be for other URLs. Suffixes with fewer than LEAST labelled URLs have none, so the statistics, like
-    the sample, are bounded. Labels of one verdict make that the answer to all; without labels it is allow."""
+    as they will be for other URLs. Suffixes with fewer than LEAST labelled URLs have none. Statistics stay a table.
+    Labels of one verdict make that the answer to all; without labels it is allow."""
     host, path = host_and_path(F.col("url"))
     rows = urls.where("url IS NOT NULL").select("url", host.alias("_host"), path.alias("_path"))
     _, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
     rows = rows.withColumn("_label", F.when(verdict == "block", 1.0).when(verdict == "allow", 0.0)).where("_label IS NOT NULL")
-    labelled, different = rows.agg(F.count("*"), F.approx_count_distinct("url")).first()
-    if not labelled:
-        return Filter({}, 0.0, None, "allow")
-    chance = F.pmod(F.xxhash64(F.lit("sample"), "url"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(chance < SAMPLE / max(different, 1)).dropDuplicates(["url"])
-    sample = staged(lexical(sample, "url", "_host", "_path").withColumn("_half", F.pmod(F.xxhash64(F.lit("half"), "url"), F.lit(2))))
-    mean, kinds = sample.agg(F.avg("_label"), F.count_distinct("_label")).first()
-    if kinds is None or kinds < 2:
-        first = mean if mean is not None else rows.agg(F.avg("_label")).first()[0]
+    taken = rows
+    if SAMPLE is not None:
+        different = rows.agg(F.approx_count_distinct("url")).first()[0]
+        chance = F.pmod(F.xxhash64(F.lit("sample"), "url"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        taken = rows.where(chance < SAMPLE / max(different, 1))
+    taken = taken.dropDuplicates(["url"])
+    taken = staged(lexical(taken, "url", "_host", "_path").withColumn("_half", F.pmod(F.xxhash64(F.lit("half"), "url"), F.lit(2))))
+    mean, blocked, allowed = taken.agg(F.avg("_label"), F.max("_label"), F.min("_label")).first()
+    if blocked == allowed:  # or both null
+        first = mean if mean is not None else rows.agg(F.avg("_label")).first()[0] or 0.0
         return Filter({}, first, None, "block" if first >= 0.5 else "allow")
-    suffixes = sample.where("_half = 0").select("_label", F.explode(F.array_distinct(F.array("_suffix", "_domain"))).alias("s"))
-    counts = suffixes.groupBy("s").agg(F.sum("_label").alias("blocked"), F.count("*").cast("double").alias("n")).where(F.col("n") >= LEAST).collect()  # at most SAMPLE / LEAST
-    found = Filter({r["s"]: ((r["blocked"] + PRIOR * mean) / (r["n"] + PRIOR), r["n"]) for r in counts}, mean, None, "allow")
-    grown = found.with_statistics(sample.where("_half = 1"))
+    suffixes = taken.where("_half = 0").select("_label", F.explode(F.array_distinct(F.array("_suffix", "_domain"))).alias("s"))
+    counts = suffixes.groupBy("s").agg(F.sum("_label").alias("blocked"), F.count("*").cast("double").alias("n")).where(F.col("n") >= LEAST)
+    rate = (F.col("blocked") + F.lit(PRIOR * mean)) / (F.col("n") + F.lit(PRIOR))
+    found = Filter(staged(counts.select("s", rate.alias("rate"), "n")), mean, None, "allow")
+    grown = found.with_statistics(taken.where("_half = 1"))
     if grown.select("_label").distinct().count() < 2:
-        grown = found.with_statistics(sample)
+        grown = found.with_statistics(taken)
     trees = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1)
     found.model = trees.fit(VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(grown).select("_features", "_label"))
     return found

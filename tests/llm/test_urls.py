@@ -108,3 +108,17 @@ def test_the_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(urls, "staged", lambda df: seen.append(df.count()) or df)
     urls.fit(docs, LABELS)
     assert 20 < seen[0] < 120
+
+
+def test_all_labelled_urls_are_learned_from(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def stop(df):
+        raise Seen(df.count())
+
+    monkeypatch.setattr(urls, "staged", stop)
+    docs = spark.range(30_000).select(F.concat(F.lit("http://a"), "id", F.lit(".spam.com/")).alias("url"))
+    with pytest.raises(Seen) as seen:
+        urls.fit(docs.union(docs), LABELS)
+    assert seen.value.args == (30_000,)
